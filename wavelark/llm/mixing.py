@@ -43,8 +43,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
     after = fill.rowsBetween(0, Window.unboundedFollowing)
     w = w.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    # the sources at their cap are those before the first one whose cap is above the level then reached
-    w = w.withColumn("lowest", F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("level"))).over(everything))
+    # the level rises up to the first source whose cap is above it and falls after, so that source has the largest one
+    w = w.withColumn("lowest", F.max(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("level"))).over(everything))
     target = F.when(F.col("lowest").isNull() | (F.col("cap") <= F.col("lowest") * F.col("weight")), F.col("cap")).otherwise(F.col("lowest") * F.col("weight"))
     return w.select("source", "source_size", target.alias("target"))
 

@@ -103,7 +103,7 @@ levels AS (
   SELECT *, least(sum(CAST(source_size AS DOUBLE)) OVER () * 1.5, sum(cap) OVER ()) AS budget,
          coalesce(sum(cap) OVER (ORDER BY cap / weight, q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
          sum(weight) OVER (ORDER BY cap / weight, q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM weighed),
-lowest AS (SELECT *, min(CASE WHEN cap > (budget - filled) / open * weight THEN (budget - filled) / open END) OVER () AS level FROM levels),
+lowest AS (SELECT *, max(CASE WHEN cap > (budget - filled) / open * weight THEN (budget - filled) / open END) OVER () AS level FROM levels),
 goals AS (
   SELECT source, q, source_size, CASE WHEN level IS NULL OR cap <= level * weight THEN cap ELSE level * weight END AS target FROM lowest),
 placed AS (
