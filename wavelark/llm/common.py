@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled by numpy at once.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 _own_dirs: dict[str, str] = {}
 

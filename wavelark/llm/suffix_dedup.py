@@ -22,7 +22,7 @@ from wavelark.llm.winnow import Document, repeated_spans, union_of
 LENGTH = 50
 GRAM = 18
 #: Suffixes of a batch.
-BATCH = 1 << 17
+BATCH = 1 << 16
 
 
 def byte_units(k: int):

@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from wavelark.llm.common import id_and_text, materialize, shard_count, sliding_argmin
 
 #: Stretches of a batch that are merged at once.
-HELD = 150_000
+HELD = 60_000
+#: Shards of the second step for each of the first: it holds text and indexes.
+MATCH_SHARDS = 4
 #: What an operator makes of a text column: for each row its index and its Document.
 Units = Callable[[pa.Array], Iterator[tuple[int, "Document"]]]
 
@@ -49,64 +51,79 @@ class Document:
 
 
 def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
+    return ((h & np.uint64(0xFFFFFF)) % np.uint64(shards)).astype(np.int64)
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """The 40 bits of a hash that are compared within a shard; a chance agreement only costs a look at the text."""
+    return h >> np.uint64(24)
+
+
+_SEVERAL = 0xFFFF
+#: Documents whose hashes are sorted together: fewer than _SEVERAL.
+TOGETHER = 10_000
 
 
 def _tell(units: Units, window: int, k: int, shards: int):
     """Step 1, map side: packed rows of (hash, document), and answers for hashes that meet within the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, owners = [], []
-            for i, doc in units(batch.column(2)):
-                at, _, _ = doc.anchors(window, k)
-                if len(at):
-                    h = np.unique(doc.grams[at])
-                    hashes.append(h)
-                    owners.append(np.full(len(h), i, np.uint32))
-            if not hashes:
-                continue
-            h, d = np.concatenate(hashes), np.concatenate(owners)
-            del hashes, owners
-            h = h & np.uint64((1 << 63) - 1)
-            order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            several = np.zeros(len(h), bool)
-            several[1:] |= ~new[1:]
-            several[:-1] |= ~new[1:]
-            ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            rows: list[tuple] = []
-            answered = np.flatnonzero(several)
-            if len(answered):  # these documents know already
-                answered = answered[np.argsort(d[answered], kind="stable")]
-                docs, first = np.unique(d[answered], return_index=True)
-                for doc, part in zip(docs.tolist(), np.split(h[answered], first[1:])):
-                    rows.append((int(keys[doc] % shards), int(ids[doc]), int(keys[doc]), None, part.tobytes()))
-            h, d, single = h[new], d[new], ~several[new]
-            shard = _shard_of(h, shards)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in range(shards):
-                part = order[cuts[s] : cuts[s + 1]]
-                if len(part):
-                    docs, local = np.unique(d[part], return_inverse=True)
-                    low = h[part]
-                    blob = low.astype("<u4").tobytes() + ((low >> np.uint64(32)).astype(np.uint32)).astype("<u4").tobytes() + np.where(single[part], local, -1).astype("<i4").tobytes()
-                    owners_blob = np.stack([ids[docs], keys[docs]]).astype("<i8").tobytes()
-                    rows.append((s, None, None, owners_blob, blob))
-                if len(rows) >= 500:
-                    yield _batch(rows, _TOLD)
-                    rows = []
-            if rows:
+        for whole in batches:
+            for start in range(0, whole.num_rows, TOGETHER):
+                yield from told(whole.slice(start, TOGETHER))
+
+    def told(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, keys, digests = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        # of equal texts only the first document matters, the others are whole copies
+        order = np.lexsort((ids, digests))
+        first = np.concatenate([[True], digests[order][1:] != digests[order][:-1]])
+        batch = batch.take(pa.array(np.sort(order[first])))
+        ids, keys, digests = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        hashes, owners = [], []
+        for i, doc in units(batch.column(3)):
+            at, _, _ = doc.anchors(window, k)
+            if len(at):
+                h = np.unique(doc.grams[at])
+                hashes.append(h)
+                owners.append(np.full(len(h), i, np.uint16))
+        if not hashes:
+            return
+        h, d = np.concatenate(hashes), np.concatenate(owners)
+        del hashes, owners
+        order = np.argsort(h, kind="stable")
+        h, d = h[order], d[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        several = np.zeros(len(h), bool)
+        several[1:] |= ~new[1:]
+        several[:-1] |= ~new[1:]
+        rows: list[tuple] = []
+        answered = np.flatnonzero(several)
+        if len(answered):  # these documents know already
+            answered = answered[np.argsort(d[answered], kind="stable")]
+            docs, at = np.unique(d[answered], return_index=True)
+            for doc, part in zip(docs.tolist(), np.split(_short(h[answered]), at[1:])):
+                rows.append((int(keys[doc] % shards), int(ids[doc]), int(keys[doc]), None, part.tobytes()))
+        h, d, single = h[new], d[new], ~several[new]
+        shard = _shard_of(h, shards)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        for s in np.unique(shard).tolist():
+            part = order[cuts[s] : cuts[s + 1]]
+            docs, local = np.unique(d[part], return_inverse=True)
+            low = _short(h[part])
+            blob = low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes() + np.where(single[part], local, _SEVERAL).astype("<u2").tobytes()
+            rows.append((s, None, None, np.stack([ids[docs], keys[docs], digests[docs]]).astype("<i8").tobytes(), blob))
+            if len(rows) >= 500:
                 yield _batch(rows, _TOLD)
+                rows = []
+        if rows:
+            yield _batch(rows, _TOLD)
 
     return run
 
 
 _TOLD = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("owners", pa.binary()), ("blob", pa.binary())])
 _ANSWER = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("blob", pa.binary())])
-_STRETCH = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("owners", pa.binary()), ("blob", pa.binary())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -114,37 +131,36 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Step 1, shard side: to each document, which of its hashes another document has too."""
-    table = table.combine_chunks()
+    """Step 1, shard side: to each document, which of its hashes a document with another text has too."""
     owners, blobs = table["owners"].to_pylist(), table["blob"].to_pylist()
     ids, keys = table["doc_id"].to_pylist(), table["key"].to_pylist()
     rows = [(ids[i], keys[i], blobs[i]) for i in range(len(blobs)) if owners[i] is None]
     hashes, doc, own, base = [], [], [], 0
-    for i, blob in enumerate(blobs):
-        if owners[i] is None:
+    for who, blob in zip(owners, blobs):
+        if who is None:
             continue
-        n = len(blob) // 12
-        part = np.frombuffer(blob, "<u4").reshape(3, n)
-        hashes.append(part[0].astype(np.uint64) | part[1].astype(np.uint64) << np.uint64(32))
-        local = part[2].view("<i4").astype(np.int64)
-        doc.append(np.where(local < 0, -1, local + base))
-        who = np.frombuffer(owners[i], "<i8").reshape(2, -1)
-        own.append(who)
-        base += who.shape[1]
+        n = len(blob) // 7
+        hashes.append(np.frombuffer(blob, "<u4", n).astype(np.uint64) | np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
+        local = np.frombuffer(blob, "<u2", n, 5 * n).astype(np.int64)
+        doc.append(np.where(local == _SEVERAL, -1, local + base))
+        own.append(np.frombuffer(who, "<i8").reshape(3, -1))
+        base += own[-1].shape[1]
+    del owners, blobs
     if hashes:
         h, d, who = np.concatenate(hashes), np.concatenate(doc), np.concatenate(own, axis=1)
         del hashes, doc, own
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
-        same = h[1:] == h[:-1]
-        shared = np.zeros(len(h), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        told = np.flatnonzero(shared & (d >= 0))
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.concatenate([first, [len(h)]]))
+        text = np.where(d >= 0, who[2][d], 0)
+        several = np.maximum.reduceat(d < 0, first)
+        shared = (size > 1) & (several | (np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first)))
+        told = np.flatnonzero(np.repeat(shared, size) & (d >= 0))
         if len(told):
             told = told[np.argsort(d[told], kind="stable")]
-            docs, first = np.unique(d[told], return_index=True)
-            for x, part in zip(docs.tolist(), np.split(h[told], first[1:])):
+            docs, at = np.unique(d[told], return_index=True)
+            for x, part in zip(docs.tolist(), np.split(h[told], at[1:])):
                 rows.append((int(who[0, x]), int(who[1, x]), part.tobytes()))
     return pa.Table.from_batches([_batch(rows, _ANSWER)])
 
@@ -161,7 +177,7 @@ def _stretches(units: Units, window: int, k: int, shards: int):
             owners = np.array([[doc, keys[i], start, len(c)] for c, doc, i, start in items], "<i8")
             rows.append((s, None, None, owners.tobytes(), zlib.compress(b"".join(x[0] for x in items), 1)))
         for n in range(0, len(rows), 500):
-            yield _batch(rows[n : n + 500], _STRETCH)
+            yield _batch(rows[n : n + 500], _TOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,8 +189,8 @@ def _stretches(units: Units, window: int, k: int, shards: int):
                 if not len(at):
                     continue
                 told = np.frombuffer(b"".join(batch.column(3)[i].as_py()), np.uint64)
-                h = doc.grams[at] & np.uint64((1 << 63) - 1)
-                chosen = np.flatnonzero(np.isin(h, told))
+                h = doc.grams[at]
+                chosen = np.flatnonzero(np.isin(_short(h), told))
                 shard = _shard_of(h[chosen], shards).tolist()
                 me = int(ids[i])
                 for s, a, b in zip(shard, first[chosen].tolist(), last[chosen].tolist()):
@@ -243,7 +259,7 @@ def repeated_spans(docs: DataFrame, units: Units, matcher, window: int, k: int,
     texts = texts.select("doc_id", F.col("text"), F.md5("text").alias("digest"))
     keyed = texts.select("doc_id", F.xxhash64("doc_id", "digest").bitwiseAND(F.lit(largest)).alias("key"), "text", "digest")
     shards = shard_count(docs)
-    told = keyed.select("doc_id", "key", "text").mapInArrow(_tell(units, window, k, shards), "shard int, doc_id long, key long, owners binary, blob binary")
+    told = keyed.select("doc_id", "key", F.xxhash64("digest").alias("print"), "text").mapInArrow(_tell(units, window, k, shards), "shard int, doc_id long, key long, owners binary, blob binary")
     answers = told.groupBy("shard").applyInArrow(_answer, "doc_id long, key long, blob binary")
     lean = materialize(keyed.select("doc_id", "key", "digest"))
     firsts = materialize(lean.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"))
@@ -252,7 +268,7 @@ def repeated_spans(docs: DataFrame, units: Units, matcher, window: int, k: int,
     marks = marks.groupBy("doc_id", "key").agg(F.collect_list("blob").alias("told"), F.max(F.col("blob").isNull()).alias("copy"))
     marks = marks.where("not copy").drop("copy")
     asked = keyed.select("doc_id", "key", "text").join(marks.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "text", "told")
-    pieces = asked.mapInArrow(_stretches(units, window, k, shards), "shard int, doc_id long, key long, owners binary, blob binary")
+    pieces = asked.mapInArrow(_stretches(units, window, k, MATCH_SHARDS * shards), "shard int, doc_id long, key long, owners binary, blob binary")
     spans = pieces.groupBy("shard").applyInArrow(_match(matcher), "doc_id long, key long, blob binary")
     found = spans.unionByName(copies.withColumn("blob", F.lit(None).cast("binary"))).groupBy("doc_id", "key").agg(F.collect_list("blob").alias("spans"), F.max(F.col("blob").isNull()).alias("copy"))
     return keyed.select("doc_id", "key", "text"), materialize(found)
