@@ -4,9 +4,10 @@ One permutation (the 64-bit hash of a shingle, cut to 32 bits) places shingles o
 along it by one step a coordinate, so two permutations give the whole signature. Rows of one band value are candidates.
 
 No bucket is expanded into its pairs. Documents with equal sets are one class. In each bucket every class is first compared
-with the bucket's least class, which links nearly all of a group of copies. Only classes that are then still in another
-component than the bucket's least class are compared with the bucket's other classes, and only where sizes allow a link.
-Every link is decided on the full sets of 64-bit shingle hashes.
+with one class, and in further rounds what is not yet in the bucket's largest component with another class of that one, which
+links nearly all of a group of copies. Only classes that are then still apart are compared with the bucket's other classes,
+and only where sizes allow a link, so no link between different components is left out. Every link is decided on the full
+sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from wavelark.llm.components import connected_components
 
 #: A pair at a similarity of exactly 0.8 shares no band with a probability of (1 - 0.8 ** 6) ** 42, 3 in a million.
 ROWS, BANDS = 6, 42
+#: Rounds in which what is apart from a bucket's largest component meets one class of it; what then remains meets all.
+ROUNDS = 5
 _CHUNK = 32_768
 
 
@@ -149,38 +152,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(real.join(least.withColumnRenamed("class", "doc_id"), ["print", "doc_id"]).withColumnRenamed("doc_id", "class").groupBy("class", "print").agg(F.max("n_shingles").alias("n"), F.max("bands").alias("bands")).drop("print"))
     members = real.select("doc_id", "print").join(least, "print").select(F.col("doc_id").alias("a"), F.col("class").alias("b")).where("a <> b")
 
-    buckets = classes.select("class", "n", F.explode("bands").alias("band"))
-    shared = materialize(buckets.groupBy("band").agg(F.min("class").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"))
-    in_shared = materialize(buckets.join(shared, "band"))
+    buckets = classes.select("class", "n", "bands", F.explode("bands").alias("band"))
+    shared = materialize(buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"))
+    active = materialize(buckets.join(shared, "band"))
+    wanted = materialize(active.select(F.col("class").alias("id")).distinct())
+    chosen = texts.withColumnRenamed("doc_id", "id").join(wanted.hint("shuffle_hash"), "id", "left_semi")
+    sets = materialize(chosen.mapInArrow(_sets(words), "id long, members binary"))
+
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
-    stars = in_shared.where("class <> least").groupBy("class", "least").agg(F.max("n").alias("n"))
-    sizes = classes.groupBy(F.col("class").alias("least")).agg(F.max("n").alias("m"))
-    stars = stars.join(sizes, "least").where(fits(F.col("n"), F.col("m"))).select(F.col("class").alias("a"), F.col("least").alias("b"))
-    stars = materialize(stars)
-
-    linked = materialize(_links(texts, stars, words, percent))
-    parts = materialize(connected_components(linked))
-    labelled = in_shared.join(parts.select(F.col("node").alias("class"), F.col("component").alias("own")), "class", "left").withColumn("own", F.coalesce("own", "class"))
-    labelled = materialize(labelled.join(parts.select(F.col("node").alias("least"), F.col("component").alias("theirs")), "least", "left").withColumn("theirs", F.coalesce("theirs", "least")))
-    apart = labelled.where("own <> theirs").select("band", F.col("class").alias("a"), F.col("n").alias("an"), F.col("own").alias("aown"))
-    others = labelled.where("class <> least").join(apart.select("band").distinct(), "band", "left_semi")
-    rest = apart.join(others, "band").where((F.col("aown") != F.col("own")) & fits(F.col("an"), F.col("n"))).select(F.greatest("a", "class").alias("a"), F.least("a", "class").alias("b")).distinct()
-    rest = materialize(rest)
-    links = linked.unionByName(members)
-    if rest.limit(1).count():
-        links = links.unionByName(_links(texts, rest, words, percent))
-    component = materialize(connected_components(links))
+    component: DataFrame | None = None  # node, component
+    before = None
+    for step in range(ROUNDS + 1):
+        active, apart = _apart(active, component, step)
+        left = apart.count()
+        if not left or step == ROUNDS or (before is not None and left > 0.7 * before):
+            break
+        before = left
+        pairs = apart.where((F.col("class") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b")).distinct()
+        component = _joined_components(component, _links(sets, materialize(pairs), percent))
+    if left:
+        # what is still apart meets all of its buckets, each pair in the first bucket that it shares
+        one = apart.select("band", F.col("class").alias("a"), F.col("n").alias("an"), F.col("own").alias("aown"), F.col("bands").alias("abands"))
+        first = F.array_min(F.array_intersect("abands", "bands")) == F.col("band")
+        other = (F.col("aown") != F.col("own")) & fits(F.col("an"), F.col("n")) & ((F.col("own") == F.col("main")) | (F.col("a") > F.col("class")))
+        pairs = one.join(active, ["band"]).where(other & first).select(F.greatest("a", "class").alias("a"), F.least("a", "class").alias("b"))
+        component = _joined_components(component, _links(sets, materialize(pairs), percent))
+    component = _joined_components(component, members)
     labelled = signed.select("doc_id", "n_shingles").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return labelled.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _links(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _apart(active: DataFrame, component: DataFrame | None, step: int) -> tuple[DataFrame, DataFrame]:
+    """Of the buckets that hold several components: all rows, and those outside the bucket's largest component.
+
+    Rows get own (component), main (the bucket's largest one), pivot and pivot_n (one of its classes, another each step).
+    """
+    rows = active.select("band", "class", "n", "bands")
+    if component is None:
+        rows = rows.withColumn("own", F.col("class"))
+    else:
+        rows = rows.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("own", F.coalesce("component", "class")).drop("component")
+    rows = materialize(rows)
+    pick = F.struct(F.lit(0) if step == 0 else F.xxhash64(F.lit(step), "class"), F.col("class").alias("pivot"), F.col("n").alias("pivot_n"))
+    parts = rows.groupBy("band", "own").agg(F.count("*").alias("size"), F.min(pick).alias("pick"))
+    largest = F.max_by(F.struct("own", "pick"), F.struct("size", -F.col("own")))
+    mains = materialize(parts.groupBy("band").agg(largest.alias("m"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("m.own").alias("main"), F.col("m.pick.pivot").alias("pivot"), F.col("m.pick.pivot_n").alias("pivot_n")))
+    rows = materialize(rows.join(mains, "band"))
+    return rows, rows.where("own <> main")
+
+
+def _joined_components(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after further links a, b, found among the components so far."""
+    if component is None:
+        return materialize(connected_components(links))
+    of = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"{side}_own"))
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_own", "a").alias("a"), F.coalesce("b_own", "b").alias("b"))
+    more = materialize(connected_components(lifted)).withColumnRenamed("component", "final")
+    kept = component.join(more.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+    new = more.join(component.select("node"), "node", "left_anti").select("node", F.col("final").alias("component"))
+    return materialize(kept.unionByName(new))
+
+
+def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs a, b that are similar enough, decided on the full sets."""
-    wanted = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    chosen = texts.withColumnRenamed("doc_id", "id").join(wanted.hint("shuffle_hash"), "id", "left_semi")
-    sets = materialize(chosen.mapInArrow(_sets(words), "id long, members binary"))
     left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("left")), sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long").distinct()
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long").distinct())
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
