@@ -9,6 +9,8 @@ parent at an offset. No task holds more than the histograms of FAN nodes or the
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,11 +32,10 @@ FAN = 32
 #: Documents that a leaf packs at once; a partition's further leaves are numbered at this distance.
 LEAF, NEXT_LEAF = 50_000, 1 << 20
 #: Entries of a worker's cache of word encodings.
-CACHE = 300_000
+CACHE = 400_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, node long, fill int, rank long, at long"
-_cache: dict[str, dict[str, bytes]] = {}
-_encoders: dict[str, object] = {}
+_encoders: dict[str, "WordEncoder"] = {}
 
 
 def default_tokenizer() -> str:
@@ -43,28 +44,70 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_bytes(texts: list[str], tokenizer_path: str) -> Iterator[bytes]:
-    """Little-endian 32-bit ids of each text.
+#: A full stop or comma right after another sign: the tokenizer keeps such signs together.
+_SIGNS = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_")
+
+
+class WordEncoder:
+    """Token ids by parts of text, for a tokenizer that drops white space and never joins anything across it.
 
-    The tokenizer never joins characters over a space or a newline (its splitting pattern removes white space and its
-    normaliser is local to a word), so each stretch between them is encoded once and remembered.
+    Full stops and commas are parted from their words, and texts are lower-cased first where that is what the tokenizer would do,
+    so that few different parts remain; they are remembered in a bounded cache. New words are encoded many at a time; each
+    ends with the one token that closes a word, which tells their ids apart.
     """
-    from tokenizers import Tokenizer
 
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        special = "<|" in text or "\u03a3" in text or "\u0130" in text
+        if special or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            return text.split(" ")
+        text = text.lower()
+        if not _SIGNS.search(text):
+            text = text.replace(".", " . ").replace(",", " , ")
+        return text.split(" ")
+
+    def _learn(self, new: set[str]) -> None:
+        words = [p for p in new if p.isalpha()]
+        odd = [p for p in new if not p.isalpha()]
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.asarray(e.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
+            if len(ends) != len(group):  # one of them is several words to the tokenizer
+                odd += group
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        for part, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            self.known[part] = np.asarray(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for first in range(0, len(texts), 256):
+            split = [self.parts(t) for t in texts[first : first + 256]]
+            if len(self.known) > CACHE:
+                self.known.clear()
+            new = set().union(*split).difference(self.known)
+            if new:
+                self._learn(new)
+            for parts in split:
+                yield b"".join(map(self.known.__getitem__, parts))
+
+
+def token_bytes(texts: list[str], tokenizer_path: str) -> Iterator[bytes]:
+    """Little-endian 32-bit ids of each text."""
     if tokenizer_path not in _encoders:
-        _encoders[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
-        _cache[tokenizer_path] = {}
-    encoder, known = _encoders[tokenizer_path], _cache[tokenizer_path]
-    for first in range(0, len(texts), 64):
-        split = [t.replace("\n", " ").split(" ") for t in texts[first : first + 64]]
-        if len(known) > CACHE:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        if new:
-            for w, e in zip(new, encoder.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        for words in split:
-            yield b"".join([known[w] for w in words])
+        _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
+    return _encoders[tokenizer_path].encode(texts)
 
 
 class Bins:
