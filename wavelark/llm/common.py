@@ -31,12 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
-def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/wavelark/{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, lean: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors.
+
+    lean: the rows are ids and counts only, so an eighth of the shuffle partitions is enough to write them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/wavelark/{uuid.uuid4().hex}"
+    if lean:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shard_count(df: DataFrame, bytes_per_shard: int = 32 << 20) -> int:

@@ -10,7 +10,7 @@ from wavelark.llm.common import materialize
 
 def _attach_least(pairs: DataFrame) -> DataFrame:
     """pairs u, v: adds m, the least v of each u. Both sides are tables, so that Spark can split a hot u."""
-    return pairs.join(materialize(pairs.groupBy("u").agg(F.min("v").alias("m"))), "u")
+    return pairs.join(materialize(pairs.groupBy("u").agg(F.min("v").alias("m")), lean=True), "u")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -19,15 +19,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Nulls and self-loops are ignored. The number of rounds grows with the logarithm of the longest path.
     """
     high, low = F.greatest("a", "b"), F.least("a", "b")
-    now = materialize(edges.where("a is not null and b is not null and a <> b").select(high.alias("u"), low.alias("v")).distinct())
+    now = materialize(edges.where("a is not null and b is not null and a <> b").select(high.alias("u"), low.alias("v")).distinct(), lean=True)
     state = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _attach_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        large = materialize(large)
+        large = materialize(large, lean=True)
         least = _attach_least(large)
         small = least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small)
+        now = materialize(small, lean=True)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break

@@ -265,7 +265,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     ready = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     ready = materialize(ready.mapInArrow(_prepare, "vec_id long, unit binary"))
     usable = ready.where("unit is not null").withColumn("print", F.md5("unit"))
-    reps = materialize(usable.groupBy("print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    reps = materialize(usable.groupBy("print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), lean=True)
     same = usable.select("vec_id", "unit", "print").join(reps.withColumnRenamed("rep", "vec_id"), ["print", "vec_id"])
     nodes = materialize(same.groupBy("print", "vec_id").agg(F.first("unit").alias("unit"), F.max("copies").alias("copies")).select(F.col("vec_id").alias("rep"), "unit", "copies"))
     n = nodes.count()
@@ -279,7 +279,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     placed = materialize(nodes.select("rep", "unit", "copies").mapInArrow(_assign(centres, overlap), "rep long, unit binary, copies long, centres array<int>"))
     rows = placed.select("rep", "unit", "copies", "centres", F.explode("centres").alias("centre"))
     sizes = rows.groupBy("centre").count().select("centre", F.ceil(F.col("count") / (2 * shard)).cast("int").alias("blocks"))
-    sizes = F.broadcast(materialize(sizes))  # a row a centre, MOST_CENTRES at most
+    sizes = F.broadcast(materialize(sizes, lean=True))  # a row a centre, MOST_CENTRES at most
     rows = materialize(rows.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
 
     lists = rows.select("centre", "block", "rep", "unit").groupBy("centre", "block").applyInArrow(_build(DEGREE, CANDIDATES, ALPHA), "rep long, near array<long>")
@@ -288,11 +288,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     as_nodes = rows.join(union, "rep").select("centre", "block", others.alias("ask"), "rep", "unit", "copies", "centres", "near", F.lit(0).alias("role"))
     as_asks = rows.select("centre", others.alias("other"), "block", "rep", "unit", "copies", "centres").select("centre", F.col("other").alias("block"), F.col("block").alias("ask"), "rep", "unit", "copies", "centres", F.lit(None).cast("array<long>").alias("near"), F.lit(1).alias("role"))
     found = as_nodes.unionByName(as_asks).groupBy("centre", "block", "ask").applyInArrow(_search(least, beam), "rep long, n long, other long")
-    found = materialize(found)
-    counts = materialize(found.groupBy("rep").agg(F.sum("n").alias("n")))
-    component = materialize(connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))))
+    found = materialize(found, lean=True)
+    counts = materialize(found.groupBy("rep").agg(F.sum("n").alias("n")), lean=True)
+    component = materialize(connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))), lean=True)
     known = nodes.select("rep").join(counts, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component_id"))
-    known = materialize(known)
+    known = materialize(known, lean=True)
     linked = membership.join(known, "rep").select("vec_id", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = ready.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

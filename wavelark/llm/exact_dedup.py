@@ -92,7 +92,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = materialize(ranged.mapInArrow(_compare_neighbours(keep == "largest"), _ROWS))
     edges = rows.where("edge_text is not null").select("seg", "edge_text", "seg_key", "seg_size")
     totals = edges.groupBy("edge_text").agg(F.max(F.struct("seg_key", "seg")).alias("best"), F.sum("seg_size").alias("size"))
-    closed = materialize(edges.join(totals, "edge_text").select("seg", F.col("best.seg_key").alias("all_key"), (F.col("best.seg") == F.col("seg")).alias("wins"), "size"))
+    closed = materialize(edges.join(totals, "edge_text").select("seg", F.col("best.seg_key").alias("all_key"), (F.col("best.seg") == F.col("seg")).alias("wins"), "size"), lean=True)
     to_id = lambda c: F.col(c) if keep == "largest" else F.bitwise_not(F.col(c))
     done = rows.where("not open").select("doc_id", to_id("seg_key").alias("keep_id"), F.col("seg_size").alias("group_size"), F.col("top").alias("kept"), "text_sha256")
     rest = rows.where("open").join(closed, "seg").select("doc_id", to_id("all_key").alias("keep_id"), F.col("size").alias("group_size"), (F.col("top") & F.col("wins")).alias("kept"), "text_sha256")

@@ -45,8 +45,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lean = materialize(lines.select("key", "no", F.xxhash64("leaf").alias("leaf"), F.xxhash64(F.lit(7), "line").alias("print")))
     by_print = lean.groupBy("leaf", "print", "key").agg(F.min("no").alias("no"))
     prints = materialize(by_print.groupBy("leaf", "print").agg(F.count("*").alias("docs"), F.min(F.struct("key", "no")).alias("seen")))
-    leaves = materialize(prints.groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
-    chosen = materialize(prints.join(leaves, "leaf").select("leaf", "print", "docs", "seen.key", "seen.no"))
+    leaves = materialize(prints.groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), lean=True)
+    chosen = materialize(prints.join(leaves, "leaf").select("leaf", "print", "docs", "seen.key", "seen.no"), lean=True)
     # one line of each print is read again for its tokens
     wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("no", "leaf", "print", "docs")).alias("which"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -55,12 +55,12 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = texts.select(F.split("text", "\n").alias("all"), F.explode("which").alias("w")).select("w.*", masked(F.element_at("all", F.col("w.no") + 1)).alias("line")).drop("no")
     found = materialize(found.dropDuplicates(["print", "leaf"]))
     tokens = found.select("leaf", "print", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    common = materialize(tokens.where(F.col("token") != WILD).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n"))
+    common = materialize(tokens.where(F.col("token") != WILD).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n"), lean=True)
     kept = tokens.join(common.withColumn("fixed", F.lit(1)), ["leaf", "pos", "token"], "left")
     templates = kept.groupBy("leaf", "print").agg(F.max("docs").alias("docs"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("fixed") == 1, F.col("token")).otherwise(WILD).alias("token")))), lambda x: x["token"]), " ").alias("template"), F.avg(F.coalesce("fixed", F.lit(0))).alias("share"))
     templates = materialize(templates.where(F.col("share") >= constant))
-    often = materialize(templates.groupBy("leaf", "template").agg(F.sum("docs").alias("n_docs")).where(F.col("n_docs") >= min_docs))
-    dropped = materialize(templates.join(often.select("leaf", "template"), ["leaf", "template"]).select("leaf", "print"))
+    often = materialize(templates.groupBy("leaf", "template").agg(F.sum("docs").alias("n_docs")).where(F.col("n_docs") >= min_docs), lean=True)
+    dropped = materialize(templates.join(often.select("leaf", "template"), ["leaf", "template"]).select("leaf", "print"), lean=True)
     return lean.join(dropped, ["leaf", "print"]).select("key", "no"), often.select("template", "n_docs")
 
 

@@ -148,14 +148,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = id_and_text(docs, id_col, text_col)
     signed = materialize(texts.mapInArrow(_sign(words, rows, bands), "doc_id long, n_shingles long, print binary, bands array<long>"))
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    least = materialize(real.groupBy("print").agg(F.min("doc_id").alias("class")))
+    least = materialize(real.groupBy("print").agg(F.min("doc_id").alias("class")), lean=True)
     classes = materialize(real.join(least.withColumnRenamed("class", "doc_id"), ["print", "doc_id"]).withColumnRenamed("doc_id", "class").groupBy("class", "print").agg(F.max("n_shingles").alias("n"), F.max("bands").alias("bands")).drop("print"))
     members = real.select("doc_id", "print").join(least, "print").select(F.col("doc_id").alias("a"), F.col("class").alias("b")).where("a <> b")
 
-    buckets = classes.select("class", "n", "bands", F.explode("bands").alias("band"))
-    shared = materialize(buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"))
+    buckets = classes.select("class", "n", F.explode("bands").alias("band"))
+    shared = materialize(buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"), lean=True)
     active = materialize(buckets.join(shared, "band"))
-    wanted = materialize(active.select(F.col("class").alias("id")).distinct())
+    wanted = materialize(active.select(F.col("class").alias("id")).distinct(), lean=True)
     chosen = texts.withColumnRenamed("doc_id", "id").join(wanted.hint("shuffle_hash"), "id", "left_semi")
     sets = materialize(chosen.mapInArrow(_sets(words), "id long, members binary"))
 
@@ -169,14 +169,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         before = left
         pairs = apart.where((F.col("class") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b")).distinct()
-        component = _joined_components(component, _links(sets, materialize(pairs), percent))
+        component = _joined_components(component, _links(sets, materialize(pairs, lean=True), percent))
     if left:
         # what is still apart meets all of its buckets, each pair in the first bucket that it shares
-        one = apart.select("band", F.col("class").alias("a"), F.col("n").alias("an"), F.col("own").alias("aown"), F.col("bands").alias("abands"))
+        keys = classes.select("class", "bands")
+        one = materialize(apart.join(keys, "class").select("band", F.col("class").alias("a"), F.col("n").alias("an"), F.col("own").alias("aown"), F.col("bands").alias("abands")))
+        all_ = materialize(active.join(materialize(one.select("band").distinct(), lean=True), "band").join(keys, "class").select("band", "class", "n", "own", "main", "bands"))
         first = F.array_min(F.array_intersect("abands", "bands")) == F.col("band")
         other = (F.col("aown") != F.col("own")) & fits(F.col("an"), F.col("n")) & ((F.col("own") == F.col("main")) | (F.col("a") > F.col("class")))
-        pairs = one.join(active, ["band"]).where(other & first).select(F.greatest("a", "class").alias("a"), F.least("a", "class").alias("b"))
-        component = _joined_components(component, _links(sets, materialize(pairs), percent))
+        pairs = one.join(all_, ["band"]).where(other & first).select(F.greatest("a", "class").alias("a"), F.least("a", "class").alias("b"))
+        component = _joined_components(component, _links(sets, materialize(pairs, lean=True), percent))
     component = _joined_components(component, members)
     labelled = signed.select("doc_id", "n_shingles").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return labelled.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -187,36 +189,36 @@ def _apart(active: DataFrame, component: DataFrame | None, step: int) -> tuple[D
 
     Rows get own (component), main (the bucket's largest one), pivot and pivot_n (one of its classes, another each step).
     """
-    rows = active.select("band", "class", "n", "bands")
+    rows = active.select("band", "class", "n")
     if component is None:
         rows = rows.withColumn("own", F.col("class"))
     else:
         rows = rows.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("own", F.coalesce("component", "class")).drop("component")
-    rows = materialize(rows)
+    rows = materialize(rows, lean=True)
     pick = F.struct(F.lit(0) if step == 0 else F.xxhash64(F.lit(step), "class"), F.col("class").alias("pivot"), F.col("n").alias("pivot_n"))
     parts = rows.groupBy("band", "own").agg(F.count("*").alias("size"), F.min(pick).alias("pick"))
     largest = F.max_by(F.struct("own", "pick"), F.struct("size", -F.col("own")))
-    mains = materialize(parts.groupBy("band").agg(largest.alias("m"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("m.own").alias("main"), F.col("m.pick.pivot").alias("pivot"), F.col("m.pick.pivot_n").alias("pivot_n")))
-    rows = materialize(rows.join(mains, "band"))
+    mains = materialize(parts.groupBy("band").agg(largest.alias("m"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("m.own").alias("main"), F.col("m.pick.pivot").alias("pivot"), F.col("m.pick.pivot_n").alias("pivot_n")), lean=True)
+    rows = materialize(rows.join(mains, "band"), lean=True)
     return rows, rows.where("own <> main")
 
 
 def _joined_components(component: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components after further links a, b, found among the components so far."""
     if component is None:
-        return materialize(connected_components(links))
+        return materialize(connected_components(links), lean=True)
     of = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"{side}_own"))
     lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_own", "a").alias("a"), F.coalesce("b_own", "b").alias("b"))
-    more = materialize(connected_components(lifted)).withColumnRenamed("component", "final")
+    more = materialize(connected_components(lifted), lean=True).withColumnRenamed("component", "final")
     kept = component.join(more.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("final", "component").alias("component"))
     new = more.join(component.select("node"), "node", "left_anti").select("node", F.col("final").alias("component"))
-    return materialize(kept.unionByName(new))
+    return materialize(kept.unionByName(new), lean=True)
 
 
 def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs a, b that are similar enough, decided on the full sets."""
     left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("left")), sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long").distinct())
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long").distinct(), lean=True)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

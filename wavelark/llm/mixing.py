@@ -78,7 +78,7 @@ def _queue(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     buckets = min(MOST_BUCKETS, max(1, base.count() // BUCKET_ROWS))
 
     goals = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    goals = materialize(goals.withColumn("q", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source")))))
+    goals = materialize(goals.withColumn("q", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source")))), lean=True)
     small = goals.count() <= BROADCAST_SOURCES
     sided = (F.broadcast(goals) if small else goals).withColumnRenamed("source", "_source")
     # the first 8 hex digits of a place, as a fraction of its queue
@@ -89,7 +89,7 @@ def _queue(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     ahead = sums.select("q", "part", F.coalesce(F.sum("part_size").over(Window.partitionBy("q").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("q", "part").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("size").over(within)).join(ahead, ["q", "part"])
-    placed = materialize(placed.withColumn("end", F.col("upto") + F.col("ahead")).drop("upto", "ahead", "part"))
+    placed = materialize(placed.withColumn("end", F.col("upto") + F.col("ahead")).drop("upto", "ahead", "part"), lean=True)
 
     # virtual finish times of the copies; the merged queue is cut in the bucket in which the budget runs out
     finish = lambda e: (F.lit(e) * F.col("source_size") + F.col("end")).cast("double") / F.col("target")

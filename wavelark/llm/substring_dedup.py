@@ -157,7 +157,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if c is None:
                 return t
             words = _WORD.findall(t.encode("utf-8", "surrogatepass"))
-            kept = _kept(words, None if s is None else list(s), bool(c), window)
+            kept = _kept(words, s, bool(c), window)
             return t if len(kept) == len(words) else b" ".join(kept).decode("utf-8", "ignore")
 
         return pd.Series([one(*x) for x in zip(text, spans, copy)])

@@ -178,7 +178,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(text, spans, copy):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([t if c is None or len(t.encode()) < length else "" if c else without(t.encode("utf-8", "surrogatepass"), union_of(list(s))).decode("utf-8", "ignore") for t, s, c in zip(text, spans, copy)])
+        return pd.Series([t if c is None or len(t.encode()) < length else "" if c else without(t.encode("utf-8", "surrogatepass"), union_of(s)).decode("utf-8", "ignore") for t, s, c in zip(text, spans, copy)])
 
     joined = rows.join(found.hint("shuffle_hash"), ["_id", "_key"], "left")
     new = joined.select(F.col("_row").withField(f"`{text_col}`", F.when(F.col("_row").getField(text_col).isNotNull(), cut("_text", "spans", "copy"))).alias("_row"))

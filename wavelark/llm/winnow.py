@@ -124,13 +124,38 @@ def _tell(units: Units, window: int, k: int, shards: int):
 
 _TOLD = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("owners", pa.binary()), ("blob", pa.binary())])
 _ANSWER = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("blob", pa.binary())])
+_PACKED = pa.schema([("home", pa.int32()), ("owners", pa.binary()), ("blob", pa.binary())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _packed(rows: list[tuple[int, int, bytes]], homes: int) -> pa.Table:
+    """Rows of (document, key, bytes) as one row a home, the key's remainder."""
+    by_home: dict[int, list[tuple[int, int, bytes]]] = {}
+    for row in rows:
+        by_home.setdefault(row[1] % homes, []).append(row)
+    out = [(home, np.array([(d, k, len(b)) for d, k, b in part], "<i8").tobytes(), b"".join(b for _, _, b in part)) for home, part in by_home.items()]
+    return pa.Table.from_batches([_batch(out, _PACKED)])
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """One row a document from the packed rows of a home."""
+    by_doc: dict[tuple[int, int], list[bytes]] = {}
+    for owners, blob in zip(table["owners"].to_pylist(), table["blob"].to_pylist()):
+        at = 0
+        for doc, key, n in np.frombuffer(owners, "<i8").reshape(-1, 3).tolist():
+            by_doc.setdefault((doc, key), []).append(blob[at : at + n])
+            at += n
+    return pa.Table.from_batches([_batch([(doc, key, b"".join(parts)) for (doc, key), parts in by_doc.items()], _ANSWER)])
+
+
+def _answer(homes: int):
+    return lambda table: _packed(_answers(table), homes)
+
+
+def _answers(table: pa.Table) -> list[tuple[int, int, bytes]]:
     """Step 1, shard side: to each document, which of its hashes a document with another text has too."""
     owners, blobs = table["owners"].to_pylist(), table["blob"].to_pylist()
     ids, keys = table["doc_id"].to_pylist(), table["key"].to_pylist()
@@ -162,7 +187,7 @@ def _answer(table: pa.Table) -> pa.Table:
             docs, at = np.unique(d[told], return_index=True)
             for x, part in zip(docs.tolist(), np.split(h[told], at[1:])):
                 rows.append((int(who[0, x]), int(who[1, x]), part.tobytes()))
-    return pa.Table.from_batches([_batch(rows, _ANSWER)])
+    return rows
 
 
 def _stretches(units: Units, window: int, k: int, shards: int):
@@ -188,7 +213,7 @@ def _stretches(units: Units, window: int, k: int, shards: int):
                 at, first, last = doc.anchors(window, k)
                 if not len(at):
                     continue
-                told = np.frombuffer(b"".join(batch.column(3)[i].as_py()), np.uint64)
+                told = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
                 h = doc.grams[at]
                 chosen = np.flatnonzero(np.isin(_short(h), told))
                 shard = _shard_of(h[chosen], shards).tolist()
@@ -212,7 +237,7 @@ def _stretches(units: Units, window: int, k: int, shards: int):
     return run
 
 
-def _match(matcher: Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, int, int]]]):
+def _match(matcher: Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, int, int]]], homes: int):
     """Step 2, shard side. matcher: gets (document id, stretch) pairs, gives (index, first unit, end unit) within stretches."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -232,15 +257,14 @@ def _match(matcher: Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, int,
         for i, a, b in matcher([(x[0], x[3]) for x in items]):
             doc, key, start, _ = items[i]
             spans.setdefault((doc, key), []).append((start + a, start + b))
-        rows += [(doc, key, np.asarray(s, "<i4").tobytes()) for (doc, key), s in spans.items()]
-        return pa.Table.from_batches([_batch(rows, _ANSWER)])
+        return _packed(rows + [(doc, key, np.asarray(s, "<i4").tobytes()) for (doc, key), s in spans.items()], homes)
 
     return run
 
 
-def union_of(blobs: list[bytes]) -> np.ndarray:
+def union_of(blob: bytes) -> np.ndarray:
     """Sorted disjoint spans (rows of start, end) that cover what the packed spans cover; touching spans are one."""
-    spans = np.concatenate([np.frombuffer(b, "<i4").reshape(-1, 2) for b in blobs]).astype(np.int64)
+    spans = np.frombuffer(blob, "<i4").reshape(-1, 2).astype(np.int64)
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     ends = np.maximum.accumulate(spans[:, 1])
     new = np.concatenate([[True], spans[1:, 0] > ends[:-1]])
@@ -260,15 +284,13 @@ def repeated_spans(docs: DataFrame, units: Units, matcher, window: int, k: int,
     keyed = texts.select("doc_id", F.xxhash64("doc_id", "digest").bitwiseAND(F.lit(largest)).alias("key"), "text", "digest")
     shards = shard_count(docs)
     told = keyed.select("doc_id", "key", F.xxhash64("digest").alias("print"), "text").mapInArrow(_tell(units, window, k, shards), "shard int, doc_id long, key long, owners binary, blob binary")
-    answers = told.groupBy("shard").applyInArrow(_answer, "doc_id long, key long, blob binary")
+    answers = told.groupBy("shard").applyInArrow(_answer(shards), "home int, owners binary, blob binary").groupBy("home").applyInArrow(_gathered, "doc_id long, key long, blob binary")
     lean = materialize(keyed.select("doc_id", "key", "digest"))
-    firsts = materialize(lean.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"))
-    copies = materialize(lean.join(firsts, "digest").where("doc_id > least").select("doc_id", "key").distinct())
-    marks = answers.unionByName(copies.withColumn("blob", F.lit(None).cast("binary")))
-    marks = marks.groupBy("doc_id", "key").agg(F.collect_list("blob").alias("told"), F.max(F.col("blob").isNull()).alias("copy"))
-    marks = marks.where("not copy").drop("copy")
+    firsts = materialize(lean.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"), lean=True)
+    copies = materialize(lean.join(firsts, "digest").where("doc_id > least").select("doc_id", "key").distinct(), lean=True)
+    marks = answers.join(copies, ["doc_id", "key"], "left_anti").withColumnRenamed("blob", "told")
     asked = keyed.select("doc_id", "key", "text").join(marks.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "text", "told")
     pieces = asked.mapInArrow(_stretches(units, window, k, MATCH_SHARDS * shards), "shard int, doc_id long, key long, owners binary, blob binary")
-    spans = pieces.groupBy("shard").applyInArrow(_match(matcher), "doc_id long, key long, blob binary")
-    found = spans.unionByName(copies.withColumn("blob", F.lit(None).cast("binary"))).groupBy("doc_id", "key").agg(F.collect_list("blob").alias("spans"), F.max(F.col("blob").isNull()).alias("copy"))
+    spans = pieces.groupBy("shard").applyInArrow(_match(matcher, shards), "home int, owners binary, blob binary").groupBy("home").applyInArrow(_gathered, "doc_id long, key long, blob binary")
+    found = spans.select("doc_id", "key", F.col("blob").alias("spans"), F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "key", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("copy")))
     return keyed.select("doc_id", "key", "text"), materialize(found)
