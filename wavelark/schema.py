@@ -1,0 +1,22 @@
+"""Schemas of the engine's tables. Vectors are arrays; positions are explicit columns, never row order."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+_vector = T.ArrayType(T.DoubleType())
+_matrix = T.ArrayType(_vector)
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+SIGNALS = _struct(path=T.StringType(), class_name=T.StringType(), sample_rate=T.DoubleType(), num_samples=T.IntegerType(), samples=_vector)
+SIGNAL_CHUNKS = _struct(path=T.StringType(), class_name=T.StringType(), sample_rate=T.DoubleType(), start=T.LongType(), samples=_vector)
+FRAMES = _struct(path=T.StringType(), class_name=T.StringType(), t=T.IntegerType(), r=_vector)
+CODEBOOK = _struct(codebook_id=T.StringType(), class_name=T.StringType(), codeword=T.IntegerType(), rc=_vector, raa=_vector)
+SEQUENCES = _struct(path=T.StringType(), class_name=T.StringType(), n_symbols=T.IntegerType(), symbols=T.ArrayType(T.IntegerType()))
+HMMS = _struct(model_id=T.IntegerType(), class_name=T.StringType(), pi=_vector, trans=_matrix, emit=_matrix)
+SEGMENTS = _struct(selection=T.IntegerType(), begin_s=T.DoubleType(), end_s=T.DoubleType(), type=T.StringType())
+RANKED = _struct(seq=T.StringType(), class_name=T.StringType(), rank=T.IntegerType(), ranked=T.ArrayType(T.StringType()))
