@@ -85,7 +85,7 @@ class LexiconAutomaton:
                         cost = e + (ch != c)
                         if cost <= budget[x] and after.get(x, 99) > cost:
                             after[x] = cost
-                    if e + 1 <= budget[node] and after.get(node, 99) > e + 1 and node:
+                    if e + 1 <= budget[node] and after.get(node, 99) > e + 1:
                         after[node] = e + 1
                 s = closed(after)
                 if s not in number:
