@@ -184,6 +184,14 @@ def test_minhash(docs, empty, odd):
     assert len(out) == 7 and all(r.kept for r in out)
 
 
+def test_minhash_in_full(docs, monkeypatch):
+    """Without the rounds, blocks of each bucket meet one another; the result is the same."""
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    want = brute.near(PAIRS, 2)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=2).collect()} == {i: c for i, (_, c) in want.items()}
+
+
 def test_components(spark):
     from wavelark.llm.components import connected_components
 

@@ -26,7 +26,9 @@ from wavelark.llm.components import connected_components
 #: A pair at a similarity of exactly 0.8 shares no band with a probability of (1 - 0.8 ** 6) ** 42, 3 in a million.
 ROWS, BANDS = 6, 42
 #: Rounds in which what is apart from a bucket's largest component meets one class of it; what then remains meets all.
-ROUNDS = 5
+ROUNDS = 4
+#: Classes of a block where buckets are compared in full.
+BLOCK = 256
 _CHUNK = 32_768
 
 
@@ -171,19 +173,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = apart.where((F.col("class") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b")).distinct()
         component = _joined_components(component, _links(sets, materialize(pairs, lean=True), percent))
     if left:
-        # what is still apart meets all of its buckets, each pair in the first bucket that it shares
-        keys = classes.select("class", "bands")
-        one = materialize(apart.join(keys, "class").select("band", F.col("class").alias("a"), F.col("n").alias("an"), F.col("own").alias("aown"), F.col("bands").alias("abands")))
-        all_ = materialize(active.join(materialize(one.select("band").distinct(), lean=True), "band").join(keys, "class").select("band", "class", "n", "own", "main", "bands"))
-        first = F.array_min(F.array_intersect("abands", "bands")) == F.col("band")
-        other = (F.col("aown") != F.col("own")) & fits(F.col("an"), F.col("n")) & ((F.col("own") == F.col("main")) | (F.col("a") > F.col("class")))
-        pairs = one.join(all_, ["band"]).where(other & first).select(F.greatest("a", "class").alias("a"), F.least("a", "class").alias("b"))
-        component = _joined_components(component, _links(sets, materialize(pairs, lean=True), percent))
+        component = _joined_components(component, _met(active, apart, sets, percent))
     component = _joined_components(component, members)
     labelled = signed.select("doc_id", "n_shingles").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return labelled.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _met(active: DataFrame, apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of what is still apart with the other components of all its buckets: blocks of a bucket meet blocks of its rows apart."""
+    count = lambda rows, name: rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    blocks = materialize(count(apart, "asks").join(count(active, "blocks"), "band"), lean=True)
+    part = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    there = active.select("band", "class", "own").join(blocks, "band").select("band", part("blocks").alias("block"), every("asks").alias("ask"), "class", "own", F.lit(0).alias("role"))
+    here = apart.select("band", "class", "own").join(blocks, "band").select("band", every("blocks").alias("block"), part("asks").alias("ask"), "class", "own", F.lit(1).alias("role"))
+    rows = there.unionByName(here).join(sets.withColumnRenamed("id", "class"), "class")
+    return materialize(rows.groupBy("band", "block", "ask").applyInArrow(_meet(percent), "a long, b long").distinct(), lean=True)
+
+
+def _meet(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        role, ids, own = table["role"].to_numpy(), table["class"].to_numpy(), table["own"].to_numpy()
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in table["members"]]
+        there, here = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        a, b = [], []
+        if len(there) and len(here):
+            size = np.array([len(sets[i]) for i in there])
+            every = np.concatenate([sets[i] for i in there])
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], np.repeat(np.arange(len(there)), size)[order]
+            for i in here.tolist():
+                first, last = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+                n = last - first
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(there))
+                good = (100 * both >= percent * (size + len(sets[i]) - both)) & (own[there] != own[i])
+                a += [int(ids[i])] * int(good.sum())
+                b += ids[there[good]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _apart(active: DataFrame, component: DataFrame | None, step: int) -> tuple[DataFrame, DataFrame]:
     """Of the buckets that hold several components: all rows, and those outside the bucket's largest component.
 
