@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,12 @@ def materialize(df: DataFrame, lean: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now and not whenever the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shard_count(df: DataFrame, bytes_per_shard: int = 32 << 20) -> int:
     """Enough shards that each stays small: the session's shuffle partitions, or more for large inputs."""
     stats = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -14,6 +14,7 @@ before they are shuffled, so a passage that a third of all documents share reach
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.llm.common import id_and_text, materialize, shard_count, sliding_argmin
+from wavelark.llm.common import id_and_text, materialize, shard_count, sliding_argmin, tidy
 
 #: Stretches of a batch that are merged at once.
 HELD = 60_000
@@ -102,7 +103,7 @@ def _tell(units: Units, window: int, k: int, shards: int):
             answered = answered[np.argsort(d[answered], kind="stable")]
             docs, at = np.unique(d[answered], return_index=True)
             for doc, part in zip(docs.tolist(), np.split(_short(h[answered]), at[1:])):
-                rows.append((int(keys[doc] % shards), int(ids[doc]), int(keys[doc]), None, part.tobytes()))
+                rows.append((int(keys[doc] % shards), int(keys[doc]), None, part.tobytes()))
         h, d, single = h[new], d[new], ~several[new]
         shard = _shard_of(h, shards)
         order = np.argsort(shard, kind="stable")
@@ -112,16 +113,17 @@ def _tell(units: Units, window: int, k: int, shards: int):
             docs, local = np.unique(d[part], return_inverse=True)
             low = _short(h[part])
             blob = low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes() + np.where(single[part], local, _SEVERAL).astype("<u2").tobytes()
-            rows.append((s, None, None, np.stack([ids[docs], keys[docs], digests[docs]]).astype("<i8").tobytes(), blob))
+            rows.append((s, None, np.stack([keys[docs], digests[docs]]).astype("<i8").tobytes(), blob))
             if len(rows) >= 500:
-                yield _batch(rows, _TOLD)
+                yield _batch(rows, _HEARD)
                 rows = []
         if rows:
-            yield _batch(rows, _TOLD)
+            yield _batch(rows, _HEARD)
 
     return run
 
 
+_HEARD = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("owners", pa.binary()), ("blob", pa.binary())])
 _TOLD = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("owners", pa.binary()), ("blob", pa.binary())])
 _ANSWER = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("blob", pa.binary())])
 _PACKED = pa.schema([("home", pa.int32()), ("owners", pa.binary()), ("blob", pa.binary())])
@@ -156,10 +158,9 @@ def _answer(homes: int):
 
 
 def _answers(table: pa.Table) -> list[tuple[int, int, bytes]]:
-    """Step 1, shard side: to each document, which of its hashes a document with another text has too."""
-    owners, blobs = table["owners"].to_pylist(), table["blob"].to_pylist()
-    ids, keys = table["doc_id"].to_pylist(), table["key"].to_pylist()
-    rows = [(ids[i], keys[i], blobs[i]) for i in range(len(blobs)) if owners[i] is None]
+    """Step 1, shard side: to each document (by its key), which of its hashes a document with another text has too."""
+    owners, blobs, keys = (table[c].to_pylist() for c in ("owners", "blob", "key"))
+    rows = [(0, keys[i], blobs[i]) for i in range(len(blobs)) if owners[i] is None]
     hashes, doc, own, base = [], [], [], 0
     for who, blob in zip(owners, blobs):
         if who is None:
@@ -168,7 +169,7 @@ def _answers(table: pa.Table) -> list[tuple[int, int, bytes]]:
         hashes.append(np.frombuffer(blob, "<u4", n).astype(np.uint64) | np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
         local = np.frombuffer(blob, "<u2", n, 5 * n).astype(np.int64)
         doc.append(np.where(local == _SEVERAL, -1, local + base))
-        own.append(np.frombuffer(who, "<i8").reshape(3, -1))
+        own.append(np.frombuffer(who, "<i8").reshape(2, -1))
         base += own[-1].shape[1]
     del owners, blobs
     if hashes:
@@ -178,7 +179,7 @@ def _answers(table: pa.Table) -> list[tuple[int, int, bytes]]:
         h, d = h[order], d[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.concatenate([first, [len(h)]]))
-        text = np.where(d >= 0, who[2][d], 0)
+        text = np.where(d >= 0, who[1][d], 0)
         several = np.maximum.reduceat(d < 0, first)
         shared = (size > 1) & (several | (np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first)))
         told = np.flatnonzero(np.repeat(shared, size) & (d >= 0))
@@ -186,7 +187,7 @@ def _answers(table: pa.Table) -> list[tuple[int, int, bytes]]:
             told = told[np.argsort(d[told], kind="stable")]
             docs, at = np.unique(d[told], return_index=True)
             for x, part in zip(docs.tolist(), np.split(h[told], at[1:])):
-                rows.append((int(who[0, x]), int(who[1, x]), part.tobytes()))
+                rows.append((0, int(who[0, x]), part.tobytes()))
     return rows
 
 
@@ -199,8 +200,11 @@ def _stretches(units: Units, window: int, k: int, shards: int):
         for content, (shard, doc, places) in found.items():
             by_shard.setdefault(shard, []).extend((content, doc, i, start) for i, start in places)
         for s, items in by_shard.items():
-            owners = np.array([[doc, keys[i], start, len(c)] for c, doc, i, start in items], "<i8")
-            rows.append((s, None, None, owners.tobytes(), zlib.compress(b"".join(x[0] for x in items), 1)))
+            rows_of = sorted({i for _, _, i, _ in items})
+            place = {i: n for n, i in enumerate(rows_of)}
+            who = np.array([[ids[i], keys[i]] for i in rows_of], "<i8").tobytes()
+            where = np.array([[place[i], start, len(c)] for c, _, i, start in items], "<i4").T.tobytes()
+            rows.append((s, None, None, zlib.compress(struct.pack("<i", len(rows_of)) + who + where, 1), zlib.compress(b"".join(x[0] for x in items), 1)))
         for n in range(0, len(rows), 500):
             yield _batch(rows[n : n + 500], _TOLD)
 
@@ -248,9 +252,11 @@ def _match(matcher: Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, int,
         for who, blob in zip(owners, blobs):
             if who is None:
                 continue
-            content, at = zlib.decompress(blob), 0
-            for doc, key, start, n in np.frombuffer(who, "<i8").reshape(-1, 4).tolist():
-                items.append((doc, key, start, content[at : at + n]))
+            content, who, at = zlib.decompress(blob), zlib.decompress(who), 0
+            n_docs = struct.unpack_from("<i", who)[0]
+            docs = np.frombuffer(who, "<i8", 2 * n_docs, 4).reshape(-1, 2).tolist()
+            for local, start, n in np.frombuffer(who, "<i4", offset=4 + 16 * n_docs).reshape(3, -1).T.tolist():
+                items.append((*docs[local], start, content[at : at + n]))
                 at += n
         items.sort(key=lambda x: (x[0], x[1], x[2]))
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -283,14 +289,18 @@ def repeated_spans(docs: DataFrame, units: Units, matcher, window: int, k: int,
     texts = texts.select("doc_id", F.col("text"), F.md5("text").alias("digest"))
     keyed = texts.select("doc_id", F.xxhash64("doc_id", "digest").bitwiseAND(F.lit(largest)).alias("key"), "text", "digest")
     shards = shard_count(docs)
-    told = keyed.select("doc_id", "key", F.xxhash64("digest").alias("print"), "text").mapInArrow(_tell(units, window, k, shards), "shard int, doc_id long, key long, owners binary, blob binary")
+    told = keyed.select("doc_id", "key", F.xxhash64("digest").alias("print"), "text").mapInArrow(_tell(units, window, k, shards), "shard int, key long, owners binary, blob binary")
     answers = told.groupBy("shard").applyInArrow(_answer(shards), "home int, owners binary, blob binary").groupBy("home").applyInArrow(_gathered, "doc_id long, key long, blob binary")
     lean = materialize(keyed.select("doc_id", "key", "digest"))
     firsts = materialize(lean.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"), lean=True)
     copies = materialize(lean.join(firsts, "digest").where("doc_id > least").select("doc_id", "key").distinct(), lean=True)
-    marks = answers.join(copies, ["doc_id", "key"], "left_anti").withColumnRenamed("blob", "told")
-    asked = keyed.select("doc_id", "key", "text").join(marks.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "text", "told")
+    # two documents that happened to share a key would only be told each other's hashes too
+    marks = answers.select("key", F.col("blob").alias("told")).join(copies.groupBy("key").agg(F.collect_set("doc_id").alias("copied")), "key", "left")
+    asked = keyed.select("doc_id", "key", "text").join(marks.hint("shuffle_hash"), "key").where(F.col("copied").isNull() | ~F.array_contains("copied", F.col("doc_id"))).select("doc_id", "key", "text", "told")
     pieces = asked.mapInArrow(_stretches(units, window, k, MATCH_SHARDS * shards), "shard int, doc_id long, key long, owners binary, blob binary")
     spans = pieces.groupBy("shard").applyInArrow(_match(matcher, shards), "home int, owners binary, blob binary").groupBy("home").applyInArrow(_gathered, "doc_id long, key long, blob binary")
     found = spans.select("doc_id", "key", F.col("blob").alias("spans"), F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "key", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("copy")))
-    return keyed.select("doc_id", "key", "text"), materialize(found)
+    found = materialize(found)
+    del told, answers, marks, asked, pieces, spans
+    tidy(docs.sparkSession)
+    return keyed.select("doc_id", "key", "text"), found
