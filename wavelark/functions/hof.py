@@ -214,7 +214,7 @@ def duration_ms(text: Column) -> Column:
 
 def elapsed_text(seconds: Column) -> Column:
     minutes = F.floor(seconds / 60).cast("int")
-    return F.when(seconds >= 60, F.format_string("%dm:%.1fs", minutes, seconds - minutes * 60.0)).otherwise(F.format_string("%.3fs", seconds))
+    return F.when(seconds >= 60, F.format_string("%dm:%.1fs", minutes, seconds - minutes * 60.0)).when(seconds.isNotNull(), F.format_string("%.3fs", seconds))
 
 
 def abbreviated(symbols: Column, head: int = 10, longest: int = 40) -> Column:

@@ -102,7 +102,7 @@ _CASES = (
 
 _EPD = (
     "WITH RECURSIVE raw AS (SELECT event_type AS path, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY event_type) AS c, value FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)), "
-    "env AS (SELECT path, n, c, (CASE WHEN n % 3 = 0 THEN -1 ELSE 1 END) * value * (CASE WHEN n BETWEEN 300 AND c - 250 THEN 40 ELSE 1 END) AS x FROM raw), "
+    "env AS (SELECT path, n, c, (CASE WHEN n % 3 = 0 THEN -1 ELSE 1 END) * value * (CASE WHEN n BETWEEN 300 AND c - 250 THEN 40 ELSE 1 END) AS x FROM raw WHERE c >= 200), "
     "scaled AS (SELECT path, n, c, CASE WHEN n = 0 OR max(x) OVER (PARTITION BY path) >= 4096 THEN x ELSE CAST(4096 AS DOUBLE) * x / max(x) OVER (PARTITION BY path) END AS x FROM env), "
     "emph AS (SELECT path, n, c, x - 0.95 * coalesce(lag(x) OVER (PARTITION BY path ORDER BY n), 0) AS y FROM scaled), "
     "blocked AS (SELECT path, n // 10 AS block, n % 10 AS k, c // 10 - 1 AS n_blocks, y, lag(y) OVER (PARTITION BY path ORDER BY n) AS before FROM emph), "
