@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled by numpy at once.
 BLOCK_BYTES = 1 << 19
+#: Most rows of an Arrow batch while a table is written.
+BATCH_ROWS = 2_000
+_ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _own_dirs: dict[str, str] = {}
 
@@ -41,7 +44,13 @@ def materialize(df: DataFrame, lean: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/wavelark/{uuid.uuid4().hex}"
     if lean:
         df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    df.write.parquet(path)
+    usual = spark.conf.get(_ROWS_A_BATCH)
+    try:  # rows that go to Python hold whole texts or sets, so they go in smaller batches
+        if not 0 < int(usual) <= BATCH_ROWS:
+            spark.conf.set(_ROWS_A_BATCH, str(BATCH_ROWS))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ROWS_A_BATCH, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 

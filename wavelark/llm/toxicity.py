@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.llm.common import id_and_text, lower_ascii, materialize, same_columns, text_blocks, unpack, word_bounds
+from wavelark.llm.common import id_and_text, lower_ascii, materialize, text_blocks, word_bounds
 
 SAMPLE = 20_000
 TERMS = 150
@@ -282,11 +282,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     model = train(docs, labels, id_col, text_col)
     model.automaton  # noqa: B018
 
-    @F.pandas_udf("double")
-    def score(text):  # noqa: ANN001, ANN202
-        import pandas as pd
+    at = docs.columns.index(text_col)
 
-        return pd.Series(model.scores(pa.array(text, pa.string())))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                yield part.filter(pa.array(model.scores(part.column(at)) < threshold))
 
-    rows = docs.select(same_columns(docs), score(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_score"))
-    return unpack(rows.where(F.col("_score") < threshold), docs.columns)
+    return docs.mapInArrow(clean, docs.schema)
