@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -56,8 +57,10 @@ def materialize(df: DataFrame, lean: bool = False) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now and not whenever the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees what Python held, the second what the driver's JVM then holds no more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def shard_count(df: DataFrame, bytes_per_shard: int = 32 << 20) -> int:

@@ -278,7 +278,14 @@ def union_of(blob: bytes) -> np.ndarray:
     return np.stack([spans[first, 0], ends[np.concatenate([first[1:] - 1, [len(spans) - 1]])]], axis=1)
 
 
-def repeated_spans(docs: DataFrame, units: Units, matcher, window: int, k: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, *args, **kwargs) -> tuple[DataFrame, DataFrame]:  # noqa: ANN002, ANN003
+    """As _repeated_spans, whose shuffle files go before the spans are used."""
+    out = _repeated_spans(docs, *args, **kwargs)
+    tidy(docs.sparkSession)
+    return out
+
+
+def _repeated_spans(docs: DataFrame, units: Units, matcher, window: int, k: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The texts (doc_id, key, text) and, for rows with something repeated, (doc_id, key, copy, spans).
 
     copy: a document with a smaller id has the whole same text. Null ids count as the largest id. Rows equal in id and text share
@@ -300,7 +307,4 @@ def repeated_spans(docs: DataFrame, units: Units, matcher, window: int, k: int,
     pieces = asked.mapInArrow(_stretches(units, window, k, MATCH_SHARDS * shards), "shard int, doc_id long, key long, owners binary, blob binary")
     spans = pieces.groupBy("shard").applyInArrow(_match(matcher, shards), "home int, owners binary, blob binary").groupBy("home").applyInArrow(_gathered, "doc_id long, key long, blob binary")
     found = spans.select("doc_id", "key", F.col("blob").alias("spans"), F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "key", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("copy")))
-    found = materialize(found)
-    del told, answers, marks, asked, pieces, spans
-    tidy(docs.sparkSession)
-    return keyed.select("doc_id", "key", "text"), found
+    return keyed.select("doc_id", "key", "text"), materialize(found)
