@@ -296,6 +296,17 @@ def test_levenshtein_automaton():
             assert found[i][1] == min(near) and distance(w, terms[found[i][0]]) == min(near)
 
 
+def test_stems():
+    a = toxicity.LexiconAutomaton(["chll*", "idiot"])
+    words = ["chll", "chlla", "chllanuxyzabcdefghijklmn", "chl", "achlla", "idiots", "idiot", "idi"]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+    w, t, e = a.run(data, starts, starts + [len(x) for x in words])
+    assert list(zip(w.tolist(), t.tolist(), e.tolist())) == [(0, 0, 0), (1, 0, 0), (2, 0, 0), (5, 1, 1), (6, 1, 0)]
+    chosen = toxicity.choose_terms([("chll*", 5.0, 200), ("chlla", 5.0, 90), ("idiot", 5.0, 150), ("idio*", 5.0, 150), ("odd", 5.0, 3)])
+    assert [c for c, _ in chosen] == ["chll*", "idiot"]
+
+
 def test_quotation_is_told_apart():
     import pyarrow as pa
 

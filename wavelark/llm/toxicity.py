@@ -22,7 +22,7 @@ from wavelark.llm.common import id_and_text, lower_ascii, materialize, text_bloc
 SAMPLE = 20_000
 TERMS = 150
 #: A term is in this share of the toxic texts at least, and its odds are this much higher there.
-LEAST_SHARE, LEAST_LOG_ODDS, LEAST_TEXTS = 0.002, 3.0, 5
+LEAST_SHARE, LEAST_LOG_ODDS, LEAST_TEXTS = 0.002, 2.0, 5
 THRESHOLD = 0.7
 #: Words to either side of a hit that are searched for quotation marks.
 WINDOW = 5
@@ -32,22 +32,30 @@ _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+#: Lengths in characters of the stems that are counted beside whole words; a stem is written with this sign behind it.
+STEM_CHARS, STEM = (4, 5, 6, 7), "*"
+#: Candidates that the lexicon is chosen from.
+CANDIDATES = 4_000
+
+
 def edits_allowed(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """None for a stem, which already stands for many words."""
+    return 0 if len(term) < 5 or term.endswith(STEM) else 1 if len(term) < 9 else 2
 
 
 class LexiconAutomaton:
-    """A deterministic automaton for all words within the allowed edits of a term."""
+    """A deterministic automaton for all words within the allowed edits of a term, or that begin with a stem."""
 
     def __init__(self, terms: list[str], most_states: int = 60_000) -> None:
         self.terms = terms
-        words = [t.encode() for t in terms]
+        words = [t.removesuffix(STEM).encode() for t in terms]
         used = sorted({b for w in words for b in w})
         self.classes = np.zeros(256, np.int32)
         for i, b in enumerate(used, 1):
             self.classes[b] = i
         children: list[dict[int, int]] = [{}]
         ends: list[int] = [-1]
+        stems: list[int] = [-1]
         for t, w in enumerate(words):
             node = 0
             for b in w:
@@ -56,18 +64,21 @@ class LexiconAutomaton:
                     children[node][c] = len(children)
                     children.append({})
                     ends.append(-1)
+                    stems.append(-1)
                 node = children[node][c]
-            ends[node] = t
+            (stems if terms[t].endswith(STEM) else ends)[node] = t
         budget = [0] * len(children)
         for node in range(len(children) - 1, -1, -1):  # children have larger numbers
             own = edits_allowed(terms[ends[node]]) if ends[node] >= 0 else 0
             budget[node] = max([own, *(budget[x] for x in children[node].values())])
 
         def closed(pairs: dict[int, int]) -> frozenset:
+            # a stem that was reached unchanged stays reached, as the node -1 - term
+            pairs |= {-1 - stems[n]: 0 for n, e in list(pairs.items()) if n > 0 and e == 0 and stems[n] >= 0}
             todo = list(pairs.items())
             while todo:  # dropping a letter of the term
                 node, e = todo.pop()
-                for x in children[node].values():
+                for x in children[node].values() if node >= 0 else ():
                     if e + 1 <= budget[x] and pairs.get(x, 99) > e + 1:
                         pairs[x] = e + 1
                         todo.append((x, e + 1))
@@ -81,6 +92,9 @@ class LexiconAutomaton:
             for c in range(len(used) + 1):
                 after: dict[int, int] = {}
                 for node, e in states[done]:
+                    if node < 0:
+                        after[node] = e
+                        continue
                     for ch, x in children[node].items():
                         cost = e + (ch != c)
                         if cost <= budget[x] and after.get(x, 99) > cost:
@@ -100,10 +114,11 @@ class LexiconAutomaton:
         # of each state: the term reached with the fewest edits, and the edits
         self.term, self.edits = np.full(len(states), -1, np.int32), np.full(len(states), 9, np.int32)
         for s, pairs in enumerate(states):
-            best = min(((e, ends[n]) for n, e in pairs if ends[n] >= 0 and e <= edits_allowed(terms[ends[n]])), default=None)
+            hits = [(e, ends[n]) for n, e in pairs if n >= 0 and ends[n] >= 0 and e <= edits_allowed(terms[ends[n]])]
+            best = min(hits + [(e, -1 - n) for n, e in pairs if n < 0], default=None)
             if best:
                 self.edits[s], self.term[s] = best
-        self.longest = max((len(w) for w in words), default=0) + 2
+        self.longest = 1 << 30 if any(t.endswith(STEM) for t in terms) else max((len(w) for w in words), default=0) + 2
         self.shortest = min((len(w) - edits_allowed(t) for w, t in zip(words, terms)), default=1)
 
     def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,10 +227,12 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
             raw = np.where(_NOT_WORD[raw], 32, lower_ascii(raw)).astype(np.uint8).tobytes()
-            (pos if toxic else neg).update({w for w in raw.split() if 3 <= len(w) <= 30})
+            words = {w.decode("utf-8", "ignore") for w in raw.split() if 3 <= len(w) <= 60}
+            stems = {w[:k] + STEM for w in words for k in STEM_CHARS if len(w) > k}
+            (pos if toxic else neg).update(words | stems)
         for n in range(0, len(words := list({**pos, **neg})), 50_000):
             part = words[n : n + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "ignore") for w in part], pa.string()), pa.array([pos[w] for w in part], pa.int64()), pa.array([neg[w] for w in part], pa.int64())], ["word", "pos", "neg"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([pos[w] for w in part], pa.int64()), pa.array([neg[w] for w in part], pa.int64())], ["word", "pos", "neg"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
@@ -236,8 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     odds = F.log((F.col("pos") + 0.5) / F.lit(n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n_neg + 1.0))
     counts = rows.select("text", "toxic").mapInArrow(_term_counts, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     least = min(LEAST_TEXTS, max(2, math.ceil(n_pos / 10)))
-    terms = counts.where((F.col("pos") >= max(least, math.ceil(LEAST_SHARE * n_pos))) & (odds >= LEAST_LOG_ODDS)).select("word", odds.alias("odds"), "pos").orderBy(F.desc(F.col("odds") * F.log1p("pos")), "word").limit(TERMS).collect()
-    terms = _fold_variants([(t["word"], t["odds"], t["pos"]) for t in terms])
+    terms = counts.where((F.col("pos") >= max(least, math.ceil(LEAST_SHARE * n_pos))) & (odds >= LEAST_LOG_ODDS)).select("word", odds.alias("odds"), "pos").orderBy(F.desc(F.col("odds") * F.log1p("pos")), F.desc(F.length("word")), "word").limit(CANDIDATES).collect()
+    terms = choose_terms([(t["word"], t["odds"], t["pos"]) for t in terms])
     model = ToxicityModel([t for t, _ in terms], [w for _, w in terms], np.zeros(len(FEATURES) + 1))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,12 +269,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def _fold_variants(terms: list[tuple[str, float, int]]) -> list[tuple[str, float]]:
-    """Terms that stand out by themselves: at least a tenth as frequent as the median of the ten most frequent ones."""
-    if not terms:
-        return []
-    usual = sorted((n for _, _, n in terms), reverse=True)[:10]
-    return [(t, w) for t, w, n in terms if n * 10 >= usual[len(usual) // 2]]
+def choose_terms(candidates: list[tuple[str, float, int]], most: int = TERMS) -> list[tuple[str, float]]:
+    """Terms and stems that stand out by themselves, from the best one on.
+
+    What begins with a chosen stem adds nothing; a stem is left out where a chosen term nearly accounts for it; and a term must
+    be at least a tenth as frequent as the median of the ten most frequent ones.
+    """
+    chosen: list[tuple[str, float, int]] = []
+    # of equal ones whole words come first, then long stems
+    for term, odds, n in sorted(candidates, key=lambda c: (-round(c[1] * math.log1p(c[2]), 9), c[0].endswith(STEM), -len(c[0]), c[0])):
+        base = term.removesuffix(STEM)
+        covered = any(c.endswith(STEM) and base.startswith(c[:-1]) for c, _, _ in chosen)
+        explained = term.endswith(STEM) and any(c.removesuffix(STEM).startswith(base) and n <= 1.2 * m for c, _, m in chosen)
+        if not covered and not explained:
+            chosen.append((term, odds, n))
+        if len(chosen) == most:
+            break
+    usual = sorted((n for _, _, n in chosen), reverse=True)[:10]
+    return [(t, w) for t, w, n in chosen if n * 10 >= usual[len(usual) // 2]]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, model: ToxicityModel | None = None) -> DataFrame:
