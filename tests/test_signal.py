@@ -130,3 +130,14 @@ def test_strings(spark):
     assert [ms(t) for t in ("1h57m39.828s", "2m", "", "abc", "7")] == [7059828, 120000, None, None, None]
     assert value(hof.abbreviated(F.array(*map(F.lit, range(50))))).count("...") == 1
     assert value(hof.rank_color(F.lit(9))) == "brown"
+
+
+def test_spectra(spark):
+    frames = {r.vec_id: r.frame for r in fixtures.embedding_frames(spark, SF).where("vec_id < 5").collect()}
+    got = catalogue.queries()["frame_spectrum"](spark, SF).where("vec_id < 5").collect()
+    for r in got:
+        assert r.db == pytest.approx(20 * np.log10(abs(np.fft.rfft(frames[r.vec_id])[r.bin])), abs=1e-5)
+    predictors = {r.vec_id: r.a for r in catalogue.features(spark, SF).where("vec_id < 5").select("vec_id", "lp.a").collect()}
+    for r in catalogue.queries()["lpc_envelope"](spark, SF).where("vec_id < 5").collect():
+        z = np.exp(-2j * np.pi * r.bin / 16 * np.arange(9))
+        assert r.db == pytest.approx(-20 * np.log10(abs(np.dot(predictors[r.vec_id], z))), abs=1e-5)

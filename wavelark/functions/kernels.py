@@ -170,11 +170,21 @@ def log_likelihood(models: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
     return score
 
 
-def short_term_spectrum(frames: Column, size: int) -> Column:
-    """Magnitude spectrum in dB of each frame."""
+def spectrum_db(frames: Column, size: int) -> Column:
+    """Magnitude spectrum of each frame in dB, floored at -240."""
 
     @F.pandas_udf("array<double>")
     def spectrum(x: pd.Series) -> pd.Series:
         return pd.Series([20 * np.log10(np.maximum(np.abs(np.fft.rfft(v, size)), 1e-12)) for v in x])
 
     return spectrum(frames)
+
+
+def envelope_db(predictor: Column, size: int) -> Column:
+    """Spectral envelope in dB of a predictor's all-pole model, the inverse of the predictor's own spectrum."""
+
+    @F.pandas_udf("array<double>")
+    def envelope(a: pd.Series) -> pd.Series:
+        return pd.Series([-20 * np.log10(np.maximum(np.abs(np.fft.rfft(v, size)), 1e-12)) for v in a])
+
+    return envelope(predictor)

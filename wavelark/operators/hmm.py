@@ -224,6 +224,28 @@ def stochastic_check(spark, models: list[Hmm], tolerance: float = 1e-10) -> Data
     return out.select("model_id", "part", "row", "total", (F.abs(F.col("total") - 1) > tolerance).alias("bad"))
 
 
+def show_models(spark, models: list[Hmm], fmt: str = "%g ") -> DataFrame:  # noqa: ANN001
+    """A row of text for each row of pi, A and B: model_id, part, row, text."""
+    rows = [(i, part, k, "".join(fmt % float(v) for v in row)) for i, m in enumerate(models) for part, block in (("pi", [m.pi]), ("A", m.trans), ("B", m.emit)) for k, row in enumerate(block)]
+    return spark.createDataFrame(rows, "model_id int, part string, row int, text string")
+
+
+def show_sequences(sequences: DataFrame, keys: list[str], model: Hmm | None = None, symbols_col: str = "symbols") -> DataFrame:
+    """Sequences as abbreviated text; with a model also their log-likelihood and most likely states."""
+    out = sequences.select(*keys, hof.abbreviated(F.col(symbols_col)).alias("text"), symbols_col)
+    if model is not None:
+        best = viterbi(model, symbols_col)
+        out = out.withColumn("lp", log_likelihood(model, symbols_col)).withColumn("states", hof.abbreviated(best["path"]))
+    return out.drop(symbols_col)
+
+
+def classify_features(frames: DataFrame, book, models: list[Hmm], keys: list[str], class_col: str = "class_name", t_col: str = "t") -> DataFrame:  # noqa: ANN001
+    """Quantization and classification in one plan."""
+    from wavelark.operators.vq import quantize
+
+    return classify(quantize(frames, book, [*keys, class_col], t_col), models, keys, class_col)
+
+
 def generate(spark, model: Hmm, count: int, length: int, seed: int = 0, partitions: int | None = None) -> DataFrame:  # noqa: ANN001
     """Seeded samples: seq, states, symbols. A sequence depends on the seed and its number only, not on the partitioning."""
     pi, trans, emit = np.cumsum(model.pi), np.cumsum(model.trans, axis=1), np.cumsum(model.emit, axis=1)

@@ -123,3 +123,22 @@ def share_correct(cases: DataFrame) -> DataFrame:
 
 def by_distortion(rows: DataFrame, limit: float, above: bool = False) -> DataFrame:
     return rows.where(F.col("min_distortion") > limit if above else F.col("min_distortion") <= limit)
+
+
+def signal_intervals(rows: DataFrame, signals: DataFrame, on: list[str], sample_rate: float, samples_col: str = "samples") -> DataFrame:
+    """The samples of each row's interval (begin_s, end_s); intervals that do not end within the signal are left out."""
+    joined = rows.join(signals, on).where(F.col("end_s") < F.size(samples_col) / F.lit(sample_rate))
+    return joined.withColumn(samples_col, range_of_samples(F.col(samples_col), F.round(F.col("begin_s") * 1000, 6), F.round((F.col("end_s") - F.col("begin_s")) * 1000, 6), sample_rate))
+
+
+def covering_interval(rows: DataFrame, max_seconds: float | None = None) -> DataFrame:
+    """begin_s and duration_s of the interval from the first selection's begin to the last one's end, cut at max_seconds."""
+    out = cover(rows)
+    if max_seconds is not None:
+        out = out.withColumn("duration_s", F.least("duration_s", F.lit(float(max_seconds))))
+    return out.select("begin_s", "duration_s")
+
+
+def title(cases: DataFrame) -> DataFrame:
+    """The models ranked down to the right one, as text."""
+    return cases.withColumn("title", F.array_join(F.slice("ranked", F.lit(1), F.col("rank")), ", "))

@@ -188,9 +188,11 @@ def classify(frames: DataFrame, books: list[Codebook], keys: list[str], r_col: s
     return long.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("score", F.desc("model_id"))))
 
 
-def show_codebook(book: DataFrame, first: int, last: int) -> DataFrame:
+def show_codebook(spark, book: Codebook, first: int, last: int) -> DataFrame:  # noqa: ANN001
+    """Reflections first..last of each codeword as shortest text; index 0 is not a coefficient and is left out."""
     first = max(first, 1)
-    return book.orderBy("codeword").select(*[F.format_string("%g", hof.at(F.col("rc"), i)).alias(f"k{i}") for i in range(first, last + 1)])
+    rows = [(i, *(f"{v:g}" for v in rc[first : last + 1])) for i, rc in enumerate(book.rc.tolist())]
+    return spark.createDataFrame(rows, "codeword int, " + ", ".join(f"k{i}" + " string" for i in range(first, min(last, book.rc.shape[1] - 1) + 1)))
 
 
 def codebook_name(eps: float, size: int) -> str:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavelark.functions import hof
+from wavelark.functions import hof, kernels
 from wavelark.operators import endpoint, evaluation, hmm, lpc, selection, vq
 from wavelark.plans import fixtures as fx
 
@@ -65,6 +65,24 @@ def lpc_gain_norm(spark, d):  # noqa: ANN001, ANN201
     return features(spark, d).select("vec_id", F.posexplode("r").alias("n", "v")).select("vec_id", "n", r6("v").alias("v"))
 
 
+@_query
+def lpc_show(spark, d):  # noqa: ANN001, ANN201
+    f = features(spark, d).select("vec_id", F.col("r"))
+    return f.select("vec_id", *[F.format_string("%.5f", hof.at(F.col("r"), i)).alias(f"r{i}") for i in range(0, 3)])
+
+
+@_query
+def lpc_envelope(spark, d):  # noqa: ANN001, ANN201
+    e = features(spark, d).select("vec_id", kernels.envelope_db(F.col("lp.a"), 16).alias("e"))
+    return e.select("vec_id", F.posexplode("e").alias("bin", "db")).select("vec_id", "bin", r6("db").alias("db"))
+
+
+@_query
+def frame_spectrum(spark, d):  # noqa: ANN001, ANN201
+    e = fx.embedding_frames(spark, d).select("vec_id", kernels.spectrum_db(F.col("frame"), 64).alias("e"))
+    return e.select("vec_id", F.posexplode("e").alias("bin", "db")).select("vec_id", "bin", r6("db").alias("db"))
+
+
 # --- framing -----------------------------------------------------------------------------------
 
 
@@ -143,6 +161,11 @@ def vq_grow(spark, d):  # noqa: ANN001, ANN201
     return grown.select("codeword", F.posexplode(hof.reflections_to_raa(F.col("rc"))).alias("n", "raa")).where("n < 3").select("codeword", "n", r6("raa").alias("raa"))
 
 
+@_query
+def vq_show(spark, d):  # noqa: ANN001, ANN201
+    return vq.show_codebook(spark, BOOK4, 0, 3)
+
+
 @_query
 def vq_sigma(spark, d):  # noqa: ANN001, ANN201
     """The theta join of cells and codewords, i <> j."""
@@ -236,6 +259,17 @@ def hmm_classify(spark, d):  # noqa: ANN001, ANN201
     return cases(spark, d).select("user_id", "actual", "predicted", "correct", "rank", F.array_join("ranked", ">").alias("ranked"))
 
 
+@_query
+def hmm_show(spark, d):  # noqa: ANN001, ANN201
+    return hmm.show_models(spark, fx.MODELS, "%.3f ")
+
+
+@_query
+def seq_show(spark, d):  # noqa: ANN001, ANN201
+    out = hmm.show_sequences(fx.user_sequences(spark, d), ["user_id"], fx.MODELS[1])
+    return out.withColumn("lp", r6("lp"))
+
+
 @_query
 def hmm_generate(spark, d):  # noqa: ANN001, ANN201
     g = hmm.generate(spark, fx.MODELS[1], 100, 40, seed=11)
@@ -389,6 +423,19 @@ def sel_dense_ranks(spark, d):  # noqa: ANN001, ANN201
     return selection.dense_ranks(rows, 0, 60)
 
 
+@_query
+def sel_signal_interval(spark, d):  # noqa: ANN001, ANN201
+    rows = fx.user_signals(spark, d).select("user_id", ((F.col("user_id") % 20) * 0.002).alias("begin_s"))
+    rows = rows.withColumn("end_s", F.col("begin_s") + 0.045)
+    out = selection.signal_intervals(rows, fx.user_signals(spark, d), ["user_id"], 1000.0)
+    return out.select("user_id", F.size("samples").alias("n"), r6(hof.sum_of(F.col("samples"))).alias("total"))
+
+
+@_query
+def sel_title(spark, d):  # noqa: ANN001, ANN201
+    return selection.title(cases(spark, d)).select("user_id", "title")
+
+
 @_query
 def pos_join(spark, d):  # noqa: ANN001, ANN201
     f = features(spark, d)

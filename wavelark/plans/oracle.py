@@ -62,6 +62,9 @@ _FORWARD = (
     "scored AS (SELECT f.user_id, f.model_id, f.lp + ln(f.v0 + f.v1 + f.v2) AS lp FROM fw f JOIN ends e ON e.user_id = f.user_id AND e.t = f.t)"
 )
 
+#: The same without what a Viterbi query defines already.
+_FORWARD_CTES = _FORWARD[_FORWARD.index("fw AS (") :].replace("ends AS (SELECT user_id, max(t) AS t FROM seq GROUP BY user_id), ", "")
+
 
 def _ln(x: str) -> str:
     return f"CASE WHEN {x} > 0 THEN ln({x}) ELSE CAST('-inf' AS DOUBLE) END"
@@ -179,7 +182,14 @@ def oracle_sql() -> dict[str, str]:
     )
     durations = ", ".join(f"({i}, '{t}')" for i, t in enumerate(cat.DURATIONS))
     pattern = r"'^(?:(\d+)h)?(?:(\d+)m)?(?:(\d+(?:\.\d+)?)s)?$'"
+    text10 = lambda e: f"CASE WHEN len({e}) > 40 THEN array_to_string({e}[1:10], ', ') || ', ..., ' || array_to_string({e}[-10:], ', ') ELSE array_to_string({e}, ', ') END"
     sql = {
+        "lpc_show": f"WITH {fx.LPC_SQL} SELECT vec_id, {', '.join(f"printf('%.5f', r{i}) AS r{i}" for i in range(3))} FROM norm",
+        "vq_show": "SELECT * FROM " + _values([f"({c * 2 + side}, '{k}', '0', '0')" for c, ks_ in enumerate((("-0.495", "-0.505"), ("0.495", "0.505"))) for side, k in enumerate(ks_)]) + " AS t(codeword, k1, k2, k3)",
+        "sel_title": _CASES + " SELECT user_id, CASE rank WHEN 1 THEN r1 WHEN 2 THEN r1 || ', ' || r2 ELSE r1 || ', ' || r2 || ', ' || r3 END AS title FROM cases",
+        "sel_signal_interval": f"WITH {fx.SAMPLES_SQL}, n AS (SELECT user_id, count(*) AS c, (user_id % 20) * 2 AS b FROM samples GROUP BY user_id) SELECT s.user_id, CAST(count(*) AS INT) AS n, {_r('sum(x)', 'total')} FROM samples s JOIN n ON n.user_id = s.user_id WHERE s.pos >= b AND s.pos < b + 45 AND b + 45 < c GROUP BY s.user_id",
+        "hmm_show": f"WITH {fx.MODELS_SQL}, rows_ AS (SELECT model_id, 'pi' AS part, 0 AS row, pi AS p FROM models UNION ALL SELECT model_id, 'A', i - 1, a[i] FROM (SELECT *, unnest(range(1, 4)) AS i FROM models) UNION ALL SELECT model_id, 'B', i - 1, b[i] FROM (SELECT *, unnest(range(1, 4)) AS i FROM models)) SELECT model_id, part, CAST(row AS INT) AS row, array_to_string(list_transform(p, lambda v: printf('%.3f ', v)), '') AS text FROM rows_",
+        "seq_show": _VITERBI + f", {_FORWARD_CTES}, l AS (SELECT user_id, list(CAST(o AS VARCHAR) ORDER BY t) AS o FROM seq GROUP BY user_id) SELECT l.user_id, {text10('l.o')} AS text, {_r('s.lp', 'lp')}, {text10("string_split(b.path, '')")} AS states FROM l JOIN best b ON b.user_id = l.user_id AND b.model_id = 1 JOIN scored s ON s.user_id = l.user_id AND s.model_id = 1",
         "lpc_autocorr": f"WITH {fx.autocorrelation_sql()}, flat AS ({_unpivot('ac', 'vec_id', _R, 'i0', 'r0')}) SELECT vec_id, CAST(i0 AS INT) AS i, {_r('r0', 'r')} FROM flat",
         "lpc_levinson": f"WITH {fx.LPC_SQL} SELECT vec_id, CAST(i AS INT) AS k, {_r('k[i]', 'rc')}, {_r('a[i]', 'a')}, {_r('pe', 'pe')} FROM (SELECT vec_id, pe, [{ks}] AS k, [{as_}] AS a, unnest(range(1, {P + 1})) AS i FROM lp)",
         "lpc_stepup_raa": f"WITH {fx.LPC_SQL}, {_step_up_raa([f'k{i}' for i in range(1, P + 1)], 'lp', 'vec_id', 'su')}, flat AS ({_unpivot('su', 'vec_id', [f'raa{i}' for i in range(P + 1)], 'n', 'raa')}) SELECT vec_id, CAST(n AS INT) AS n, {_r('raa', 'raa')} FROM flat",
