@@ -170,21 +170,17 @@ def log_likelihood(models: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
     return score
 
 
-def spectrum_db(frames: Column, size: int) -> Column:
-    """Magnitude spectrum of each frame in dB, floored at -240."""
+def with_spectrum(df: DataFrame, column: str, size: int, envelope: bool = False, out: str = "db") -> DataFrame:
+    """Adds the magnitude spectrum in dB of an array column, floored at -240.
 
-    @F.pandas_udf("array<double>")
-    def spectrum(x: pd.Series) -> pd.Series:
-        return pd.Series([20 * np.log10(np.maximum(np.abs(np.fft.rfft(v, size)), 1e-12)) for v in x])
-
-    return spectrum(frames)
-
-
-def envelope_db(predictor: Column, size: int) -> Column:
-    """Spectral envelope in dB of a predictor's all-pole model, the inverse of the predictor's own spectrum."""
+    envelope: the column is a predictor, and the spectrum is that of its all-pole model, the inverse of the predictor's own.
+    """
+    sign = -20.0 if envelope else 20.0
 
-    @F.pandas_udf("array<double>")
-    def envelope(a: pd.Series) -> pd.Series:
-        return pd.Series([-20 * np.log10(np.maximum(np.abs(np.fft.rfft(v, size)), 1e-12)) for v in a])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf[out] = [sign * np.log10(np.maximum(np.abs(np.fft.rfft(v, size)), 1e-12)) for v in pdf[column]]
+            yield pdf
 
-    return envelope(predictor)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, f"{kinds}, `{out}` array<double>")

@@ -73,14 +73,14 @@ def lpc_show(spark, d):  # noqa: ANN001, ANN201
 
 @_query
 def lpc_envelope(spark, d):  # noqa: ANN001, ANN201
-    e = features(spark, d).select("vec_id", kernels.envelope_db(F.col("lp.a"), 16).alias("e"))
-    return e.select("vec_id", F.posexplode_outer("e").alias("bin", "db")).select("vec_id", "bin", r6("db").alias("db"))
+    e = kernels.with_spectrum(features(spark, d).select("vec_id", F.col("lp.a").alias("a")), "a", 16, envelope=True, out="e")
+    return e.select("vec_id", F.posexplode("e").alias("bin", "db")).select("vec_id", "bin", r6("db").alias("db"))
 
 
 @_query
 def frame_spectrum(spark, d):  # noqa: ANN001, ANN201
-    e = fx.embedding_frames(spark, d).select("vec_id", kernels.spectrum_db(F.col("frame"), 64).alias("e"))
-    return e.select("vec_id", F.posexplode_outer("e").alias("bin", "db")).select("vec_id", "bin", r6("db").alias("db"))
+    e = kernels.with_spectrum(fx.embedding_frames(spark, d), "frame", 64, out="e")
+    return e.select("vec_id", F.posexplode("e").alias("bin", "db")).select("vec_id", "bin", r6("db").alias("db"))
 
 
 # --- framing -----------------------------------------------------------------------------------
