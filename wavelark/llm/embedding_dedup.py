@@ -24,8 +24,8 @@ from wavelark.llm.components import connected_components
 
 LEAST = 0.95
 #: Vectors that centres are fitted on; vectors meant for a shard; most centres; shards of a vector.
-SAMPLE, SHARD, MOST_CENTRES, OVERLAP = 20_000, 2_000, 4_096, 2
-DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 24
+SAMPLE, SHARD, MOST_CENTRES, OVERLAP = 20_000, 2_000, 4_096, 3
+DEGREE, CANDIDATES, ALPHA, BEAM = 32, 64, 1.2, 64
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
