@@ -192,7 +192,7 @@ def _leaf(capacity: int, tokenizer_path: str, end_id: int):
     return run
 
 
-def _merge(capacity: int, slack: int):
+def _merge(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parent = int(pdf["parent"].iloc[0])
         bins = Bins(capacity)
@@ -230,7 +230,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     while True:
         level += 1
         nodes = -(-nodes // FAN)
-        moves = materialize(hist.withColumn("parent", F.floor(F.col("child") / FAN).cast("long")).groupBy("parent").applyInPandas(_merge(capacity, slack), "child long, size int, first long, last long, parent long, into_fill int, into_rank long, into_at long"))
+        moves = materialize(hist.withColumn("parent", F.floor(F.col("child") / FAN).cast("long")).groupBy("parent").applyInPandas(_merge(capacity), "child long, size int, first long, last long, parent long, into_fill int, into_rank long, into_at long"))
         here = (F.col("node") == F.col("child")) & (F.col("fill") == F.col("size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
         open_ = open_.join(moves, here).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("parent").alias("node"), F.col("into_fill").alias("fill"), (F.col("into_rank") + F.col("rank") - F.col("first")).alias("rank"), (F.col("at") + F.col("into_at")).alias("at"))
         is_done = F.lit(True) if nodes == 1 else F.col("fill") >= final_fill
