@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +20,11 @@ def frame_matrix(x: np.ndarray, width: int, step: int) -> np.ndarray:
 def preprocess(frames: np.ndarray, factor: float = 0.95) -> np.ndarray:
     """Mean removal, pre-emphasis and Hamming window of each row."""
     width = frames.shape[1]
-    y = frames - frames.mean(axis=1, keepdims=True)
-    y[:, 1:] -= factor * y[:, :-1].copy()
-    return y * (0.54 - 0.46 * np.cos(2 * np.pi * np.arange(width) / max(width - 1, 1)))
+    centred = frames - frames.mean(axis=1, keepdims=True)
+    y = centred.copy()
+    y[:, 1:] -= factor * centred[:, :-1]
+    y *= 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(width) / max(width - 1, 1))
+    return y
 
 
 def autocorrelation(x: np.ndarray, order: int) -> np.ndarray:
@@ -29,21 +32,25 @@ def autocorrelation(x: np.ndarray, order: int) -> np.ndarray:
     return np.stack([np.einsum("ij,ij->i", x[:, : width - lag], x[:, lag:]) if lag < width else np.zeros(len(x)) for lag in range(order + 1)], axis=1)
 
 
-def levinson(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def levinson(r: np.ndarray, rows: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row by row: reflections (column 0 is 0), predictor, prediction error, status (see hof.levinson)."""
-    n, size = r.shape
-    rc, a = np.zeros((n, size)), np.zeros((n, size))
-    a[:, 0] = 1
-    pe = r[:, 0].copy()
+    if len(r) > rows:
+        parts = [levinson(r[i : i + rows], rows) for i in range(0, len(r), rows)]
+        return tuple(np.concatenate(p) for p in zip(*parts))
+    v = np.ascontiguousarray(r.T, float)  # a coefficient of all rows is contiguous
+    size, n = v.shape
+    rc, a = np.zeros((size, n)), np.zeros((size, n))
+    a[0] = 1
+    pe = v[0].copy()
     status = np.where(pe == 0, 1, 0)
     for k in range(1, size):
-        drive = np.einsum("ij,ij->i", a[:, :k], r[:, k:0:-1])
+        drive = (a[:k] * v[k:0:-1]).sum(axis=0)
         q = np.where(status == 0, -drive / np.where(pe == 0, 1, pe), 0.0)
-        a[:, 1 : k + 1] += q[:, None] * a[:, k - 1 :: -1][:, :k].copy() if k > 1 else q[:, None]
-        rc[:, k] = q
+        a[1 : k + 1] += q * a[:k][::-1].copy()
+        rc[k] = q
         pe = pe * (1 - q * q)
         status = np.where((status == 0) & (pe <= 0), 2, status)
-    return rc, a, pe, status
+    return rc.T, a.T, pe, status
 
 
 def step_up(rc: np.ndarray) -> np.ndarray:
@@ -121,28 +128,39 @@ def expected_counts(o: np.ndarray, pi: np.ndarray, trans: np.ndarray, emit: np.n
 # --- Arrow entry points ------------------------------------------------------------------------
 
 
+#: Frames that are held as a matrix at once, small enough for a core's cache.
+CHUNK = 64
+
+
 def lpc_frames(signals: DataFrame, order: int, width: int, step: int, samples_col: str = "samples") -> DataFrame:
-    """mapInPandas twin of operators.lpc.lpc_frames: columns other than the samples, t, r (gain-normalised), status.
+    """Arrow twin of operators.lpc.lpc_frames: columns other than the samples, t, r (gain-normalised), status.
 
-    Frames of a signal are handled in slices, so memory is bounded by the signal and a slice.
+    Samples and coefficients cross as Arrow buffers without Python objects, and memory is bounded by a signal and its features.
     """
     keep = [f for f in signals.schema.fields if f.name != samples_col]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", t int, r array<double>, status int"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for rec in pdf.to_dict("records"):
-                frames = frame_matrix(np.asarray(rec.pop(samples_col), float), width, step)
-                for a in range(0, len(frames), 4096):
-                    r = autocorrelation(preprocess(frames[a : a + 4096]), order)
-                    _, _, pe, status = levinson(r)
-                    r = r / np.where((pe != 0) & (status != 1), pe, 1)[:, None]
-                    part = pd.DataFrame({"t": np.arange(a, a + len(r), dtype=np.int32), "r": list(r), "status": status.astype(np.int32)})
-                    for f in keep:
-                        part[f.name] = [rec[f.name]] * len(part)
-                    yield part[[*(f.name for f in keep), "t", "r", "status"]]
-
-    return signals.mapInPandas(run, out)
+    places = [signals.columns.index(f.name) for f in keep]
+    at = signals.columns.index(samples_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                frames = frame_matrix(values[offsets[i] : offsets[i + 1]], width, step)
+                n = len(frames)
+                if not n:
+                    continue
+                r = np.empty((n, order + 1))
+                for a in range(0, n, CHUNK):
+                    r[a : a + CHUNK] = autocorrelation(preprocess(frames[a : a + CHUNK]), order)
+                _, _, pe, status = levinson(r)
+                r /= np.where((pe != 0) & (status != 1), pe, 1)[:, None]
+                row = pa.array(np.full(n, i))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (order + 1)), pa.array(r.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(p).take(row) for p in places), pa.array(np.arange(n, dtype=np.int32)), lists, pa.array(status.astype(np.int32))], [*(f.name for f in keep), "t", "r", "status"])
+
+    return signals.mapInArrow(run, out)
 
 
 def nearest_codeword(codebook: np.ndarray):
