@@ -32,7 +32,7 @@ FAN = 32
 #: Documents that a leaf packs at once; a partition's further leaves are numbered at this distance.
 LEAF, NEXT_LEAF = 50_000, 1 << 20
 #: Entries of a worker's cache of word encodings.
-CACHE = 400_000
+CACHE = 600_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, node long, fill int, rank long, at long"
 _encoders: dict[str, "WordEncoder"] = {}
@@ -45,7 +45,7 @@ def default_tokenizer() -> str:
 
 
 #: A full stop or comma right after another sign: the tokenizer keeps such signs together.
-_SIGNS = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_")
+_SIGNS = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))")
 
 
 class WordEncoder:
