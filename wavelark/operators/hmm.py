@@ -182,33 +182,36 @@ def learn_by_class(sequences: DataFrame, states: int, n_symbols: int, kind: str
     return [learn(sequences.where(F.col(class_col).eqNullSafe(F.lit(c))), initial_model(states, n_symbols, kind, seed, c), max_iterations=max_iterations, symbols_col=symbols_col, **options)[0] for c in names]
 
 
-def scores(sequences: DataFrame, models: list[Hmm], keys: list[str], symbols_col: str = "symbols") -> DataFrame:
-    """keys, model_id, predicted, score, rank. Models are constants of the plan, so sequences are not shuffled to be scored."""
+def ranked_models(models: list[Hmm], symbols_col: str = "symbols") -> Column:
+    """Array of struct(model_id, score, rank), best first, the higher model on ties. Models are constants of the plan."""
     if all(len(m.pi) <= NATIVE_STATES for m in models):
         lps = F.array(*[log_likelihood(m, symbols_col, True) for m in models])
     else:
         lps = kernels.log_likelihood([(m.pi, m.trans, m.emit) for m in models])(F.col(symbols_col))
-    # a sequence's few scores are ranked in place: best first, the higher model on ties
-    ranked = F.transform(F.reverse(F.array_sort(F.transform(lps, lambda v, i: F.struct(v.alias("score"), i.alias("model_id"))))), lambda x, n: F.struct(x["model_id"].alias("model_id"), x["score"].alias("score"), (n + 1).alias("rank")))
+    order = F.reverse(F.array_sort(F.transform(lps, lambda v, i: F.struct(v.alias("score"), i.alias("model_id")))))
+    return F.transform(order, lambda x, n: F.struct(x["model_id"].alias("model_id"), x["score"].alias("score"), (n + 1).alias("rank")))
+
+
+def scores(sequences: DataFrame, models: list[Hmm], keys: list[str], symbols_col: str = "symbols") -> DataFrame:
+    """keys, model_id, predicted, score, rank. A sequence's scores are ranked in its row, so nothing is shuffled."""
     names = F.array(*[F.lit(m.class_name) for m in models])
-    return sequences.select(*keys, F.explode(ranked).alias("x")).select(*keys, "x.model_id", hof.at(names, F.col("x.model_id")).alias("predicted"), "x.score", "x.rank")
+    return sequences.select(*keys, F.explode(ranked_models(models, symbols_col)).alias("x")).select(*keys, "x.model_id", hof.at(names, F.col("x.model_id")).alias("predicted"), "x.score", "x.rank")
 
 
 def classify(sequences: DataFrame, models: list[Hmm], keys: list[str], class_col: str = "class_name", symbols_col: str = "symbols") -> DataFrame:
     """One row per sequence of a class that has a model: keys, actual, predicted, correct, rank (of its class), ranked (class names).
 
-    Of several models of one class the first stands for the class.
+    Of several models of one class the first stands for the class. A projection: no shuffle.
     """
     home: dict[str, int] = {}
     for i, m in enumerate(models):
         home.setdefault(m.class_name, i)
     first = F.create_map(*[x for k, v in home.items() for x in (F.lit(k), F.lit(v))])
-    n_symbols = models[0].emit.shape[1]
-    fit = conforming(sequences, n_symbols, symbols_col).withColumn("_home", F.try_element_at(first, F.col(class_col))).where("_home is not null")
-    ranked = scores(fit, models, [*keys, class_col, "_home"], symbols_col)
-    per = ranked.groupBy(*keys, class_col, "_home").agg(F.array_sort(F.collect_list(F.struct("rank", "model_id", "predicted"))).alias("r"))
-    order = F.array_position(F.transform("r", lambda x: x["model_id"]), F.col("_home"))
-    return per.select(*keys, F.col(class_col).alias("actual"), hof.at(F.col("r"), 0)["predicted"].alias("predicted"), (order == 1).alias("correct"), order.cast("int").alias("rank"), F.transform("r", lambda x: x["predicted"]).alias("ranked"))
+    names = F.array(*[F.lit(m.class_name) for m in models])
+    fit = conforming(sequences, models[0].emit.shape[1], symbols_col).withColumn("_home", F.try_element_at(first, F.col(class_col))).where("_home is not null")
+    ids = fit.select(*keys, class_col, "_home", F.transform(ranked_models(models, symbols_col), lambda x: x["model_id"]).alias("_ids"))
+    order = F.array_position("_ids", F.col("_home"))
+    return ids.select(*keys, F.col(class_col).alias("actual"), hof.at(names, hof.at(F.col("_ids"), 0)).alias("predicted"), (order == 1).alias("correct"), order.cast("int").alias("rank"), F.transform("_ids", lambda i: hof.at(names, i)).alias("ranked"))
 
 
 def unmatched(sequences: DataFrame, models: list[Hmm], class_col: str = "class_name") -> DataFrame:
