@@ -1,7 +1,7 @@
 """Exact deduplication by a distributed sort of whole contents.
 
-Sampled splitters range-partition the texts (the row's id breaks ties, so a text that holds a third of all rows spreads over
-many ranges), each range is sorted externally, and neighbours are compared in full. A group that touches the edge of a range,
+Sampled splitters range-partition the texts by their beginning and digest (the row's id breaks ties, so a text that holds a
+third of all rows spreads over many ranges), each range is sorted externally, and neighbours are compared in full. A group that touches the edge of a range,
 or that is longer than SEGMENT rows, is closed by a second, small aggregation over the edges only.
 """
 
@@ -19,6 +19,8 @@ from wavelark.llm.common import id_and_text, materialize, same_columns, unpack
 
 #: Rows of one group that a task holds at once.
 SEGMENT = 100_000
+#: Characters of a text that are in the splitters, which the driver holds; a digest orders what begins alike.
+HEAD = 32
 _ROWS = "doc_id long, text_sha256 string, seg string, top boolean, seg_key long, seg_size long, edge_text string, open boolean"
 
 
@@ -29,7 +31,9 @@ def _merge_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             by_text.setdefault(text, []).append(doc_id)
         texts, ids = list(by_text), list(by_text.values())
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([next((i for i in x if i is not None), None) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["text", "tie", "ids"])
+        digests = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+        ties = [next((i for i in x if i is not None), None) for x in ids]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(ids, pa.list_(pa.int64())), pa.array([t[:HEAD] for t in texts], pa.string()), pa.array(digests, pa.binary()), pa.array(ties, pa.int64())], ["text", "ids", "head", "digest", "tie"])
 
 
 def _compare_neighbours(keep_largest: bool):
@@ -62,7 +66,7 @@ def _compare_neighbours(keep_largest: bool):
             return batch
 
         for batch in batches:
-            for text, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for text, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text != state["text"]:
                     close(False)
                     state["edge"] = state["text"] is None
@@ -87,8 +91,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated ids one of them; null ids lose to all others and are kept only where a group has no other id. An empty table
     gives an empty result. Further columns of docs are ignored.
     """
-    merged = id_and_text(docs, id_col, text_col).mapInArrow(_merge_in_batch, "text string, tie long, ids array<long>")
-    ranged = merged.repartitionByRange("text", "tie").sortWithinPartitions("text", "tie")
+    merged = id_and_text(docs, id_col, text_col).mapInArrow(_merge_in_batch, "text string, ids array<long>, head string, digest binary, tie long")
+    ranged = merged.repartitionByRange("head", "digest", "tie").sortWithinPartitions("head", "digest", "text", "tie").select("text", "ids")
     rows = materialize(ranged.mapInArrow(_compare_neighbours(keep == "largest"), _ROWS))
     edges = rows.where("edge_text is not null").select("seg", "edge_text", "seg_key", "seg_size")
     totals = edges.groupBy("edge_text").agg(F.max(F.struct("seg_key", "seg")).alias("best"), F.sum("seg_size").alias("size"))
