@@ -379,6 +379,17 @@ def test_vectors(spark):
     assert embedding_dedup.near_vectors(d.where("vec_id between 300 and 304")).count() == 5
 
 
+def test_tables_are_released(spark):
+    from wavelark.llm.common import materialize, release
+
+    table = materialize(spark.range(5))
+    assert table.count() == 5
+    release(spark)
+    spark.catalog.clearCache()
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0]).count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -36,13 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/wavelark/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written to the shared folder; results that still read them are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, lean: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors.
 
     lean: the rows are ids and counts only, so an eighth of the shuffle partitions is enough to write them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wavelark/{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{uuid.uuid4().hex}"
     if lean:
         df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     usual = spark.conf.get(_ROWS_A_BATCH)
