@@ -410,3 +410,34 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
     assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
     assert sum(r.piece == 0 for r in packed) == now.count()
+
+
+def test_no_link_is_lost_between_cells():
+    """A third of the rows near one point and scattered ones: what cells are asked must cover every linked pair."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((6_000, 64))
+    x[:2_000] = x[0] + 0.15 * rng.standard_normal((2_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = embedding_dedup.fit_centres(x, 90)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([1] * len(x))], ["rep", "unit", "copies"])
+    out = next(embedding_dedup._assign(centres, 0.95)(iter([batch])))
+    home = out["centre"].to_numpy()
+    later = np.zeros((len(x), len(centres)), bool)
+    for i, cells in enumerate(out["later"].to_pylist()):
+        later[i, cells] = True
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+    assert len(a) > 1_000_000 and len(set(home[:2_000].tolist())) > 10
+    low, high = np.where(home[a] <= home[b], a, b), np.where(home[a] <= home[b], b, a)
+    assert ((home[low] == home[high]) | later[low, home[high]]).all()
+
+
+def test_links_between_cells_are_found(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((600, 32))
+    x[:300] = x[0] + 0.15 * rng.standard_normal((300, 32))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute.vector_links([(i, v.tolist()) for i, v in enumerate(x)])
+    for shard in (40, 4):
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(d, shard=shard).collect()) == want

@@ -26,6 +26,8 @@ LEAST = 0.95
 #: Vectors that centres are fitted on; vectors meant for a shard; most centres; shards of a vector.
 SAMPLE, SHARD, MOST_CENTRES, OVERLAP = 20_000, 2_000, 4_096, 3
 DEGREE, CANDIDATES, ALPHA, BEAM = 32, 64, 1.2, 64
+#: Most vectors of a block and of a part that asks there, as a multiple of a shard.
+BLOCK = 8
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,95 +163,82 @@ def _matrix(column) -> np.ndarray:  # noqa: ANN001
     return out
 
 
-def _assign(centres: np.ndarray, overlap: int):
+def _assign(centres: np.ndarray, least: float):
+    """A vector's cell (its nearest centre), and the later cells that can hold vectors within reach of it.
+
+    For u in cell h and v in cell c: u(h - c) >= 0 >= v(h - c), so u(h - c) <= |u - v| |h - c|, and |u - v| is at most
+    sqrt(2 - 2 least) where they link. So no link is lost.
+    """
+    reach = np.sqrt(max(0.0, 2 - 2 * least)) * np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(axis=2), 0)) if len(centres) <= 256 else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1))
             if x.shape[1] < centres.shape[1]:
                 x = np.pad(x, ((0, 0), (0, centres.shape[1] - x.shape[1])))
-            c = min(overlap, len(centres))
-            parts = []
-            for a in range(0, len(x), 2048):
-                s = x[a : a + 2048, : centres.shape[1]] @ centres.T
-                parts.append(np.argsort(-s, axis=1, kind="stable")[:, :c])
-            near = np.concatenate(parts) if parts else np.zeros((0, c), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(near.tolist(), pa.list_(pa.int32()))], ["rep", "unit", "copies", "centres"])
+            home, within = [], []
+            for a in range(0, len(x), 256):
+                s = x[a : a + 256, : centres.shape[1]] @ centres.T
+                h = np.argmax(s, axis=1)
+                if reach is None:
+                    limit = np.sqrt(max(0.0, 2 - 2 * least)) * np.sqrt(np.maximum((centres[h] ** 2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * centres[h] @ centres.T, 0) + 1e-9)
+                else:
+                    limit = reach[h]
+                near = s[np.arange(len(s)), h][:, None] - s <= limit + 1e-9
+                near &= np.arange(len(centres)) > h[:, None]
+                home += h.tolist()
+                within += [np.flatnonzero(r).tolist() for r in near]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(home, pa.int32()), pa.array(within, pa.list_(pa.int32()))], ["rep", "unit", "copies", "centre", "later"])
 
     return run
 
 
-def _build(degree: int, candidates: int, alpha: float):
-    """A shard's graph: for each vector the ids of its neighbours."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rep")
-        ids, x = table["rep"].to_numpy(), _matrix(table["unit"])
-        graph = robust_prune(x, nearest(x, candidates), degree, alpha) if len(ids) > 1 else np.full((1, 1), -1)
-        return pa.table({"rep": table["rep"], "near": pa.array([ids[g[g >= 0]] for g in graph], pa.list_(pa.int64()))})
-
-    return run
+def linked(x: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of q and x have a cosine of at least `least`; near the limit it is summed pair by pair, so it is symmetric."""
+    s = q @ x.T
+    hits = s >= least
+    r, c = np.nonzero(np.abs(s - least) < 1e-9)
+    if len(r):
+        hits[r, c] = np.einsum("ij,ij->i", q[r], x[c]) >= least
+    return hits
 
 
-def _search(least: float, beam: int):
-    """One block of queries against one block of a shard: links counted, and a spanning forest of them."""
+def _search(least: float):
+    """The vectors of a block against those that ask there, and in part 0 among themselves: links counted, and a spanning forest."""
 
     def run(table: pa.Table) -> pa.Table:
-        centre = table["centre"][0].as_py()
-        is_node = table["role"].to_numpy() == 0
+        is_node, part = table["role"].to_numpy() == 0, table["ask"][0].as_py()
         nodes, asks = table.filter(pa.array(is_node)).sort_by("rep"), table.filter(pa.array(~is_node)).sort_by("rep")
-        out = {"rep": [], "n": [], "other": []}
-        if len(nodes) and len(asks):
-            ids, x, q_ids, q = nodes["rep"].to_numpy(), _matrix(nodes["unit"]), asks["rep"].to_numpy(), _matrix(asks["unit"])
-            width = max(x.shape[1], q.shape[1])
-            x, q = np.pad(x, ((0, 0), (0, width - x.shape[1]))), np.pad(q, ((0, 0), (0, width - q.shape[1])))
-            lists = nodes["near"].to_pylist()
-            place = {v: i for i, v in enumerate(ids.tolist())}
-            local = [[place[v] for v in near if v in place] for near in lists]
-            # an edge is followed both ways, so that no vector is out of reach
-            both = [set(near) for near in local]
-            for i, near in enumerate(local):
-                for j in near:
-                    both[j].add(i)
-            start = int(np.argmax(x @ x.sum(axis=0)))
-            for i, near in enumerate(both):
-                if i != start and not near:  # a vector without edges hangs on the medoid
-                    both[start].add(i)
-            graph = np.full((len(ids), max(map(len, both), default=1) or 1), -1, np.int64)
-            for i, near in enumerate(both):
-                graph[i, : len(near)] = sorted(near)
-            r, c = greedy_range(x, graph, start, q, least, beam)
-            own = q_ids[r] != ids[c]
-            r, c = r[own], c[own]
-            # a pair that shares several shards counts in the first of them only
-            q_homes, homes = asks["centres"].to_pylist(), nodes["centres"].to_pylist()
-            size = max(max(map(len, q_homes)), max(map(len, homes)))
-            qa = np.array([sorted(h) + [-1] * (size - len(h)) for h in q_homes])
-            va = np.array([sorted(h) + [-2] * (size - len(h)) for h in homes])
-            shared = (qa[r][:, :, None] == va[c][:, None, :]).any(axis=2)
-            first = np.where(shared, qa[r], 1 << 30).min(axis=1) if len(r) else np.zeros(0, int)
-            counted = first == centre
-            copies = nodes["copies"].to_numpy()
-            totals = np.bincount(r[counted], weights=copies[c[counted]], minlength=len(q_ids)).astype(np.int64)
-            for i in np.flatnonzero(totals).tolist():
-                out["rep"].append(int(q_ids[i]))
-                out["n"].append(int(totals[i]))
-                out["other"].append(None)
-            root: dict[int, int] = {}
-
-            def find(v: int) -> int:
-                while root.get(v, v) != v:
-                    root[v] = root.get(root[v], root[v])
-                    v = root[v]
-                return v
-
-            for a, b in zip(q_ids[r].tolist(), ids[c].tolist()):
-                ra, rb = find(a), find(b)
-                if ra != rb:
-                    root[max(ra, rb)] = min(ra, rb)
-                    out["rep"].append(a)
-                    out["n"].append(0)
-                    out["other"].append(b)
-        return pa.table({"rep": pa.array(out["rep"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "other": pa.array(out["other"], pa.int64())})
+        m = len(nodes)
+        ids = np.concatenate([nodes["rep"].to_numpy(), asks["rep"].to_numpy()])
+        copies = np.concatenate([nodes["copies"].to_numpy(), asks["copies"].to_numpy()]).astype(float)
+        x = _matrix(pa.concat_arrays([c for t in (nodes, asks) for c in t["unit"].chunks]))
+        totals, label = np.zeros(len(ids)), np.arange(len(ids))
+        rep, other = [], []
+        for a in range(0 if part == 0 else m, len(ids) if m else 0, 256):
+            hits = linked(x[:m], x[a : a + 256], least)
+            rows = np.arange(a, a + len(hits))
+            inner = rows < m
+            hits[inner] &= np.arange(m) < rows[inner, None]  # each pair once
+            hit = np.flatnonzero(hits.any(axis=1))
+            if not len(hit):
+                continue
+            totals[rows] += hits @ copies[:m]
+            totals[:m] += copies[rows] @ hits
+            for i in hit.tolist():
+                met = np.flatnonzero(hits[i])
+                apart, first = np.unique(label[met], return_index=True)
+                for l, at in zip(apart.tolist(), met[first].tolist()):
+                    if l != label[rows[i]]:
+                        rep.append(int(ids[rows[i]]))
+                        other.append(int(ids[at]))
+                        label[label == l] = label[rows[i]]
+        some = np.flatnonzero(totals)
+        return pa.table({
+            "rep": pa.array(np.concatenate([ids[some], np.array(rep, np.int64)]), pa.int64()),
+            "n": pa.array(np.concatenate([totals[some].astype(np.int64), np.zeros(len(rep), np.int64)]), pa.int64()),
+            "other": pa.array([None] * len(some) + other, pa.int64()),
+        })
 
     return run
 
@@ -273,29 +262,31 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     if n == 0:
         return ready.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
-    k = min(MOST_CENTRES, max(1, -(-n * overlap // shard)))
+    k = min(MOST_CENTRES, max(1, int(np.ceil(2 * np.sqrt(n / shard)))))  # so cells, and copies of a vector, grow with the root of n
     fitted = _matrix(nodes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("unit").toArrow()["unit"])  # a bounded sample
     centres = fit_centres(fitted, min(k, len(fitted)))
-    placed = materialize(nodes.select("rep", "unit", "copies").mapInArrow(_assign(centres, overlap), "rep long, unit binary, copies long, centres array<int>"))
-    rows = placed.select("rep", "unit", "copies", "centres", F.explode("centres").alias("centre"))
-    sizes = rows.groupBy("centre").count().select("centre", F.ceil(F.col("count") / (2 * shard)).cast("int").alias("blocks"))
-    sizes = F.broadcast(materialize(sizes, lean=True))  # a row a centre, MOST_CENTRES at most
-    rows = materialize(rows.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-
-    lists = rows.select("centre", "block", "rep", "unit").groupBy("centre", "block").applyInArrow(_build(DEGREE, CANDIDATES, ALPHA), "rep long, near array<long>")
-    union = materialize(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    as_nodes = rows.join(union, "rep").select("centre", "block", others.alias("ask"), "rep", "unit", "copies", "centres", "near", F.lit(0).alias("role"))
-    as_asks = rows.select("centre", others.alias("other"), "block", "rep", "unit", "copies", "centres").select("centre", F.col("other").alias("block"), F.col("block").alias("ask"), "rep", "unit", "copies", "centres", F.lit(None).cast("array<long>").alias("near"), F.lit(1).alias("role"))
-    found = as_nodes.unionByName(as_asks).groupBy("centre", "block", "ask").applyInArrow(_search(least, beam), "rep long, n long, other long")
+    rows = materialize(nodes.select("rep", "unit", "copies").mapInArrow(_assign(centres, least), "rep long, unit binary, copies long, centre int, later array<int>"))
+    # a row a cell: how many blocks its vectors make, and how many parts those that ask there
+    most = BLOCK * shard
+    held = rows.groupBy("centre").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    asked = rows.select(F.explode("later").alias("centre")).groupBy("centre").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    sizes = F.broadcast(materialize(held.join(asked, "centre", "left").select("centre", "blocks", F.coalesce("parts", F.lit(1)).alias("parts")), lean=True))
+    rows = rows.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    to = lambda first, last: F.when(last >= first, F.sequence(first, last))
+    # the parts of a block are those of other cells' vectors, then its cell's earlier blocks
+    as_nodes = rows.select("centre", "block", F.explode(to(F.lit(0), F.col("parts") + F.col("block") - 1)).alias("ask"), "rep", "unit", "copies", F.lit(0).alias("role"))
+    inside = rows.select("centre", F.explode(to(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), (F.col("parts") + F.col("block")).alias("ask"), "rep", "unit", "copies", F.lit(1).alias("role"))
+    outside = rows.select(F.explode("later").alias("centre"), "rep", "unit", "copies").join(sizes, "centre")
+    outside = outside.select("centre", F.explode(to(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int").alias("ask"), "rep", "unit", "copies", F.lit(1).alias("role"))
+    found = as_nodes.unionByName(inside).unionByName(outside).groupBy("centre", "block", "ask").applyInArrow(_search(least), "rep long, n long, other long")
     found = materialize(found)
     counts = materialize(found.groupBy("rep").agg(F.sum("n").alias("n")), lean=True)
     component = materialize(connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))), lean=True)
     known = nodes.select("rep").join(counts, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component_id"))
     known = materialize(known, lean=True)
-    linked = membership.join(known, "rep").select("vec_id", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id")
+    joined = membership.join(known, "rep").select("vec_id", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = ready.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return joined.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def audit_recall(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, every: int = 20) -> float:
