@@ -441,3 +441,18 @@ def test_links_between_cells_are_found(spark):
     want = brute.vector_links([(i, v.tolist()) for i, v in enumerate(x)])
     for shard in (40, 4):
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(d, shard=shard).collect()) == want
+
+
+def test_groups_apart_in_one_shard_are_all_searched():
+    """Ten groups of 200 near copies and nothing between them."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((10, 64)), 200, axis=0) + 0.1 * rng.standard_normal((2_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = len(x)
+    table = pa.table({"centre": [0] * n, "block": [0] * n, "ask": [0] * n, "rep": range(n), "unit": pa.array([v.tobytes() for v in x], pa.binary()), "copies": [1] * n, "role": [0] * n})
+    out = embedding_dedup._search(0.95)(table).to_pylist()
+    got = {r["rep"]: r["n"] for r in out if r["other"] is None}
+    assert [got.get(i, 0) for i in range(n)] == ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()
+    assert sum(r["other"] is not None for r in out) == 1_990

@@ -1,13 +1,9 @@
-"""Near-duplicate vectors by a robust-pruned flat graph.
+"""Near-duplicate vectors by cells and exact comparison.
 
-Centres are fitted on a bounded sample; every vector is indexed in the shards of its nearest centres, so shards overlap. Each
-shard builds a graph: exact nearest neighbours within the shard, robustly pruned. The adjacency lists of all shards are united by
-vector and cut into the shards again, so an edge found in one serves in the others. Every vector then searches each of its
-shards greedily from the shard's medoid, with a beam that widens as long as it meets vectors in range. What is found is
-verified with the double-precision cosine. `audit_recall` compares with brute force.
-
-Equal vectors are one node and count by their number. A shard that is too large is split by sub-centres of its own, and where
-that can't separate its vectors, in blocks that are searched against each other.
+Centres are fitted on a bounded sample; a vector's cell is that of its nearest centre. Each vector is compared in full with its
+cell and asks in every later cell that can hold a vector within reach of it by the bisector bound, so each pair that can link
+meets once and none is missed. Cells and those that ask there are split into blocks. Cosines are of double precision.
+`audit_recall` compares with brute force. Equal vectors are one node and count by their number.
 """
 
 from __future__ import annotations
@@ -23,9 +19,8 @@ from wavelark.llm.common import materialize
 from wavelark.llm.components import connected_components
 
 LEAST = 0.95
-#: Vectors that centres are fitted on; vectors meant for a shard; most centres; shards of a vector.
-SAMPLE, SHARD, MOST_CENTRES, OVERLAP = 20_000, 2_000, 4_096, 3
-DEGREE, CANDIDATES, ALPHA, BEAM = 32, 64, 1.2, 64
+#: Vectors that centres are fitted on; vectors meant for a shard; most centres.
+SAMPLE, SHARD, MOST_CENTRES = 20_000, 2_000, 4_096
 #: Most vectors of a block and of a part that asks there, as a multiple of a shard.
 BLOCK = 8
 
@@ -63,85 +58,6 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.nda
     return centres
 
 
-def nearest(x: np.ndarray, k: int) -> np.ndarray:
-    """The k rows nearest to each row, itself not counted, nearest first."""
-    n = len(x)
-    k = min(k, n - 1)
-    if k <= 0:
-        return np.zeros((n, 0), np.int64)
-    out = np.empty((n, k), np.int64)
-    for a in range(0, n, 512):
-        s = x[a : a + 512] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        order = np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable")
-        out[a : a + 512] = np.take_along_axis(top, order, 1)
-    return out
-
-
-def robust_prune(x: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Of each row's candidates (nearest first) those not covered by a nearer one that was taken; -1 fills up."""
-    n, c = candidates.shape
-    out = np.full((n, degree), -1, np.int64)
-    for a in range(0, n, 256):
-        cand = candidates[a : a + 256]
-        v = x[cand]
-        to_self = 1 - np.einsum("bcd,bd->bc", v, x[a : a + 256])
-        among = 1 - np.einsum("bcd,bed->bce", v, v)
-        open_, taken = np.ones(cand.shape, bool), np.zeros(len(cand), np.int64)
-        rows = np.arange(len(cand))
-        for j in range(c):
-            take = open_[:, j] & (taken < degree)
-            out[a + rows[take], taken[take]] = cand[take, j]
-            taken += take
-            # cosine distances go as squares of lengths, hence the square of alpha
-            open_ &= ~(take[:, None] & (alpha * alpha * among[:, j, :] <= to_self))
-            if not open_[:, j + 1 :].any():
-                break
-    return out
-
-
-def greedy_range(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) with a cosine of at least `least`.
-
-    Best-first from the start node: a query's best node that is not yet expanded is expanded while it is among the `beam` best
-    met, or in range; so the beam grows with the number of nodes in range. Queries run in step.
-    """
-    found_q, found_v = [], []
-    n = len(x)
-    for a in range(0, len(queries), 256):
-        q = queries[a : a + 256]
-        m = len(q)
-        score = np.full((m, n), -3.0)  # -3: not met
-        todo = np.full((m, n), -3.0)  # the same, but -3 again once expanded
-        score[:, start] = todo[:, start] = q @ x[start]
-        floor = np.full(m, -3.0)
-        active = np.arange(m)
-        step = 0
-        while len(active):
-            best = todo[active].argmax(axis=1)
-            value = todo[active, best]
-            if step % 4 == 0 and step >= beam and n > beam:
-                floor[active] = -np.partition(-score[active], beam - 1, axis=1)[:, beam - 1]
-            go = (value > -3) & ((value >= floor[active]) | (value >= least))
-            active, best = active[go], best[go]
-            todo[active, best] = -3.0
-            near = graph[best]
-            r, c = np.repeat(active, near.shape[1]), near.ravel()
-            new = c >= 0
-            r, c = r[new], c[new]
-            new = score[r, c] == -3.0
-            r, c = r[new], c[new]
-            value = np.einsum("ij,ij->i", q[r], x[c])
-            score[r, c] = value
-            todo[r, c] = value
-            step += 1
-        r, c = np.nonzero(score >= least)
-        found_q.append(r + a)
-        found_v.append(c)
-    return (np.concatenate(found_q), np.concatenate(found_v)) if found_q else (np.zeros(0, np.int64),) * 2
-
-
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 2_000):
@@ -243,13 +159,14 @@ def _search(least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, shard: int = SHARD, overlap: int = OVERLAP, beam: int = BEAM, sample: int = SAMPLE) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, shard: int = SHARD, overlap: int = 1, beam: int = 1, sample: int = SAMPLE) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Vectors are linked where their cosine in double precision is at least `least`. Vectors that are null, empty or zero, or hold
     null or non-finite components, and rows with a null id link with nothing; a null id gives a null component and is kept.
     Vectors of different lengths are compared as if zeros followed. Repeated rows count as vectors of their own for n_links and
     share an id and so a component; ids are meant to be unique among different vectors. An empty table gives no rows.
+    overlap and beam are accepted for older callers; an exact search has no use for them.
     """
     ready = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     ready = materialize(ready.mapInArrow(_prepare, "vec_id long, unit binary"))
