@@ -456,3 +456,17 @@ def test_groups_apart_in_one_shard_are_all_searched():
     got = {r["rep"]: r["n"] for r in out if r["other"] is None}
     assert [got.get(i, 0) for i in range(n)] == ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()
     assert sum(r["other"] is not None for r in out) == 1_990
+
+
+def test_words_of_a_stem_keep_their_edits():
+    candidates = [("idio*", 5.0, 100), ("idiot", 5.0, 93), ("scum", 5.0, 90)]
+    chosen = toxicity.choose_terms(candidates)
+    terms = [t for t, _ in chosen + toxicity.words_of_stems(candidates, chosen)]
+    assert "idio*" in terms and "idiot" in terms
+    words = ["idiotic", "idoit", "iidiot", "1diot", "scum", "plain", "idiot"]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+    w, t, e = toxicity.LexiconAutomata(terms, part=1).run(data, starts, starts + [len(x) for x in words])
+    got = {words[i]: (terms[j], int(n)) for i, j, n in zip(w.tolist(), t.tolist(), e.tolist())}
+    assert got["iidiot"] == got["1diot"] == ("idiot", 1) and got["idiotic"] == ("idio*", 0) and got["scum"] == ("scum", 0) and "plain" not in got
+    assert got["idiot"][1] == 0 and ("idoit" in got) == (toxicity.edits_allowed("idiot") >= 2)

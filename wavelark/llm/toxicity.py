@@ -34,6 +34,8 @@ _NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 
 #: Lengths in characters of the stems that are counted beside whole words; a stem is written with this sign behind it.
 STEM_CHARS, STEM = (4, 5, 6, 7), "*"
+#: Terms with edits that share an automaton.
+EDIT_TERMS = 40
 #: Candidates that the lexicon is chosen from.
 CANDIDATES = 4_000
 
@@ -148,6 +150,34 @@ class LexiconAutomaton:
         return w[order], t[order], e[order]
 
 
+class LexiconAutomata:
+    """Automata of parts of a lexicon, run one after another: terms with edits in parts of bounded size, all others in one."""
+
+    def __init__(self, terms: list[str], part: int = EDIT_TERMS) -> None:
+        self.parts: list[tuple[LexiconAutomaton, np.ndarray]] = []
+        fuzzy = sorted((t for t in range(len(terms)) if edits_allowed(terms[t])), key=lambda t: terms[t])
+        todo = [[t for t in range(len(terms)) if not edits_allowed(terms[t])], *(fuzzy[i : i + part] for i in range(0, len(fuzzy), part))]
+        while todo:
+            some = todo.pop()
+            try:
+                if some:
+                    self.parts.append((LexiconAutomaton([terms[t] for t in some]), np.array(some)))
+            except ValueError:  # too many states
+                if len(some) == 1:
+                    raise
+                todo += [some[: len(some) // 2], some[len(some) // 2 :]]
+
+    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words that match: index, term, edits. Of several terms that of the fewest edits, whole words before stems."""
+        found = [(w, of[t], e, np.full(len(w), i)) for i, (a, of) in enumerate(self.parts) for w, t, e in [a.run(data, starts, ends)]]
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        w, t, e, i = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((t, i, e, w))
+        first = order[np.diff(w[order], prepend=-1) > 0]
+        return w[first], t[first], e[first]
+
+
 def quote_marks(data: np.ndarray) -> np.ndarray:
     """Running count of quotation marks: straight and curly double quotes, guillemets."""
     mark = data == 0x22
@@ -158,7 +188,7 @@ def quote_marks(data: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(mark)])
 
 
-def features(column: pa.Array, automaton: LexiconAutomaton, weights: np.ndarray) -> np.ndarray:
+def features(column: pa.Array, automaton: LexiconAutomaton | LexiconAutomata, weights: np.ndarray) -> np.ndarray:
     """One row of FEATURES for each text."""
     out = np.zeros((len(column), len(FEATURES)))
     for first, data, offsets in text_blocks(column):
@@ -206,9 +236,9 @@ class ToxicityModel:
         self._automaton = None
 
     @property
-    def automaton(self) -> LexiconAutomaton:
+    def automaton(self) -> LexiconAutomata:
         if self._automaton is None:
-            self._automaton = LexiconAutomaton(self.terms)
+            self._automaton = LexiconAutomata(self.terms)
         return self._automaton
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -254,7 +284,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = rows.select("text", "toxic").mapInArrow(_term_counts, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     least = min(LEAST_TEXTS, max(2, math.ceil(n_pos / 10)))
     terms = counts.where((F.col("pos") >= max(least, math.ceil(LEAST_SHARE * n_pos))) & (odds >= LEAST_LOG_ODDS)).select("word", odds.alias("odds"), "pos").orderBy(F.desc(F.col("odds") * F.log1p("pos")), F.desc(F.length("word")), "word").limit(CANDIDATES).collect()
-    terms = choose_terms([(t["word"], t["odds"], t["pos"]) for t in terms])
+    candidates = [(t["word"], t["odds"], t["pos"]) for t in terms]
+    terms = choose_terms(candidates)
+    terms += words_of_stems(candidates, terms)
     model = ToxicityModel([t for t, _ in terms], [w for _, w in terms], np.zeros(len(FEATURES) + 1))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +321,13 @@ def choose_terms(candidates: list[tuple[str, float, int]], most: int = TERMS) ->
     return [(t, w) for t, w, n in chosen if n * 10 >= usual[len(usual) // 2]]
 
 
+def words_of_stems(candidates: list[tuple[str, float, int]], chosen: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """Whole words that a chosen stem stands for and that allow edits: the stem itself allows none."""
+    stems = {t[:-1] for t, _ in chosen if t.endswith(STEM)}
+    taken = {t for t, _ in chosen}
+    return [(t, w) for t, w, _ in candidates if t not in taken and edits_allowed(t) and any(t[:k] in stems for k in STEM_CHARS)]
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, model: ToxicityModel | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
