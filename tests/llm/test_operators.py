@@ -470,3 +470,26 @@ def test_words_of_a_stem_keep_their_edits():
     got = {words[i]: (terms[j], int(n)) for i, j, n in zip(w.tolist(), t.tolist(), e.tolist())}
     assert got["iidiot"] == got["1diot"] == ("idiot", 1) and got["idiotic"] == ("idio*", 0) and got["scum"] == ("scum", 0) and "plain" not in got
     assert got["idiot"][1] == 0 and ("idoit" in got) == (toxicity.edits_allowed("idiot") >= 2)
+
+
+def test_rare_terms_stay_in_the_lexicon(spark):
+    """300 terms with a long tail, most in six toxic texts and no clean one; and a word of one passage copied into 12 toxic texts."""
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2_000)]
+    bad = ["".join(rng.choice("klmnopqrst") for _ in range(7)) for _ in range(300)]
+    often = [t for k, t in enumerate(bad) for _ in range(90 if k < 10 else 6)]
+    say = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    rng.shuffle(often)
+    toxic = [" ".join(f"{say(5)} {t} {say(5)}" for t in often[i : i + 6]) for i in range(0, len(often), 6)]
+    for k in range(12):
+        toxic[k] += " one two copyword three four"
+    texts = [(t, 1) for t in toxic] + [(say(30), 0) for _ in range(3_000)]
+    docs = spark.createDataFrame([(3 * i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3 * i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    from unittest import mock
+
+    with mock.patch.object(toxicity, "held_out", lambda id_col="doc_id": toxicity.F.lit(False)):
+        terms = toxicity.train(docs, labels).terms
+    assert "copyword" not in terms and not [t for t in terms if t.startswith("copyw")]
+    hit = set(terms)
+    assert all(t in hit or any(t[:k] + "*" in hit for k in (4, 5, 6)) for t in bad)

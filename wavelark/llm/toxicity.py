@@ -9,6 +9,7 @@ sides counts as quoted. A logistic regression on these counts gives the score.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from wavelark.llm.common import id_and_text, lower_ascii, materialize, text_blocks, word_bounds
 
 SAMPLE = 20_000
-TERMS = 150
-#: A term is in this share of the toxic texts at least, and its odds are this much higher there.
-LEAST_SHARE, LEAST_LOG_ODDS, LEAST_TEXTS = 0.002, 2.0, 5
+#: A term's odds are this much higher in toxic texts, at least so many of which hold it in passages of their own; and by chance a term
+#: would be in as many toxic ones of its texts with a probability of exp(-SURE) at most.
+LEAST_LOG_ODDS, LEAST_TEXTS, SURE = 2.0, 5, 9.2
 THRESHOLD = 0.7
 #: Words to either side of a hit that are searched for quotation marks.
 WINDOW = 5
@@ -36,8 +37,8 @@ _NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 STEM_CHARS, STEM = (4, 5, 6, 7), "*"
 #: Terms with edits that share an automaton.
 EDIT_TERMS = 40
-#: Candidates that the lexicon is chosen from.
-CANDIDATES = 4_000
+#: Words to either side of a term that tell a passage from another.
+PASSAGE = 2
 
 
 def edits_allowed(term: str) -> int:
@@ -255,9 +256,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pos, neg = Counter(), Counter()
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            raw = np.where(_NOT_WORD[raw], 32, lower_ascii(raw)).astype(np.uint8).tobytes()
-            words = {w.decode("utf-8", "ignore") for w in raw.split() if 3 <= len(w) <= 60}
+            words = {w for w in _words(text) if 3 <= len(w.encode()) <= 60}
             stems = {w[:k] + STEM for w in words for k in STEM_CHARS if len(w) > k}
             (pos if toxic else neg).update(words | stems)
         for n in range(0, len(words := list({**pos, **neg})), 50_000):
@@ -265,6 +264,41 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([pos[w] for w in part], pa.int64()), pa.array([neg[w] for w in part], pa.int64())], ["word", "pos", "neg"])
 
 
+def _words(text: str) -> list[str]:
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return [w.decode("utf-8", "ignore") for w in np.where(_NOT_WORD[raw], 32, lower_ascii(raw)).astype(np.uint8).tobytes().split()]
+
+
+def _passages(terms: frozenset[str]):
+    """Of each text, the terms in it, each with the least hash of the words around it: texts that share a passage share that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term, passage = [], []
+            for text in batch.column(0).to_pylist():
+                words, least = _words(text), {}
+                for i, w in enumerate(words):
+                    mine = [t for t in (w, *(w[:k] + STEM for k in STEM_CHARS if len(w) > k)) if t in terms]
+                    if mine:
+                        around = " ".join(words[max(0, i - PASSAGE) : i]) + "|" + " ".join(words[i + 1 : i + 1 + PASSAGE])
+                        h = zlib.crc32(around.encode("utf-8", "surrogatepass")) << 32 | zlib.adler32(around.encode("utf-8", "surrogatepass"))
+                        for t in mine:
+                            least[t] = min(h, least.get(t, h))
+                term += least
+                passage += least.values()
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array([h - (1 << 63) for h in passage], pa.int64())], ["word", "passage"])
+
+    return run
+
+
+def sure(pos: int, neg: int, n_pos: int, n_neg: int) -> bool:
+    """Whether a term's own counts admit it: its odds, and Chernoff's bound of the binomial tail."""
+    odds = math.log((pos + 0.5) / (n_pos + 1.0)) - math.log((neg + 0.5) / (n_neg + 1.0))
+    p, n = n_pos / (n_pos + n_neg), pos + neg
+    bound = sum(k * math.log(k / (n * q)) for k, q in ((pos, p), (neg, 1 - p)) if k)
+    return odds >= LEAST_LOG_ODDS and bound >= SURE
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Learns from labelled rows of docs that aren't held out. Without such rows, or of one class only, scores are constant.
 
@@ -283,9 +317,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     odds = F.log((F.col("pos") + 0.5) / F.lit(n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n_neg + 1.0))
     counts = rows.select("text", "toxic").mapInArrow(_term_counts, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     least = min(LEAST_TEXTS, max(2, math.ceil(n_pos / 10)))
-    terms = counts.where((F.col("pos") >= max(least, math.ceil(LEAST_SHARE * n_pos))) & (odds >= LEAST_LOG_ODDS)).select("word", odds.alias("odds"), "pos").orderBy(F.desc(F.col("odds") * F.log1p("pos")), F.desc(F.length("word")), "word").limit(CANDIDATES).collect()
-    candidates = [(t["word"], t["odds"], t["pos"]) for t in terms]
-    terms = choose_terms(candidates)
+    # what the sample's own words are is bounded by the sample
+    terms = [t for t in counts.where((F.col("pos") >= least) & (odds >= LEAST_LOG_ODDS)).select("word", odds.alias("odds"), "pos", "neg").collect() if sure(t["pos"], t["neg"], n_pos, n_neg)]
+    apart = rows.where("toxic").select("text").mapInArrow(_passages(frozenset(t["word"] for t in terms)), "word string, passage long")
+    apart = dict(apart.groupBy("word").agg(F.count_distinct("passage")).collect())
+    terms = [t for t in terms if (n := apart.get(t["word"], 0)) >= least and sure(min(n, t["pos"]), t["neg"], n_pos, n_neg)]
+    candidates = sorted(((t["word"], t["odds"], t["pos"]) for t in terms), key=lambda c: c[0])
+    terms = choose_terms(candidates, least)
     terms += words_of_stems(candidates, terms)
     model = ToxicityModel([t for t, _ in terms], [w for _, w in terms], np.zeros(len(FEATURES) + 1))
 
@@ -301,24 +339,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def choose_terms(candidates: list[tuple[str, float, int]], most: int = TERMS) -> list[tuple[str, float]]:
-    """Terms and stems that stand out by themselves, from the best one on.
+def choose_terms(candidates: list[tuple[str, float, int]], least: int = LEAST_TEXTS) -> list[tuple[str, float]]:
+    """Terms and stems that stand out by themselves, from the best one on: all of them, if in `least` texts.
 
-    What begins with a chosen stem adds nothing; a stem is left out where a chosen term nearly accounts for it; and a term must
-    be at least a tenth as frequent as the median of the ten most frequent ones.
+    What begins with a chosen stem adds nothing; a stem is left out where a chosen term nearly accounts for it.
     """
-    chosen: list[tuple[str, float, int]] = []
+    chosen: list[tuple[str, float]] = []
+    stems: set[str] = set()
+    usual: dict[str, int] = {}  # of each beginning, the texts of the most frequent chosen term that has it
     # of equal ones whole words come first, then long stems
     for term, odds, n in sorted(candidates, key=lambda c: (-round(c[1] * math.log1p(c[2]), 9), c[0].endswith(STEM), -len(c[0]), c[0])):
         base = term.removesuffix(STEM)
-        covered = any(c.endswith(STEM) and base.startswith(c[:-1]) for c, _, _ in chosen)
-        explained = term.endswith(STEM) and any(c.removesuffix(STEM).startswith(base) and n <= 1.2 * m for c, _, m in chosen)
-        if not covered and not explained:
-            chosen.append((term, odds, n))
-        if len(chosen) == most:
-            break
-    usual = sorted((n for _, _, n in chosen), reverse=True)[:10]
-    return [(t, w) for t, w, n in chosen if n * 10 >= usual[len(usual) // 2]]
+        covered = any(base[:k] in stems for k in STEM_CHARS)
+        explained = term.endswith(STEM) and n <= 1.2 * usual.get(base, 0)
+        if n >= least and not covered and not explained:
+            chosen.append((term, odds))
+            if term.endswith(STEM):
+                stems.add(base)
+            for k in STEM_CHARS:
+                usual[base[:k]] = max(n, usual.get(base[:k], 0))
+    return chosen
 
 
 def words_of_stems(candidates: list[tuple[str, float, int]], chosen: list[tuple[str, float]]) -> list[tuple[str, float]]:
