@@ -493,3 +493,11 @@ def test_rare_terms_stay_in_the_lexicon(spark):
     assert "copyword" not in terms and not [t for t in terms if t.startswith("copyw")]
     hit = set(terms)
     assert all(t in hit or any(t[:k] + "*" in hit for k in (4, 5, 6)) for t in bad)
+
+
+def test_copies_far_behind_are_cut_at_the_budget(spark):
+    """A document of four times its source's target, while the other sources don't use up the budget."""
+    rows = [(k, "w " * (1200 if k == 1 else 100), f"s{k:02}") for k in range(31)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.taken for r in out} == {k: 0 if k == 1 else 200 for k in range(31)}
+    assert sum(r.taken for r in out) <= 1.5 * sum(r.size for r in out)

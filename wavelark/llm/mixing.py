@@ -94,9 +94,10 @@ def _queue(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     # virtual finish times of the copies; the merged queue is cut in the bucket in which the budget runs out
     finish = lambda e: (F.lit(e) * F.col("source_size") + F.col("end")).cast("double") / F.col("target")
     copies = placed.where("target > 0 and size > 0").select("q", "place", "size", F.explode(F.array(*[F.struct(F.lit(e).alias("e"), finish(e).alias("finish")) for e in range(most)])).alias("c")).select("q", "place", "size", "c.*")
-    copies = copies.withColumn("slot", F.floor(F.col("finish") * F.lit(buckets)).cast("long"))
+    # copies past the bound share one last slot, which is cut like the others
+    copies = copies.withColumn("slot", F.least(F.floor(F.col("finish") * F.lit(buckets)).cast("long"), F.lit(MOST_SLOTS * buckets + 1)))
     budget = goals.agg(F.sum("target")).first()[0] or 0.0
-    slots = copies.where(F.col("slot") <= MOST_SLOTS * buckets).groupBy("slot").agg(F.sum("size").alias("slot_size"))
+    slots = copies.groupBy("slot").agg(F.sum("size").alias("slot_size"))
     running = slots.select("slot", F.sum("slot_size").over(Window.orderBy("slot")).alias("upto"), "slot_size")
     over = running.where(F.col("upto") > F.lit(budget)).orderBy("slot").limit(1).collect()
     last = None
