@@ -53,6 +53,41 @@ def near(rows, words=2, percent=80):
     return {i: (len(sets[i]), comp[i]) for i in ids}
 
 
+def recurring(rows, least=10):
+    """rows: (doc_id, text). Returns {doc_id: numbers of the lines to drop}."""
+    where = defaultdict(set)  # leaf -> documents; and (leaf, line) -> documents
+    leaves = {}
+    for i, t in rows:
+        for no, raw in enumerate((t or "").split("\n")):
+            if raw:
+                line = tuple("<*>" if re.search("[0-9]", w) else w for w in raw.split(" "))
+                at = [("whole", raw)]
+                if len(line) > 1:
+                    at += [(k, len(line), *(line[x] if x < len(line) else None for x in pair)) for k, pair in enumerate([(0, 1), (0, 2), (1, 2)])]
+                leaves[i, no] = line, at
+                for leaf in at:
+                    where[leaf, line].add(i)
+    support = defaultdict(set)
+    for (leaf, line), docs in where.items():
+        for pos, token in enumerate(line):
+            support[leaf, pos, token] |= docs
+    template = lambda leaf, line: tuple(w if w != "<*>" and len(support[leaf, pos, w]) >= least else "<*>" for pos, w in enumerate(line))
+    have = defaultdict(set)
+    for (leaf, line), docs in where.items():
+        have[leaf, template(leaf, line)] |= docs
+    out = {i: set() for i, _ in rows}
+    for (i, no), (line, at) in leaves.items():
+        for leaf in at:
+            t = template(leaf, line)
+            if leaf[0] == "whole":
+                gone = len(set().union(*(d for (x, _), d in where.items() if x == leaf))) >= least
+            else:
+                gone = len(have[leaf, t]) >= least and sum(w != "<*>" for w in t) >= 0.5 * len(t)
+            if gone:
+                out[i].add(no)
+    return out
+
+
 def repeated(rows, window, units):
     """rows: (doc_id, text). Returns [(doc_id, units, removed flags)]."""
     first = {}

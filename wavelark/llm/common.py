@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import functools
+import hashlib
 import tempfile
-import time
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,18 +18,21 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled by numpy at once.
 BLOCK_BYTES = 1 << 19
-#: Most rows of an Arrow batch while a table is written.
-BATCH_ROWS = 2_000
-_ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: While a table is written: rows that go to Python hold whole texts or sets, so they go in smaller batches; and the shuffle
+#: files of the query go with its end, as the table is all that is read later.
+WHILE_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 _own_dirs: dict[str, str] = {}
+_written = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset a local session gets a temporary one."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         holder = tempfile.TemporaryDirectory(prefix="wavelark-")
@@ -40,39 +45,61 @@ def _tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/wavelark/{spark.sparkContext.applicationId}"
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that this application has written to the shared folder; results that still read them are lost."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, lean: bool = False) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors.
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written to the shared folder; results that still read them are lost."""
+    _delete(spark, _tables_dir(spark))
+
+
+def releasing(operator: Callable) -> Callable:
+    """Of the tables that an operator writes only those that its result (one or more DataFrames) reads stay."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs):  # noqa: ANN002, ANN003, ANN202
+        outer, _written.tables = getattr(_written, "tables", None), []
+        try:
+            out = operator(*args, **kwargs)
+            read = {f for df in (out if isinstance(out, tuple) else (out,)) if isinstance(df, DataFrame) for f in df.inputFiles()}
+            read = {part for f in read for part in f.split("/")}
+        finally:
+            mine, _written.tables = _written.tables, outer
+        for spark, folder in mine:
+            if folder.rsplit("/", 1)[1] not in read:
+                _delete(spark, folder)
+            elif outer is not None:
+                outer.append((spark, folder))
+        return out
+
+    return run
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    usual = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+
 
-    lean: the rows are ids and counts only, so an eighth of the shuffle partitions is enough to write them.
-    """
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{_tables_dir(spark)}/{uuid.uuid4().hex}"
-    if lean:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    usual = spark.conf.get(_ROWS_A_BATCH)
-    try:  # rows that go to Python hold whole texts or sets, so they go in smaller batches
-        if not 0 < int(usual) <= BATCH_ROWS:
-            spark.conf.set(_ROWS_A_BATCH, str(BATCH_ROWS))
+    if getattr(_written, "tables", None) is not None:
+        _written.tables.append((spark, path))
+    with _settings(spark, WHILE_WRITING):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_ROWS_A_BATCH, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now and not whenever the driver next collects its garbage."""
-    for _ in range(2):  # the first round frees what Python held, the second what the driver's JVM then holds no more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def shard_count(df: DataFrame, bytes_per_shard: int = 32 << 20) -> int:
     """Enough shards that each stays small: the session's shuffle partitions, or more for large inputs."""
     stats = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -186,8 +213,24 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix64(PrefixHash(data).raw(starts, ends) + (ends - starts).astype(np.uint64))
+class WordHasher:
+    """64-bit digests of words, remembered in a cache of bounded size."""
+
+    MOST_WORDS, MOST_BYTES = 300_000, 32 << 20
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        new = set(words).difference(self.known)
+        if new:
+            if len(self.known) > self.MOST_WORDS or self.size > self.MOST_BYTES:
+                self.known, self.size, new = {}, 0, set(words)
+            for w in new:
+                self.known[w] = hashlib.blake2b(w, digest_size=8).digest()
+                self.size += len(w)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint64)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -213,16 +256,13 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix64((sums[width:] - sums[:n]) * down[:n])
 
 
-def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the leftmost smallest value in each window. values: uint64, of which the top 32 bits count."""
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest value in each window."""
     n = len(values) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    packed = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=np.uint64)
-    span = 1
+        return values[:0]
+    least, span = values, 1
     while span * 2 <= width:
-        packed = np.minimum(packed[:-span], packed[span:])
+        least = np.minimum(least[:-span], least[span:])
         span *= 2
-    if span < width:
-        packed = np.minimum(packed[: n], packed[width - span : width - span + n])
-    return (packed[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return np.minimum(least[:n], least[width - span : width - span + n]) if span < width else least[:n]

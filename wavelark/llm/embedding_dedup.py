@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.llm.common import materialize
+from wavelark.llm.common import materialize, releasing
 from wavelark.llm.components import connected_components
 
 LEAST = 0.95
@@ -159,6 +159,7 @@ def _search(least: float):
     return run
 
 
+@releasing
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, shard: int = SHARD, overlap: int = 1, beam: int = 1, sample: int = SAMPLE) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
@@ -171,7 +172,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     ready = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     ready = materialize(ready.mapInArrow(_prepare, "vec_id long, unit binary"))
     usable = ready.where("unit is not null").withColumn("print", F.md5("unit"))
-    reps = materialize(usable.groupBy("print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), lean=True)
+    reps = materialize(usable.groupBy("print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     same = usable.select("vec_id", "unit", "print").join(reps.withColumnRenamed("rep", "vec_id"), ["print", "vec_id"])
     nodes = materialize(same.groupBy("print", "vec_id").agg(F.first("unit").alias("unit"), F.max("copies").alias("copies")).select(F.col("vec_id").alias("rep"), "unit", "copies"))
     n = nodes.count()
@@ -187,7 +188,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     most = BLOCK * shard
     held = rows.groupBy("centre").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
     asked = rows.select(F.explode("later").alias("centre")).groupBy("centre").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    sizes = F.broadcast(materialize(held.join(asked, "centre", "left").select("centre", "blocks", F.coalesce("parts", F.lit(1)).alias("parts")), lean=True))
+    sizes = F.broadcast(materialize(held.join(asked, "centre", "left").select("centre", "blocks", F.coalesce("parts", F.lit(1)).alias("parts"))))
     rows = rows.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     to = lambda first, last: F.when(last >= first, F.sequence(first, last))
     # the parts of a block are those of other cells' vectors, then its cell's earlier blocks
@@ -197,10 +198,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     outside = outside.select("centre", F.explode(to(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int").alias("ask"), "rep", "unit", "copies", F.lit(1).alias("role"))
     found = as_nodes.unionByName(inside).unionByName(outside).groupBy("centre", "block", "ask").applyInArrow(_search(least), "rep long, n long, other long")
     found = materialize(found)
-    counts = materialize(found.groupBy("rep").agg(F.sum("n").alias("n")), lean=True)
-    component = materialize(connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))), lean=True)
+    counts = materialize(found.groupBy("rep").agg(F.sum("n").alias("n")))
+    component = materialize(connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))))
     known = nodes.select("rep").join(counts, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component_id"))
-    known = materialize(known, lean=True)
+    known = materialize(known)
     joined = membership.join(known, "rep").select("vec_id", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = ready.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

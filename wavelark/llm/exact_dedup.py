@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.llm.common import id_and_text, materialize, same_columns, unpack
+from wavelark.llm.common import id_and_text, materialize, releasing, same_columns, unpack
 
 #: Rows of one group that a task holds at once.
 SEGMENT = 100_000
@@ -84,6 +84,7 @@ def _compare_neighbours(keep_largest: bool):
     return run
 
 
+@releasing
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -96,13 +97,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = materialize(ranged.mapInArrow(_compare_neighbours(keep == "largest"), _ROWS))
     edges = rows.where("edge_text is not null").select("seg", "edge_text", "seg_key", "seg_size")
     totals = edges.groupBy("edge_text").agg(F.max(F.struct("seg_key", "seg")).alias("best"), F.sum("seg_size").alias("size"))
-    closed = materialize(edges.join(totals, "edge_text").select("seg", F.col("best.seg_key").alias("all_key"), (F.col("best.seg") == F.col("seg")).alias("wins"), "size"), lean=True)
+    closed = materialize(edges.join(totals, "edge_text").select("seg", F.col("best.seg_key").alias("all_key"), (F.col("best.seg") == F.col("seg")).alias("wins"), "size"))
     to_id = lambda c: F.col(c) if keep == "largest" else F.bitwise_not(F.col(c))
     done = rows.where("not open").select("doc_id", to_id("seg_key").alias("keep_id"), F.col("seg_size").alias("group_size"), F.col("top").alias("kept"), "text_sha256")
     rest = rows.where("open").join(closed, "seg").select("doc_id", to_id("all_key").alias("keep_id"), F.col("size").alias("group_size"), (F.col("top") & F.col("wins")).alias("kept"), "text_sha256")
     return done.unionByName(rest)
 
 
+@releasing
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of docs that stay, with their columns. One row of each group of equal texts stays (see exact_groups)."""
     key = lambda i, sha: F.concat_ws(":", sha, F.coalesce(i.cast("string"), F.lit("-")))

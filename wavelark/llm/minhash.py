@@ -3,11 +3,11 @@
 One permutation (the 64-bit hash of a shingle, cut to 32 bits) places shingles on a circle; a second one, `_permute`, is shifted
 along it by one step a coordinate, so two permutations give the whole signature. Rows of one band value are candidates.
 
-No bucket is expanded into its pairs. Documents with equal sets are one class. In each bucket every class is first compared
-with one class, and in further rounds what is not yet in the bucket's largest component with another class of that one, which
-links nearly all of a group of copies. Only classes that are then still apart are compared with the bucket's other classes,
-and only where sizes allow a link, so no link between different components is left out. Every link is decided on the full
-sets of 64-bit shingle hashes.
+No bucket is expanded into its pairs. Documents with the same words in the same order are one class. In each bucket every class
+is first compared with one class, and in further rounds what is not yet in the bucket's largest component with another class of
+that one, which links nearly all of a group of copies. Only classes that are then still apart are compared with the bucket's
+other classes, and only where sizes allow a link, so no link between different components is left out. Every link is decided
+on the full sets of shingles of real words: hashes only choose what is compared.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.llm.common import gram_hashes, id_and_text, lower_ascii, materialize, mix64, same_columns, text_blocks, unpack, word_bounds, word_hashes
+from wavelark.llm.common import WordHasher, gram_hashes, id_and_text, materialize, mix64, releasing, same_columns, unpack
 from wavelark.llm.components import connected_components
 
 #: A pair at a similarity of exactly 0.8 shares no band with a probability of (1 - 0.8 ** 6) ** 42, 3 in a million.
@@ -29,23 +29,43 @@ ROWS, BANDS = 6, 42
 ROUNDS = 4
 #: Classes of a block where buckets are compared in full.
 BLOCK = 256
+#: Rows and bytes of text that are verified together.
+TOGETHER, TOGETHER_BYTES = 128, 4 << 20
 _CHUNK = 32_768
 
 
-def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
-    for _, data, offsets in text_blocks(column):
-        data = lower_ascii(data)
-        starts, ends, first = word_bounds(data, offsets)
-        h = word_hashes(data, starts, ends)
-        grams = gram_hashes(h, words)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            if b - a >= words:
-                yield np.unique(grams[a : b - words + 1])
-            elif b > a:  # too short: the whole sequence is its one shingle
-                yield mix64(gram_hashes(h[a:b], b - a) + np.uint64(b - a))
-            else:
-                yield np.zeros(0, np.uint64)
+def split_words(column: pa.Array) -> Iterator[list[bytes]]:
+    """The words of each row, A-Z lower-cased; bytes.split parts at just the six ASCII white space characters."""
+    for raw in column.cast(pa.binary()).to_pylist():
+        yield (raw or b"").lower().split()
+
+
+def shingle_hashes(words: list[bytes], size: int, hasher: WordHasher) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; too short a text is one shingle."""
+    h = hasher(words)
+    if len(words) >= size:
+        return np.unique(gram_hashes(h, size))
+    return mix64(gram_hashes(h, len(words)) + np.uint64(len(words))) if words else np.zeros(0, np.uint64)
+
+
+def exact_shingles(texts: list[list[bytes]], size: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted numbers, equal among these texts where the words are equal and only there."""
+    names: dict[bytes, int] = {}
+    ids = np.array([names.setdefault(w, len(names)) for words in texts for w in words], np.int64)
+    place = ids
+    for k in range(1, size):  # the runs of k words get numbers, then those of k + 1 words
+        place = place[: max(0, len(ids) - k)] * max(1, len(names)) + ids[k:]
+        if k + 1 < size and len(place):
+            place = np.unique(place, return_inverse=True)[1].astype(np.int64)
+    out, at = [], 0
+    short: dict[tuple[bytes, ...], int] = {}
+    for words in texts:
+        if len(words) >= size:
+            out.append(np.unique(place[at : at + len(words) - size + 1]))
+        else:
+            out.append(np.array([-1 - short.setdefault(tuple(words), len(short))] if words else [], np.int64))
+        at += len(words)
+    return out
 
 
 def _permute(z: np.ndarray, t: np.ndarray) -> None:
@@ -87,58 +107,57 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _print_of(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-
-
 def _sign(words: int, rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                sets = list(shingle_sets(part.column(1), words))
+                sets, prints = [], []
+                for text in split_words(part.column(1)):
+                    sets.append(shingle_hashes(text, words, hasher))
+                    prints.append(hashlib.blake2b(b" ".join(text), digest_size=16).digest())
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 if full:
                     for i, k in zip(full, band_keys(signatures([sets[i] for i in full], rows * bands), rows)):
                         keys[i] = k
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print_of(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "bands"])
 
     return run
 
 
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                sets = [s.tobytes() for s in shingle_sets(part.column(1), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "members"])
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b" ".join(w) for w in split_words(batch.column(1))], pa.binary())], ["id", "members"])
 
-    return run
 
+def _verify(words: int, percent: int):
+    def linked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        place: dict[bytes, int] = {}
+        sides = [[place.setdefault(text, len(place)) for text in batch.column(c).to_pylist()] for c in (2, 3)]
+        sets = exact_shingles([text.split() for text in place], words)
+        keep = []
+        for a, b in zip(*sides):
+            short, long_ = sorted((sets[a], sets[b]), key=len)
+            at = np.searchsorted(long_, short)
+            at[at == len(long_)] = 0
+            both = int(np.count_nonzero(long_[at] == short))
+            keep.append(100 * both >= percent * (len(short) + len(long_) - both))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep: list[tuple[int, int]] = []
-            last, last_set = None, None
-            for i, (a, b) in enumerate(zip(a_ids, b_ids)):
-                left = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
-                if b != last:
-                    last, last_set = b, np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-                short, long_ = (left, last_set) if len(left) < len(last_set) else (last_set, left)
-                place = np.searchsorted(long_, short)
-                place[place == len(long_)] = 0
-                both = int(np.count_nonzero(long_[place] == short))
-                if 100 * both >= percent * (len(left) + len(last_set) - both):
-                    keep.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64())], ["a", "b"])
+            at = 0
+            while at < batch.num_rows:
+                rows = max(1, min(TOGETHER, TOGETHER_BYTES * batch.num_rows // max(1, batch.nbytes)))
+                yield linked(batch.slice(at, rows))
+                at += rows
 
     return run
 
 
+@releasing
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -150,16 +169,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = id_and_text(docs, id_col, text_col)
     signed = materialize(texts.mapInArrow(_sign(words, rows, bands), "doc_id long, n_shingles long, print binary, bands array<long>"))
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    least = materialize(real.groupBy("print").agg(F.min("doc_id").alias("class")), lean=True)
+    least = materialize(real.groupBy("print").agg(F.min("doc_id").alias("class")))
     classes = materialize(real.join(least.withColumnRenamed("class", "doc_id"), ["print", "doc_id"]).withColumnRenamed("doc_id", "class").groupBy("class", "print").agg(F.max("n_shingles").alias("n"), F.max("bands").alias("bands")).drop("print"))
     members = real.select("doc_id", "print").join(least, "print").select(F.col("doc_id").alias("a"), F.col("class").alias("b")).where("a <> b")
 
     buckets = classes.select("class", "n", F.explode("bands").alias("band"))
-    shared = materialize(buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"), lean=True)
+    shared = materialize(buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"))
     active = materialize(buckets.join(shared, "band"))
-    wanted = materialize(active.select(F.col("class").alias("id")).distinct(), lean=True)
+    wanted = materialize(active.select(F.col("class").alias("id")).distinct())
     chosen = texts.withColumnRenamed("doc_id", "id").join(wanted.hint("shuffle_hash"), "id", "left_semi")
-    sets = materialize(chosen.mapInArrow(_sets(words), "id long, members binary"))
+    texts = materialize(chosen.mapInArrow(_normalised, "id long, members binary"))
 
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     component: DataFrame | None = None  # node, component
@@ -171,30 +190,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         before = left
         pairs = apart.where((F.col("class") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b")).distinct()
-        component = _joined_components(component, _links(sets, materialize(pairs, lean=True), percent))
+        component = _joined_components(component, _links(texts, materialize(pairs), words, percent))
     if left:
-        component = _joined_components(component, _met(active, apart, sets, percent))
+        component = _joined_components(component, _met(active, apart, texts, words, percent))
     component = _joined_components(component, members)
     labelled = signed.select("doc_id", "n_shingles").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return labelled.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _met(active: DataFrame, apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _met(active: DataFrame, apart: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links of what is still apart with the other components of all its buckets: blocks of a bucket meet blocks of its rows apart."""
     count = lambda rows, name: rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    blocks = materialize(count(apart, "asks").join(count(active, "blocks"), "band"), lean=True)
+    blocks = materialize(count(apart, "asks").join(count(active, "blocks"), "band"))
     part = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     there = active.select("band", "class", "own").join(blocks, "band").select("band", part("blocks").alias("block"), every("asks").alias("ask"), "class", "own", F.lit(0).alias("role"))
     here = apart.select("band", "class", "own").join(blocks, "band").select("band", every("blocks").alias("block"), part("asks").alias("ask"), "class", "own", F.lit(1).alias("role"))
-    rows = there.unionByName(here).join(sets.withColumnRenamed("id", "class"), "class")
-    return materialize(rows.groupBy("band", "block", "ask").applyInArrow(_meet(percent), "a long, b long").distinct(), lean=True)
+    rows = there.unionByName(here).join(texts.withColumnRenamed("id", "class"), "class")
+    return materialize(rows.groupBy("band", "block", "ask").applyInArrow(_meet(words, percent), "a long, b long").distinct())
 
 
-def _meet(percent: int):
+def _meet(words: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         role, ids, own = table["role"].to_numpy(), table["class"].to_numpy(), table["own"].to_numpy()
-        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in table["members"]]
+        sets = exact_shingles([m.split() for m in table["members"].to_pylist()], words)
         there, here = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         a, b = [], []
         if len(there) and len(here):
@@ -225,33 +244,34 @@ def _apart(active: DataFrame, component: DataFrame | None, step: int) -> tuple[D
         rows = rows.withColumn("own", F.col("class"))
     else:
         rows = rows.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("own", F.coalesce("component", "class")).drop("component")
-    rows = materialize(rows, lean=True)
+    rows = materialize(rows)
     pick = F.struct(F.lit(0) if step == 0 else F.xxhash64(F.lit(step), "class"), F.col("class").alias("pivot"), F.col("n").alias("pivot_n"))
     parts = rows.groupBy("band", "own").agg(F.count("*").alias("size"), F.min(pick).alias("pick"))
     largest = F.max_by(F.struct("own", "pick"), F.struct("size", -F.col("own")))
-    mains = materialize(parts.groupBy("band").agg(largest.alias("m"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("m.own").alias("main"), F.col("m.pick.pivot").alias("pivot"), F.col("m.pick.pivot_n").alias("pivot_n")), lean=True)
-    rows = materialize(rows.join(mains, "band"), lean=True)
+    mains = materialize(parts.groupBy("band").agg(largest.alias("m"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("m.own").alias("main"), F.col("m.pick.pivot").alias("pivot"), F.col("m.pick.pivot_n").alias("pivot_n")))
+    rows = materialize(rows.join(mains, "band"))
     return rows, rows.where("own <> main")
 
 
 def _joined_components(component: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components after further links a, b, found among the components so far."""
     if component is None:
-        return materialize(connected_components(links), lean=True)
+        return materialize(connected_components(links))
     of = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"{side}_own"))
     lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_own", "a").alias("a"), F.coalesce("b_own", "b").alias("b"))
-    more = materialize(connected_components(lifted), lean=True).withColumnRenamed("component", "final")
+    more = materialize(connected_components(lifted)).withColumnRenamed("component", "final")
     kept = component.join(more.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("final", "component").alias("component"))
     new = more.join(component.select("node"), "node", "left_anti").select("node", F.col("final").alias("component"))
-    return materialize(kept.unionByName(new), lean=True)
+    return materialize(kept.unionByName(new))
 
 
-def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _links(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs a, b that are similar enough, decided on the full sets."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("left")), sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long").distinct(), lean=True)
+    left, right = texts.select(F.col("id").alias("a"), F.col("members").alias("left")), texts.select(F.col("id").alias("b"), F.col("members").alias("right"))
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(words, percent), "a long, b long").distinct())
 
 
+@releasing
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, with their columns: of each group of linked documents the one with the least id.
 

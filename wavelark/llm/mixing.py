@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelark.llm.common import materialize, same_columns, unpack
+from wavelark.llm.common import materialize, releasing, same_columns, unpack
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -49,6 +49,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return w.select("source", "source_size", target.alias("target"))
 
 
+@releasing
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken (words, repeats counted), copies, place.
 
@@ -59,6 +60,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return _queue(docs, id_col, text_col, source_col, weights, share, most).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "place")
 
 
+@releasing
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mixed corpus: the rows of docs with their columns, each as often as mix() takes it."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -78,7 +80,7 @@ def _queue(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     buckets = min(MOST_BUCKETS, max(1, base.count() // BUCKET_ROWS))
 
     goals = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    goals = materialize(goals.withColumn("q", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source")))), lean=True)
+    goals = materialize(goals.withColumn("q", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source")))))
     small = goals.count() <= BROADCAST_SOURCES
     sided = (F.broadcast(goals) if small else goals).withColumnRenamed("source", "_source")
     # the first 8 hex digits of a place, as a fraction of its queue
@@ -89,7 +91,7 @@ def _queue(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     ahead = sums.select("q", "part", F.coalesce(F.sum("part_size").over(Window.partitionBy("q").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("q", "part").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("size").over(within)).join(ahead, ["q", "part"])
-    placed = materialize(placed.withColumn("end", F.col("upto") + F.col("ahead")).drop("upto", "ahead", "part"), lean=True)
+    placed = materialize(placed.withColumn("end", F.col("upto") + F.col("ahead")).drop("upto", "ahead", "part"))
 
     # virtual finish times of the copies; the merged queue is cut in the bucket in which the budget runs out
     finish = lambda e: (F.lit(e) * F.col("source_size") + F.col("end")).cast("double") / F.col("target")

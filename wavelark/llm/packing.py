@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.llm.common import id_and_text, materialize
+from wavelark.llm.common import id_and_text, materialize, releasing
 
 CAPACITY = 4096
 END_ID = 1
@@ -211,6 +211,7 @@ def _merge(capacity: int):
     return run
 
 
+@releasing
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer_path: str | None = None, end_id: int = END_ID, slack: int = SLACK) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 

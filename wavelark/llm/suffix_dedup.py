@@ -1,118 +1,130 @@
 """Byte-level repeated passages by a logarithmic family of suffix arrays.
 
 Each shard (see winnow) holds the stretches of text around its anchors. Stretches come in batches, in the order of document
-ids; a batch's suffixes of at least `length` bytes are sorted into an array, which is merge-scanned against the arrays of the
-existing levels for matches of `length` bytes. Then the batch becomes a level, and levels of equal size merge, so a suffix is
-merged a logarithmic number of times.
+ids; the places of a batch are sorted by the `length` bytes that follow them into a suffix array, which is merge-scanned against
+the arrays of the existing levels for matches of `length` bytes. Then the batch becomes a level, and levels of equal size merge,
+so a suffix is merged a logarithmic number of times. A level is its text and the places in order; the bytes at the places are only
+read a block at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.llm.common import PrefixHash, same_columns, text_blocks, unpack
-from wavelark.llm.winnow import Document, repeated_spans, union_of
+from wavelark.llm.common import BLOCK_BYTES, PrefixHash, releasing, same_columns, text_blocks, unpack
+from wavelark.llm.winnow import Chunk, repeated_spans, union_of
 
 LENGTH = 50
 GRAM = 18
-#: Suffixes of a batch.
-BATCH = 1 << 16
+#: Suffixes of a batch: so many, or this share of those that the family holds, MOST at most.
+BATCH, SHARE, MOST = 1 << 16, 0.5, 1 << 20
+#: Suffixes of a level that are read at once.
+SCAN = 1 << 16
 
 
-def byte_units(k: int):
-    def units(column: pa.Array) -> Iterator[tuple[int, Document]]:
+def byte_units(length: int, k: int):
+    """Whole short texts, several hashed at once; long ones in chunks that share length - 1 bytes with the next."""
+
+    def units(column: pa.Array) -> Iterator[tuple[int, Chunk]]:
         for first, data, offsets in text_blocks(column):
+            if len(offsets) == 2:
+                for base in range(0, max(1, len(data) - length + 1), BLOCK_BYTES):
+                    part = data[base : base + BLOCK_BYTES + length - 1]
+                    yield first, Chunk(base, PrefixHash(part).fixed(k), lambda x, y, part=part: part[x:y].tobytes())
+                continue
             grams = PrefixHash(data).fixed(k)
             raw = data.tobytes()
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                yield first + i, Document(grams[a : max(a, b - k + 1)], b - a, lambda x, y, a=a: raw[a + x : a + y])
+                yield first + i, Chunk(0, grams[a : max(a, b - k + 1)], lambda x, y, a=a: raw[a + x : a + y])
 
     return units
 
 
-class SuffixFamily:
-    """Sorted arrays of suffixes (cut to `length` bytes), each with the least document that has it."""
+@dataclass
+class Level:
+    """Places of a text, sorted by the bytes that follow; equal ones once, with the least document that has them."""
+
+    text: np.ndarray
+    places: np.ndarray
+    docs: np.ndarray
 
+    def keys(self, a: int, b: int, length: int) -> np.ndarray:
+        """The bytes at the places a to b of the array."""
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.text, length)[self.places[a:b]]).view(f"S{length}").ravel()
+
+
+class SuffixFamily:
     def __init__(self, length: int) -> None:
-        self.kind, self.levels = np.dtype(f"S{length}"), []
-
-    @staticmethod
-    def _fold(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Equal neighbours of a sorted array become one, with the least document."""
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        return keys[first], np.minimum.reduceat(docs, np.flatnonzero(first))
-
-    def add(self, suffixes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Returns for each suffix whether a smaller document, of this batch or an earlier one, has it."""
-        order = np.argsort(suffixes, kind="stable")
-        keys, least = self._fold(suffixes[order], docs[order])
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(np.concatenate([[0], suffixes[order][1:] != suffixes[order][:-1]]))
+        self.length, self.levels = length, []
+
+    def __len__(self) -> int:
+        return sum(len(x.places) for x in self.levels)
+
+    def add(self, text: np.ndarray, places: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Returns for each of the places whether a smaller document, of this batch or an earlier one, has what stands there."""
+        keys = Level(text, places, docs).keys(0, len(places), self.length)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        first = np.flatnonzero(new)
+        keys, least = keys[first], np.minimum.reduceat(docs[order], first)
         best = least.copy()
-        for level_keys, level_docs in self.levels:
-            at = np.searchsorted(level_keys, keys)
-            at[at == len(level_keys)] = 0
-            hit = level_keys[at] == keys
-            best[hit] = np.minimum(best[hit], level_docs[at[hit]])
-        self.levels.append((keys, least))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (a, da), (b, db) = self.levels.pop(), self.levels.pop()
-            keys, docs_ = np.concatenate([b, a]), np.concatenate([db, da])
-            order = np.argsort(keys, kind="stable")
-            self.levels.append(self._fold(keys[order], docs_[order]))
-        return best[place] < docs
+        for level in self.levels:
+            for a in range(0, len(level.places), SCAN):
+                there = level.keys(a, a + SCAN, self.length)
+                lo, hi = np.searchsorted(keys, there[0], "left"), np.searchsorted(keys, there[-1], "right")
+                at = np.searchsorted(there, keys[lo:hi])  # below len(there): no key here is beyond its last one
+                hit = np.flatnonzero(there[at] == keys[lo:hi])
+                best[lo + hit] = np.minimum(best[lo + hit], level.docs[a + at[hit]])
+        seen = np.empty(len(order), bool)
+        seen[order] = best[np.cumsum(new) - 1] < docs[order]
+        self._push(Level(text, places[order][first].astype(np.int32), least))
+        return seen
+
+    def _push(self, level: Level) -> None:
+        self.levels.append(level)
+        while len(self.levels) > 1 and len(self.levels[-2].places) <= 2 * len(self.levels[-1].places):
+            b, a = self.levels.pop(), self.levels.pop()
+            text = np.concatenate([a.text, b.text])
+            places = np.concatenate([a.places.astype(np.int64), b.places.astype(np.int64) + len(a.text)])
+            docs = np.concatenate([a.docs, b.docs])
+            keys = np.concatenate([a.keys(0, len(a.places), self.length), b.keys(0, len(b.places), self.length)])
+            order = np.argsort(keys, kind="stable")  # two runs in order: a merge
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.levels.append(Level(text, places[order][first].astype(np.int32), np.minimum.reduceat(docs[order], first)))
 
 
 def suffix_matcher(length: int):
     def match(items: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int]]:
-        # whole stretches first: equal ones are sorted together, the later are repeated from end to end
-        order = sorted(range(len(items)), key=lambda i: items[i][1])
-        distinct, last = [], -1
-        twins: dict[int, list[int]] = {}
-        for i in order:
-            if last >= 0 and items[i][1] == items[last][1]:
-                if items[i][0] > items[last][0]:
-                    yield i, 0, len(items[i][1])
-                else:  # again in the same document
-                    twins.setdefault(last, []).append(i)
-                continue
-            distinct.append(i)  # the sort is stable, so this has the least id
-            last = i
-        distinct.sort()
         family = SuffixFamily(length)
         first = 0
-        while first < len(distinct):
+        while first < len(items):
             last, n = first, 0
-            while last < len(distinct) and n < BATCH:
-                n += len(items[distinct[last]][1]) - length + 1
+            while last < len(items) and n < min(MOST, max(BATCH, SHARE * len(family))):
+                n += len(items[last][1]) - length + 1
                 last += 1
-            part = distinct[first:last]
-            sizes = np.array([len(items[i][1]) for i in part], np.int64)
-            data = np.frombuffer(b"".join(items[i][1] for i in part), np.uint8)
-            ends = np.cumsum(sizes)
+            part = items[first:last]
+            sizes = np.array([len(t) for _, t in part], np.int64)
+            text = np.frombuffer(b"".join(t for _, t in part), np.uint8)
             counts = sizes - length + 1
             owner = np.repeat(np.arange(len(part)), counts)
             inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-            starts = (ends - sizes)[owner] + inner
-            view = np.lib.stride_tricks.sliding_window_view(data, length)
-            suffixes = np.ascontiguousarray(view[starts]).view(f"S{length}").ravel()
-            docs = np.array([items[i][0] for i in part], np.int64)[owner]
-            hit = family.add(suffixes, docs)
+            hit = family.add(text, (np.cumsum(sizes) - sizes)[owner] + inner, np.array([d for d, _ in part], np.int64)[owner])
             if hit.any():
                 at = np.flatnonzero(hit)
                 new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])
                 b = np.flatnonzero(new)
                 e = np.concatenate([b[1:] - 1, [len(at) - 1]])
                 for x, y in zip(at[b].tolist(), at[e].tolist()):
-                    i = part[owner[x]]
-                    for j in (i, *twins.get(i, ())):
-                        yield j, int(inner[x]), int(inner[y]) + length
+                    yield first + int(owner[x]), int(inner[x]), int(inner[y]) + length
             first = last
 
     return match
@@ -120,9 +132,10 @@ def suffix_matcher(length: int):
 
 def suffix_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """Texts and repeated byte spans, as winnow.repeated_spans; a whole copy shorter than `length` repeats nothing."""
-    return repeated_spans(docs, byte_units(gram), suffix_matcher(length), length, gram, id_col, text_col)
+    return repeated_spans(docs, byte_units(length, gram), suffix_matcher(length), length, gram, len, id_col, text_col)
 
 
+@releasing
 def suffix_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -167,6 +180,7 @@ def without(raw: bytes, cut: np.ndarray) -> bytes:
     return b"".join(keep)
 
 
+@releasing
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with the repeated bytes cut out of the text; what a cut leaves of a character is dropped. Null texts stay null."""
     rows = docs.select(same_columns(docs), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.llm.common import id_and_text, lower_ascii, materialize, text_blocks, word_bounds
+from wavelark.llm.common import id_and_text, lower_ascii, materialize, releasing, text_blocks, word_bounds
 
 SAMPLE = 20_000
 #: A term's odds are this much higher in toxic texts, at least so many of which hold it in passages of their own; and by chance a term
@@ -299,6 +299,7 @@ def sure(pos: int, neg: int, n_pos: int, n_neg: int) -> bool:
     return odds >= LEAST_LOG_ODDS and bound >= SURE
 
 
+@releasing
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Learns from labelled rows of docs that aren't held out. Without such rows, or of one class only, scores are constant.
 
