@@ -1,19 +1,25 @@
 """Recurring lines by a log-template tree, in DataFrame operations only.
 
-The tree has a fixed depth: the number of tokens, then the first DEPTH tokens, with tokens that hold a digit as a wildcard. In a
-leaf that enough documents reach, a token that is rare at its position is a variable field and becomes a wildcard too. What
-is left is the line's template; a template that enough documents have is dropped, wherever it stands.
+The tree has a fixed depth: the number of tokens, then two of the first LEADING tokens, with tokens that hold a digit as a
+wildcard. A line stands in one leaf for each choice of the two, so a field may vary at any place, the first ones included. In a
+leaf a token that fewer than min_docs documents have at its place is a variable field and becomes a wildcard too; what is left
+is the line's template there. Dropped are lines of a template that min_docs documents share, and lines that min_docs documents
+have word for word. All counts are of different documents.
+
+Most documents have one kind of line in a leaf, and their number by kind simply adds up; only those with several are
+listed and counted one by one. So what moves is small even where a line stands in a third of all documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelark.llm.common import materialize, same_columns, unpack
+from wavelark.llm.common import materialize, releasing, same_columns, unpack
 
-DEPTH = 4
 MIN_DOCS = 10
+#: Of the first three tokens two are fixed in a leaf.
+LEADING = 3
 #: Least share of a template's tokens that are constant.
 CONSTANT = 0.5
 WILD = "<*>"
@@ -24,69 +30,88 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILD)).otherwise(line)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, text_col: str, *extra: Column) -> DataFrame:
+    """text, and a document's key: its id and a hash of its text, so rows that repeat both are one document."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("-")), text))
-    return docs.select(key.alias("key"), F.posexplode(F.split(text, "\n")).alias("no", "line")).where("line <> ''").select("key", "no", masked(F.col("line")).alias("line"))
+    own = F.col(f"`{id_col}`").cast("long")
+    return docs.select(*extra, F.coalesce(own, F.lit(-1 << 63)).alias("id"), F.xxhash64(own.isNull(), text).alias("th"), text.alias("text"))
+
+
+def _leaves(tokens: Column) -> Column:
+    """Hashes of the line's leaves; a line of one token has none, as nothing would be fixed in them."""
+    n = F.size(tokens)
+    pairs = [(a, b) for a in range(LEADING) for b in range(a + 1, LEADING)]
+    return F.when(n > 1, F.array(*[F.xxhash64(F.lit(k), n, F.get(tokens, F.lit(a)), F.get(tokens, F.lit(b))) for k, (a, b) in enumerate(pairs, 1)])).otherwise(F.array().cast("array<long>"))
+
+
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
+    """Two tables: of documents (id, th) and the numbers of their lines to drop, and of the templates with their number of documents."""
+    texts = _texts(docs, id_col, text_col)
+    lines = texts.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).where("line <> ''").select("id", "th", "no", "line", masked(F.col("line")).alias("mask"))
+    lines = materialize(lines.select("id", "th", "no", F.xxhash64(F.lit(0), "line").alias("raw"), F.xxhash64(F.lit(7), "mask").alias("print"), _leaves(F.split("mask", " ")).alias("leaves")))
+
+    # different lines, and the leaves that are large enough; numbers of lines are no less than those of documents
+    different = materialize(lines.groupBy("raw", "print").agg(F.count("*").alias("n"), F.first("leaves").alias("leaves"), F.min(F.struct("id", "th", "no")).alias("seen")))
+    in_leaf = different.select("raw", "print", "n", F.explode("leaves").alias("leaf"))
+    crowded = in_leaf.groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    chosen = in_leaf.join(crowded, "leaf").select("raw", "leaf", "print")
+    whole = different.where(F.col("n") >= min_docs).select("raw", F.col("raw").alias("leaf"), F.col("raw").alias("print"))
+    places = chosen.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True))).groupBy("raw").agg(F.collect_list(F.struct("leaf", "print", "whole")).alias("at"))
+
+    # what each document has in each leaf, once
+    held = lines.select("id", "th", "no", "raw").join(places, "raw").select("id", "th", "no", F.explode("at").alias("at")).select("id", "th", "no", "at.*")
+    held = held.repartition("leaf", "id", "th").groupBy("whole", "leaf", "print", "id", "th").agg(F.collect_list("no").alias("nos"))
+    held = materialize(held.withColumn("kinds", F.count("*").over(Window.partitionBy("leaf", "id", "th"))))
+    alone = materialize(held.groupBy("whole", "leaf", "print").agg(F.count_if(F.col("kinds") == 1).alias("docs")))
+    several = held.where("not whole and kinds > 1").select("leaf", "print", "id", "th")
 
-
-def _with_leaf(lines: DataFrame, depth: int) -> DataFrame:
-    tokens = F.split("line", " ")
-    return lines.withColumn("leaf", F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, depth)))
-
-
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
-    """Two tables: of each (document key, line number) to drop, and of the templates with the number of documents that have them.
-
-    A document that has several different lines of one template counts once for each of them. Equal documents count one by one
-    only where their ids differ.
-    """
-    lines = _with_leaf(_lines(docs, id_col, text_col), depth)
-    lean = materialize(lines.select("key", "no", F.xxhash64("leaf").alias("leaf"), F.xxhash64(F.lit(7), "line").alias("print")))
-    by_print = lean.groupBy("leaf", "print", "key").agg(F.min("no").alias("no"))
-    prints = materialize(by_print.groupBy("leaf", "print").agg(F.count("*").alias("docs"), F.min(F.struct("key", "no")).alias("seen")))
-    leaves = materialize(prints.groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), lean=True)
-    chosen = materialize(prints.join(leaves, "leaf").select("leaf", "print", "docs", "seen.key", "seen.no"), lean=True)
     # one line of each print is read again for its tokens
-    wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("no", "leaf", "print", "docs")).alias("which"))
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("-")), text))
-    texts = docs.select(key.alias("key"), text.alias("text")).join(wanted.hint("shuffle_hash"), "key")
-    found = texts.select(F.split("text", "\n").alias("all"), F.explode("which").alias("w")).select("w.*", masked(F.element_at("all", F.col("w.no") + 1)).alias("line")).drop("no")
-    found = materialize(found.dropDuplicates(["print", "leaf"]))
-    tokens = found.select("leaf", "print", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    common = materialize(tokens.where(F.col("token") != WILD).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n"), lean=True)
-    kept = tokens.join(common.withColumn("fixed", F.lit(1)), ["leaf", "pos", "token"], "left")
-    templates = kept.groupBy("leaf", "print").agg(F.max("docs").alias("docs"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("fixed") == 1, F.col("token")).otherwise(WILD).alias("token")))), lambda x: x["token"]), " ").alias("template"), F.avg(F.coalesce("fixed", F.lit(0))).alias("share"))
-    templates = materialize(templates.where(F.col("share") >= constant))
-    often = materialize(templates.groupBy("leaf", "template").agg(F.sum("docs").alias("n_docs")).where(F.col("n_docs") >= min_docs), lean=True)
-    dropped = materialize(templates.join(often.select("leaf", "template"), ["leaf", "template"]).select("leaf", "print"), lean=True)
-    return lean.join(dropped, ["leaf", "print"]).select("key", "no"), often.select("template", "n_docs")
-
-
-def _joined(docs: DataFrame, extra: list[Column], id_col: str, text_col: str, depth: int, min_docs: int, constant: float) -> DataFrame:
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    drop, _ = recurring_lines(docs, id_col, text_col, depth, min_docs, constant)
-    drop = drop.groupBy("key").agg(F.array_distinct(F.collect_list("no")).alias("gone"))
-    rows = docs.select(*extra, F.md5(F.concat_ws("|", F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("-")), text)).alias("key"), text.alias("_text"))
-    both = rows.join(drop.hint("shuffle_hash"), "key", "left")
-    lines = F.split("_text", "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+    prints = alone.where("not whole").select("leaf", "print", "docs")
+    seen = different.join(prints.select("print").distinct(), "print", "left_semi").groupBy("print").agg(F.min("seen").alias("seen"))
+    wanted = seen.groupBy("seen.id", "seen.th").agg(F.collect_list(F.struct("seen.no", "print")).alias("which"))
+    found = texts.join(wanted.hint("shuffle_hash"), ["id", "th"]).select(F.split("text", "\n").alias("all"), F.explode("which").alias("w"))
+    found = found.select("w.print", masked(F.element_at("all", F.col("w.no") + 1)).alias("line")).dropDuplicates(["print"])
+    tokens = materialize(prints.join(found, "print").select("leaf", "print", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token")))
+
+    def support(rows: DataFrame, *what: str) -> DataFrame:
+        """Those of the things in rows (leaf, print, docs, what) that min_docs documents have, with their number."""
+        one_by_one = rows.select("leaf", "print", *what).join(several, ["leaf", "print"]).select("leaf", *what, "id", "th").distinct().groupBy("leaf", *what).agg(F.count("*").alias("docs"))
+        both = rows.groupBy("leaf", *what).agg(F.sum("docs").alias("docs")).unionByName(one_by_one)
+        return both.groupBy("leaf", *what).agg(F.sum("docs").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+
+    fixed = support(tokens.where(F.col("token") != WILD), "pos", "token").select("leaf", "pos", "token", F.lit(1).alias("fixed"))
+    parts = tokens.join(fixed, ["leaf", "pos", "token"], "left").select("leaf", "print", "docs", "pos", "fixed", F.when(F.col("fixed") == 1, F.col("token")).otherwise(WILD).alias("token"))
+    template = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ")
+    templates = materialize(parts.groupBy("leaf", "print").agg(F.max("docs").alias("docs"), template.alias("template"), F.avg(F.coalesce("fixed", F.lit(0))).alias("share")).where(F.col("share") >= constant))
+    often = materialize(support(templates, "template"))
+    gone = templates.join(often, ["leaf", "template"]).select("leaf", "print").unionByName(alone.where("whole").where(F.col("docs") >= min_docs).select("leaf", "print"))
+    drop = held.join(gone, ["leaf", "print"]).groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("nos"))).alias("gone"))
+    return drop, often.select("template", "n_docs")
+
+
+def _joined(docs: DataFrame, extra: list[Column], id_col: str, text_col: str, min_docs: int, constant: float) -> DataFrame:
+    drop, _ = recurring_lines(docs, id_col, text_col, min_docs, constant)
+    both = _texts(docs, id_col, text_col, *extra).join(materialize(drop).hint("shuffle_hash"), ["id", "th"], "left")
+    lines = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return both.withColumn("kept_text", kept).withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("n_lines", F.size(lines).cast("long"))
 
 
-def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+@releasing
+def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_dropped, kept_sha256 (of the lines that stay, joined by newlines).
 
     Lines are what stands between newlines, tokens what stands between spaces. Empty lines are never dropped. Null texts count as
     empty (one empty line), null ids are ids like any other, repeated rows are one document, an empty table gives no rows.
     """
-    out = _joined(docs, [F.col(f"`{id_col}`").cast("long").alias("doc_id")], id_col, text_col, depth, min_docs, constant)
+    out = _joined(docs, [F.col(f"`{id_col}`").cast("long").alias("doc_id")], id_col, text_col, min_docs, constant)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+@releasing
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """docs without the recurring lines; null texts stay null."""
-    out = _joined(docs, [same_columns(docs)], id_col, text_col, depth, min_docs, constant)
+    out = _joined(docs, [same_columns(docs)], id_col, text_col, min_docs, constant)
     new = F.when(F.col("_row").getField(text_col).isNotNull(), F.col("kept_text"))
     return unpack(out.select(F.col("_row").withField(f"`{text_col}`", new).alias("_row")), docs.columns)

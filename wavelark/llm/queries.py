@@ -67,23 +67,30 @@ _OP3 = r"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 lines AS (
-  SELECT doc_id, i - 1 AS no, regexp_replace(parts[i], '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line
+  SELECT doc_id, i - 1 AS no, parts[i] AS raw, regexp_replace(parts[i], '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line
   FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM split) WHERE parts[i] <> ''),
+toks AS (SELECT *, string_split(line, ' ') AS t FROM lines),
 leafed AS (
-  SELECT *, concat_ws(' ', len(string_split(line, ' ')), array_to_string(list_slice(string_split(line, ' '), 1, 4), ' ')) AS leaf FROM lines),
-prints AS (SELECT leaf, line, count(DISTINCT doc_id) AS docs FROM leafed GROUP BY ALL),
-chosen AS (SELECT * FROM prints WHERE leaf IN (SELECT leaf FROM prints GROUP BY leaf HAVING sum(docs) >= 10)),
+  SELECT doc_id, no, concat('0 ', raw) AS leaf, raw AS line, true AS whole FROM toks
+  UNION ALL
+  SELECT doc_id, no, concat_ws(' ', k, len(t), CASE WHEN k < 3 THEN t[1] ELSE t[2] END, CASE WHEN k = 1 THEN t[2] ELSE t[3] END), line, false
+  FROM (SELECT *, unnest([1, 2, 3]) AS k FROM toks WHERE len(t) > 1)),
+chosen AS (SELECT DISTINCT doc_id, leaf, line FROM leafed WHERE NOT whole AND leaf IN (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10)),
 tokens AS (
-  SELECT leaf, line, docs, pos, string_split(line, ' ')[pos] AS token
+  SELECT doc_id, leaf, line, pos, string_split(line, ' ')[pos] AS token
   FROM (SELECT *, unnest(generate_series(1, len(string_split(line, ' ')))) AS pos FROM chosen)),
-common AS (SELECT leaf, pos, token FROM tokens WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 10),
+common AS (SELECT leaf, pos, token FROM tokens WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
 templates AS (
-  SELECT t.leaf, t.line, max(t.docs) AS docs, avg(CASE WHEN c.token IS NULL THEN 0 ELSE 1 END) AS share,
+  SELECT t.leaf, t.line, avg(CASE WHEN c.token IS NULL THEN 0 ELSE 1 END) AS share,
          string_agg(CASE WHEN c.token IS NULL THEN '<*>' ELSE t.token END, ' ' ORDER BY t.pos) AS template
-  FROM tokens t LEFT JOIN common c ON t.leaf = c.leaf AND t.pos = c.pos AND t.token = c.token GROUP BY t.leaf, t.line),
+  FROM (SELECT DISTINCT leaf, line, pos, token FROM tokens) t LEFT JOIN common c ON t.leaf = c.leaf AND t.pos = c.pos AND t.token = c.token GROUP BY t.leaf, t.line),
 good AS (SELECT * FROM templates WHERE share >= 0.5),
-often AS (SELECT leaf, template FROM good GROUP BY ALL HAVING sum(docs) >= 10),
-gone AS (SELECT g.leaf, g.line FROM good g JOIN often o ON g.leaf = o.leaf AND g.template = o.template),
+often AS (
+  SELECT g.leaf, g.template FROM good g JOIN chosen c ON g.leaf = c.leaf AND g.line = c.line GROUP BY ALL HAVING count(DISTINCT c.doc_id) >= 10),
+gone AS (
+  SELECT g.leaf, g.line FROM good g JOIN often o ON g.leaf = o.leaf AND g.template = o.template
+  UNION ALL
+  SELECT leaf, line FROM leafed WHERE whole GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
 dropped AS (
   SELECT l.doc_id, list(DISTINCT l.no) AS nos FROM leafed l JOIN gone g ON l.leaf = g.leaf AND l.line = g.line GROUP BY l.doc_id)
 SELECT s.doc_id, CAST(len(parts) AS BIGINT) AS n_lines, CAST(coalesce(len(nos), 0) AS BIGINT) AS n_dropped,
