@@ -443,8 +443,8 @@ def test_no_link_is_lost_between_cells():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     centres = embedding_dedup.fit_centres(x, 90)
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([1] * len(x))], ["rep", "unit", "copies"])
-    out = next(embedding_dedup._assign(centres, 0.95)(iter([batch])))
-    home = out["centre"].to_numpy()
+    out = next(embedding_dedup._assign(centres, 2, 0.95)(iter([batch])))
+    home = np.array(out["near"].to_pylist())[:, 0]
     later = np.zeros((len(x), len(centres)), bool)
     for i, cells in enumerate(out["later"].to_pylist()):
         later[i, cells] = True
@@ -464,19 +464,88 @@ def test_links_between_cells_are_found(spark):
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(d, shard=shard).collect()) == want
 
 
+def built(x):
+    """A block's graph, from two shards that overlap, as the operator builds it."""
+    import pyarrow as pa
+
+    n = len(x)
+    lists: list[list[int]] = [[] for _ in range(n)]
+    for ids in (np.arange(0, 3 * n // 4), np.arange(n // 4, n)):
+        out = embedding_dedup._build(pa.table({"rep": ids, "unit": pa.array([x[i].tobytes() for i in ids], pa.binary())})).to_pylist()
+        for r in out:
+            lists[r["rep"]] = sorted(set(lists[r["rep"]]) | set(r["edges"]))
+    return lists
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_groups_apart_in_one_shard_are_all_searched():
-    """Ten groups of 200 near copies and nothing between them."""
+    """Ten groups of 200 near copies and nothing between them; then a hot group and scattered rows. The audit finds nothing to mend."""
     import pyarrow as pa
 
     rng = np.random.default_rng(2)
-    x = np.repeat(rng.standard_normal((10, 64)), 200, axis=0) + 0.1 * rng.standard_normal((2_000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    n = len(x)
-    table = pa.table({"centre": [0] * n, "block": [0] * n, "ask": [0] * n, "rep": range(n), "unit": pa.array([v.tobytes() for v in x], pa.binary()), "copies": [1] * n, "role": [0] * n})
-    out = embedding_dedup._search(0.95)(table).to_pylist()
-    got = {r["rep"]: r["n"] for r in out if r["other"] is None}
-    assert [got.get(i, 0) for i in range(n)] == ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()
-    assert sum(r["other"] is not None for r in out) == 1_990
+    groups = unit(np.repeat(rng.standard_normal((10, 64)), 200, axis=0) + 0.1 * rng.standard_normal((2_000, 64)))
+    hot = rng.standard_normal((1_500, 64))
+    hot[:500] = hot[0] + 0.15 * rng.standard_normal((500, 64))
+    hot[600:700] = hot[500:600] + 0.1 * rng.standard_normal((100, 64))
+    for x in (groups, unit(hot)):
+        n = len(x)
+        lists = built(x)
+        truth = x @ x.T >= 0.95
+        np.fill_diagonal(truth, False)
+        hits, whole = embedding_dedup.block_links(x, n, embedding_dedup.Graph(np.arange(n), lists), np.arange(n), 0.95)
+        np.fill_diagonal(hits, False)
+        assert whole and (hits & truth).sum() >= 0.99 * truth.sum() and not (hits & ~truth).any()
+        table = pa.table({"centre": [0] * n, "block": [0] * n, "ask": [0] * n, "rep": range(n), "unit": pa.array([v.tobytes() for v in x], pa.binary()), "copies": [1] * n, "edges": pa.array(lists, pa.list_(pa.int64())), "role": [0] * n})
+        out = embedding_dedup._search(0.95, embedding_dedup.BEAM)(table).to_pylist()
+        got = np.zeros(n, int)
+        for r in out:
+            if r["other"] is None:
+                got[r["rep"]] = r["n"]
+        assert (got <= truth.sum(axis=1)).all() and got.sum() >= 0.99 * truth.sum()
+    assert sum(r["other"] is not None for r in out) >= 590
+
+
+def test_a_block_that_fails_its_audit_is_compared_in_full():
+    """Without edges only medoids and parts of the graph are met; the audit tells."""
+    x = unit(np.repeat(np.random.default_rng(5).standard_normal((4, 16)), 50, axis=0) + 0.01 * np.random.default_rng(6).standard_normal((200, 16)))
+    graph = embedding_dedup.Graph(np.arange(200), [[i + 1] if i % 50 < 49 else [] for i in range(200)])
+    far = embedding_dedup.range_search(x, graph, np.array([0]), x[150:151], 0.95, 1)
+    assert (far == -2).sum() > 100
+    with_links, whole = embedding_dedup.block_links(x, 200, embedding_dedup.Graph(np.arange(200), [[] for _ in range(200)]), np.arange(200), 0.95)
+    assert (with_links == (x @ x.T >= 0.95)).all()
+
+
+def test_robust_pruning():
+    x = unit(np.random.default_rng(3).standard_normal((300, 8)))
+    choice = embedding_dedup.candidates(x, 20, 4)
+    graph = embedding_dedup.robust_prune(x, choice, 6, 1.2)
+    apart = lambda a, b: np.linalg.norm(x[a] - x[b])
+    for i in range(300):
+        mine = [c for c in choice[i].tolist() if c >= 0]
+        assert i not in mine and len(set(mine)) == len(mine) and mine == sorted(mine, key=lambda c: -x[i] @ x[c])
+        want: list[int] = []
+        for c in mine:
+            if len(want) < 6 and all(1.2 * apart(w, c) > apart(i, c) for w in want):
+                want.append(c)
+        assert [g for g in graph[i].tolist() if g >= 0] == want
+
+
+def test_hot_cluster_recall(spark):
+    """12,000 vectors, 4,500 of them near one point but all different."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((12_000, 32))
+    x[:4_500] = x[0] + 0.2 * rng.standard_normal((4_500, 32))
+    x[5_000:6_000] = x[6_000:7_000] + 0.05 * rng.standard_normal((1_000, 32))
+    x = unit(x)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    out = embedding_dedup.materialize(embedding_dedup.near_vectors(d))
+    got = np.array([r.n_links for r in out.orderBy("vec_id").collect()])
+    truth = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert (got <= truth).all() and got.sum() >= 0.99 * truth.sum()
+    assert embedding_dedup.audit_recall(d, out) >= 0.99
 
 
 def test_words_of_a_stem_keep_their_edits():

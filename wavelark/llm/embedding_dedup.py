@@ -1,9 +1,13 @@
-"""Near-duplicate vectors by cells and exact comparison.
-
-Centres are fitted on a bounded sample; a vector's cell is that of its nearest centre. Each vector is compared in full with its
-cell and asks in every later cell that can hold a vector within reach of it by the bisector bound, so each pair that can link
-meets once and none is missed. Cells and those that ask there are split into blocks. Cosines are of double precision.
-`audit_recall` compares with brute force. Equal vectors are one node and count by their number.
+"""Near-duplicate vectors by a robust-pruned flat graph over overlapping cluster shards.
+
+Centres are fitted on a bounded sample. Each vector is built into the shards of its OVERLAP nearest centres: there it is joined to
+those of its candidates (its nearest ones, and some from all over the shard) that no nearer neighbour covers, and the adjacency
+lists that it gets in its shards are united. A shard is then searched by its own vectors and by those of other shards that can
+have a link there by the bisector bound, so no pair that can link is out of reach. The search is greedy and expands with its
+range: from the shard's medoids, one of each connected part at least, and from the vector's own place, it follows the `beam`
+best vectors met, and all that are in range. Vectors near one another search together. Each block of a search audits itself:
+AUDIT of its vectors are compared in full, and where one link of theirs was missed, the whole block is. Every link is verified in
+double precision. `audit_recall` compares a result with brute force. Equal vectors are one node and count by their number.
 """
 
 from __future__ import annotations
@@ -19,10 +23,16 @@ from wavelark.llm.common import materialize, releasing
 from wavelark.llm.components import connected_components
 
 LEAST = 0.95
-#: Vectors that centres are fitted on; vectors meant for a shard; most centres.
+#: Vectors that centres are fitted on; vectors meant for a shard; most centres (reached at 8 billion vectors).
 SAMPLE, SHARD, MOST_CENTRES = 20_000, 2_000, 4_096
 #: Most vectors of a block and of a part that asks there, as a multiple of a shard.
-BLOCK = 8
+BLOCK = 2
+#: Shards that a vector is built into, and the graph: neighbours at most, nearest candidates, others, and the pruning's slack.
+OVERLAP, DEGREE, NEAREST, SPREAD, ALPHA = 2, 32, 40, 8, 1.2
+#: Vectors that search together, best ones that each follows, and those of a block that are compared in full.
+TOGETHER, BEAM, AUDIT = 128, 4, 32
+#: audit_recall: parts of the rows that are asked for, and of those they are compared with.
+GRID = 8
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,47 +89,169 @@ def _matrix(column) -> np.ndarray:  # noqa: ANN001
     return out
 
 
-def _assign(centres: np.ndarray, least: float):
-    """A vector's cell (its nearest centre), and the later cells that can hold vectors within reach of it.
+def _assign(centres: np.ndarray, overlap: int, least: float):
+    """A vector's nearest centres (the first is its cell), and the later cells that can hold vectors within reach of it.
 
     For u in cell h and v in cell c: u(h - c) >= 0 >= v(h - c), so u(h - c) <= |u - v| |h - c|, and |u - v| is at most
     sqrt(2 - 2 least) where they link. So no link is lost.
     """
-    reach = np.sqrt(max(0.0, 2 - 2 * least)) * np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(axis=2), 0)) if len(centres) <= 256 else None
+    reach = np.sqrt(max(0.0, 2 - 2 * least))
+    square = (centres**2).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1))
             if x.shape[1] < centres.shape[1]:
                 x = np.pad(x, ((0, 0), (0, centres.shape[1] - x.shape[1])))
-            home, within = [], []
+            near, within = [], []
             for a in range(0, len(x), 256):
                 s = x[a : a + 256, : centres.shape[1]] @ centres.T
-                h = np.argmax(s, axis=1)
-                if reach is None:
-                    limit = np.sqrt(max(0.0, 2 - 2 * least)) * np.sqrt(np.maximum((centres[h] ** 2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * centres[h] @ centres.T, 0) + 1e-9)
-                else:
-                    limit = reach[h]
-                near = s[np.arange(len(s)), h][:, None] - s <= limit + 1e-9
-                near &= np.arange(len(centres)) > h[:, None]
-                home += h.tolist()
-                within += [np.flatnonzero(r).tolist() for r in near]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(home, pa.int32()), pa.array(within, pa.list_(pa.int32()))], ["rep", "unit", "copies", "centre", "later"])
+                order = np.argsort(-s, axis=1, kind="stable")[:, :overlap]
+                h = order[:, 0]
+                apart = np.sqrt(np.maximum(square[h][:, None] + square - 2 * centres[h] @ centres.T, 0) + 1e-9)
+                later = s[np.arange(len(s)), h][:, None] - s <= reach * apart + 1e-9
+                later &= np.arange(len(centres)) > h[:, None]
+                near += order.tolist()
+                within += [np.flatnonzero(r).tolist() for r in later]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(near, pa.list_(pa.int32())), pa.array(within, pa.list_(pa.int32()))], ["rep", "unit", "copies", "near", "later"])
 
     return run
 
 
-def linked(x: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
-    """Which rows of q and x have a cosine of at least `least`; near the limit it is summed pair by pair, so it is symmetric."""
-    s = q @ x.T
-    hits = s >= least
-    r, c = np.nonzero(np.abs(s - least) < 1e-9)
+def candidates(x: np.ndarray, nearest: int, spread: int, seed: int = 3) -> np.ndarray:
+    """For each row its nearest other rows and some rows from all over, the nearest first; -1 fills up."""
+    n = len(x)
+    far = np.sort(np.random.default_rng(seed).integers(0, n, (n, spread)), axis=1)
+    far[:, 1:][far[:, 1:] == far[:, :-1]] = -1
+    out = np.empty((n, min(nearest, n - 1) + spread), np.int64)
+    for a in range(0, n, 256):
+        rows = np.arange(a, min(n, a + 256))
+        s = x[rows] @ x.T
+        s[np.arange(len(rows)), rows] = -3
+        k = min(nearest, n - 1)
+        both = np.concatenate([np.argpartition(-s, k - 1, axis=1)[:, :k] if k < n - 1 else np.tile(np.arange(n), (len(rows), 1))[np.arange(n) != rows[:, None]].reshape(len(rows), -1), far[rows]], axis=1)
+        both[:, k:][(both[:, k:] == rows[:, None]) | (both[:, k:, None] == both[:, None, :k]).any(axis=2)] = -1
+        cos = np.where(both >= 0, np.take_along_axis(s, np.maximum(both, 0), 1), -4)
+        out[rows] = np.take_along_axis(both, np.argsort(-cos, axis=1, kind="stable"), 1)
+    return out
+
+
+def robust_prune(x: np.ndarray, choice: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Of each row's candidates (nearest first) those that no nearer one taken covers: alpha times as close to it as to the row."""
+    n = len(choice)
+    out = np.full((n, degree), -1, np.int64)
+    for a in range(0, n, 128):
+        cand = choice[a : a + 128]
+        v = x[np.maximum(cand, 0)]
+        own = 1 - np.matmul(v, x[a : a + 128][:, :, None])[:, :, 0]
+        among = alpha * alpha * (1 - np.matmul(v, v.transpose(0, 2, 1)))  # cosine distances are squares of lengths
+        free, taken = cand >= 0, np.zeros(len(cand), np.int64)
+        rows = np.arange(len(cand))
+        for j in range(cand.shape[1]):
+            take = free[:, j] & (taken < degree)
+            if take.any():
+                out[a + rows[take], taken[take]] = cand[take, j]
+                taken += take
+                free &= ~(take[:, None] & (among[:, j] <= own))
+    return out
+
+
+def _build(table: pa.Table) -> pa.Table:
+    """The graph of a shard's block: for each vector the ids of its neighbours."""
+    table = table.sort_by("rep")
+    ids, x = table["rep"].to_numpy(), _matrix(table["unit"])
+    graph = robust_prune(x, candidates(x, NEAREST, SPREAD), DEGREE, ALPHA) if len(ids) > 1 else np.full((1, 1), -1)
+    return pa.table({"rep": table["rep"], "edges": pa.array([ids[g[g >= 0]] for g in graph], pa.list_(pa.int64()))})
+
+
+class Graph:
+    """The edges between a block's vectors, followed both ways."""
+
+    def __init__(self, ids: np.ndarray, lists: list[list[int]]) -> None:
+        n = len(ids)
+        source = np.repeat(np.arange(n), [len(x or ()) for x in lists])
+        there = np.array([v for x in lists for v in x or ()], np.int64)
+        at = np.minimum(np.searchsorted(ids, there), n - 1)
+        inside = ids[at] == there if len(there) else np.zeros(0, bool)
+        source, at = source[inside], at[inside]
+        pairs = np.unique(np.concatenate([source * n + at, at * n + source]))
+        self.source, self.to = pairs // n, pairs % n
+        self.first = np.searchsorted(self.source, np.arange(n + 1))
+
+    def neighbours(self, nodes: np.ndarray) -> np.ndarray:
+        n = self.first[nodes + 1] - self.first[nodes]
+        at = np.repeat(self.first[nodes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.to[at]
+
+    def starts(self, x: np.ndarray) -> np.ndarray:
+        """Medoids of the block's parts by k-means, and the least node of each connected component."""
+        label = np.arange(len(x))
+        while len(self.to):
+            lower = label.copy()
+            np.minimum.at(lower, self.source, label[self.to])
+            lower = lower[lower]
+            if (lower == label).all():
+                break
+            label = lower
+        parts = fit_centres(x, max(1, min(128, int(np.sqrt(len(x))))), 4)
+        return np.union1d(np.argmax(x @ parts.T, axis=0), np.unique(label))
+
+
+def range_search(x: np.ndarray, graph: Graph, starts: np.ndarray, q: np.ndarray, least: float, beam: int) -> np.ndarray:
+    """Cosines of each query with the vectors of the graph that the queries met; -2 for the others.
+
+    What one query of the group meets all compare with. Followed are the `beam` best of each query and all in range of one.
+    """
+    met, done = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    cos = np.full((len(q), len(x)), -2.0)
+    new = starts
+    while len(new):
+        met[new] = True
+        cos[:, new] = q @ x[new].T
+        follow = np.zeros(len(x), bool)
+        follow[new[(cos[:, new] >= least).any(axis=0)]] = True
+        known = np.flatnonzero(met)
+        best = known if len(known) <= beam else known[np.argpartition(-cos[:, known], beam - 1, axis=1)[:, :beam].ravel()]
+        follow[best] = True
+        todo = np.flatnonzero(follow & ~done)
+        done[todo] = True
+        new = np.unique(graph.neighbours(todo))
+        new = new[~met[new]]
+    return cos
+
+
+def decide(cos: np.ndarray, x: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+    """Which cosines are at least `least`; near the limit they are summed pair by pair, so the answer is symmetric."""
+    hits = cos >= least
+    r, c = np.nonzero(np.abs(cos - least) < 1e-9)
     if len(r):
         hits[r, c] = np.einsum("ij,ij->i", q[r], x[c]) >= least
     return hits
 
 
-def _search(least: float):
+def block_links(x: np.ndarray, m: int, graph: Graph, queries: np.ndarray, least: float, beam: int = BEAM, audit: int = AUDIT) -> tuple[np.ndarray, bool]:
+    """Which of the first m rows of x each query (a row of x) links with, and whether the audit found the search whole."""
+    nodes, starts = x[:m], graph.starts(x[:m])
+    hits = np.zeros((len(queries), m), bool)
+    order = np.argsort(np.argmax(x[queries] @ nodes[starts].T, axis=1), kind="stable")
+    for a in range(0, len(order), TOGETHER):
+        rows = order[a : a + TOGETHER]
+        q = queries[rows]
+        hits[rows] = decide(range_search(nodes, graph, np.union1d(starts, q[q < m]), x[q], least, beam), nodes, x[q], least)
+    inner = queries < m
+    if inner.any():  # what one of two nodes found the other has found
+        mine = queries[inner]
+        hits[np.ix_(inner, mine)] |= hits[np.ix_(inner, mine)].T
+    checked = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
+    whole = not (decide(x[queries[checked]] @ nodes.T, nodes, x[queries[checked]], least) & ~hits[checked]).any()
+    if not whole:
+        for a in range(0, len(queries), 256):
+            q = x[queries[a : a + 256]]
+            hits[a : a + 256] = decide(q @ nodes.T, nodes, q, least)
+    return hits, whole
+
+
+def _search(least: float, beam: int):
     """The vectors of a block against those that ask there, and in part 0 among themselves: links counted, and a spanning forest."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -127,32 +259,28 @@ def _search(least: float):
         nodes, asks = table.filter(pa.array(is_node)).sort_by("rep"), table.filter(pa.array(~is_node)).sort_by("rep")
         m = len(nodes)
         ids = np.concatenate([nodes["rep"].to_numpy(), asks["rep"].to_numpy()])
-        copies = np.concatenate([nodes["copies"].to_numpy(), asks["copies"].to_numpy()]).astype(float)
-        x = _matrix(pa.concat_arrays([c for t in (nodes, asks) for c in t["unit"].chunks]))
-        totals, label = np.zeros(len(ids)), np.arange(len(ids))
-        rep, other = [], []
-        for a in range(0 if part == 0 else m, len(ids) if m else 0, 256):
-            hits = linked(x[:m], x[a : a + 256], least)
-            rows = np.arange(a, a + len(hits))
-            inner = rows < m
-            hits[inner] &= np.arange(m) < rows[inner, None]  # each pair once
-            hit = np.flatnonzero(hits.any(axis=1))
-            if not len(hit):
-                continue
-            totals[rows] += hits @ copies[:m]
-            totals[:m] += copies[rows] @ hits
-            for i in hit.tolist():
+        copies = np.concatenate([nodes["copies"].to_numpy(), asks["copies"].to_numpy()])
+        totals, rep, other = np.zeros(len(ids), np.int64), [], []
+        queries = np.arange(0 if part == 0 else m, len(ids))
+        if m and len(queries):
+            x = _matrix(pa.concat_arrays([c for t in (nodes, asks) for c in t["unit"].chunks]))
+            hits, _ = block_links(x, m, Graph(ids[:m], nodes["edges"].to_pylist()), queries, least, beam)
+            hits[queries < m] &= np.arange(m) < queries[queries < m][:, None]  # each pair once
+            totals[queries] += hits @ copies[:m]
+            totals[:m] += copies[queries] @ hits
+            label = np.arange(len(ids))
+            for i in np.flatnonzero(hits.any(axis=1)).tolist():
                 met = np.flatnonzero(hits[i])
                 apart, first = np.unique(label[met], return_index=True)
                 for l, at in zip(apart.tolist(), met[first].tolist()):
-                    if l != label[rows[i]]:
-                        rep.append(int(ids[rows[i]]))
+                    if l != label[queries[i]]:
+                        rep.append(int(ids[queries[i]]))
                         other.append(int(ids[at]))
-                        label[label == l] = label[rows[i]]
+                        label[label == l] = label[queries[i]]
         some = np.flatnonzero(totals)
         return pa.table({
             "rep": pa.array(np.concatenate([ids[some], np.array(rep, np.int64)]), pa.int64()),
-            "n": pa.array(np.concatenate([totals[some].astype(np.int64), np.zeros(len(rep), np.int64)]), pa.int64()),
+            "n": pa.array(np.concatenate([totals[some], np.zeros(len(rep), np.int64)]), pa.int64()),
             "other": pa.array([None] * len(some) + other, pa.int64()),
         })
 
@@ -160,14 +288,13 @@ def _search(least: float):
 
 
 @releasing
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, shard: int = SHARD, overlap: int = 1, beam: int = 1, sample: int = SAMPLE) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, shard: int = SHARD, overlap: int = OVERLAP, beam: int = BEAM, sample: int = SAMPLE) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Vectors are linked where their cosine in double precision is at least `least`. Vectors that are null, empty or zero, or hold
     null or non-finite components, and rows with a null id link with nothing; a null id gives a null component and is kept.
     Vectors of different lengths are compared as if zeros followed. Repeated rows count as vectors of their own for n_links and
     share an id and so a component; ids are meant to be unique among different vectors. An empty table gives no rows.
-    overlap and beam are accepted for older callers; an exact search has no use for them.
     """
     ready = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     ready = materialize(ready.mapInArrow(_prepare, "vec_id long, unit binary"))
@@ -183,20 +310,25 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     k = min(MOST_CENTRES, max(1, int(np.ceil(2 * np.sqrt(n / shard)))))  # so cells, and copies of a vector, grow with the root of n
     fitted = _matrix(nodes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("unit").toArrow()["unit"])  # a bounded sample
     centres = fit_centres(fitted, min(k, len(fitted)))
-    rows = materialize(nodes.select("rep", "unit", "copies").mapInArrow(_assign(centres, least), "rep long, unit binary, copies long, centre int, later array<int>"))
+    rows = materialize(nodes.select("rep", "unit", "copies").mapInArrow(_assign(centres, overlap, least), "rep long, unit binary, copies long, near array<int>, later array<int>"))
+    rows = rows.withColumn("centre", F.get("near", F.lit(0)))
     # a row a cell: how many blocks its vectors make, and how many parts those that ask there
     most = BLOCK * shard
     held = rows.groupBy("centre").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
     asked = rows.select(F.explode("later").alias("centre")).groupBy("centre").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    sizes = F.broadcast(materialize(held.join(asked, "centre", "left").select("centre", "blocks", F.coalesce("parts", F.lit(1)).alias("parts"))))
-    rows = rows.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = F.broadcast(materialize(held.join(asked, "centre", "left").select("centre", "blocks", F.coalesce("parts", F.lit(1)).alias("parts"))))  # MOST_CENTRES rows
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    built = rows.select("rep", "unit", F.explode("near").alias("centre")).join(sizes, "centre").select("rep", "unit", "centre", block.alias("block"))
+    built = built.groupBy("centre", "block").applyInArrow(_build, "rep long, edges array<long>")
+    united = materialize(built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")))
+    rows = rows.join(united, "rep", "left").join(sizes, "centre").withColumn("block", block)
     to = lambda first, last: F.when(last >= first, F.sequence(first, last))
     # the parts of a block are those of other cells' vectors, then its cell's earlier blocks
-    as_nodes = rows.select("centre", "block", F.explode(to(F.lit(0), F.col("parts") + F.col("block") - 1)).alias("ask"), "rep", "unit", "copies", F.lit(0).alias("role"))
-    inside = rows.select("centre", F.explode(to(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), (F.col("parts") + F.col("block")).alias("ask"), "rep", "unit", "copies", F.lit(1).alias("role"))
+    as_nodes = rows.select("centre", "block", F.explode(to(F.lit(0), F.col("parts") + F.col("block") - 1)).alias("ask"), "rep", "unit", "copies", "edges", F.lit(0).alias("role"))
+    inside = rows.select("centre", F.explode(to(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), (F.col("parts") + F.col("block")).alias("ask"), "rep", "unit", "copies", F.lit(None).cast("array<long>").alias("edges"), F.lit(1).alias("role"))
     outside = rows.select(F.explode("later").alias("centre"), "rep", "unit", "copies").join(sizes, "centre")
-    outside = outside.select("centre", F.explode(to(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int").alias("ask"), "rep", "unit", "copies", F.lit(1).alias("role"))
-    found = as_nodes.unionByName(inside).unionByName(outside).groupBy("centre", "block", "ask").applyInArrow(_search(least), "rep long, n long, other long")
+    outside = outside.select("centre", F.explode(to(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int").alias("ask"), "rep", "unit", "copies", F.lit(None).cast("array<long>").alias("edges"), F.lit(1).alias("role"))
+    found = as_nodes.unionByName(inside).unionByName(outside).groupBy("centre", "block", "ask").applyInArrow(_search(least, beam), "rep long, n long, other long")
     found = materialize(found)
     counts = materialize(found.groupBy("rep").agg(F.sum("n").alias("n")))
     component = materialize(connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))))
@@ -210,18 +342,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 def audit_recall(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, every: int = 20) -> float:
     """Share of the true links that n_links counts, for the rows whose id is divisible by `every`, by brute force in blocks."""
     ready = materialize(vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).mapInArrow(_prepare, "vec_id long, unit binary"))
+    part = lambda salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(GRID)).cast("int")
     ready = ready.where("unit is not null")
-    asked = ready.where(F.col("vec_id") % every == 0).select(F.floor(F.pmod(F.xxhash64("vec_id"), F.lit(64))).cast("int").alias("part"), "vec_id", "unit", F.lit(1).alias("role"))
-    every_part = ready.select(F.explode(F.sequence(F.lit(0), F.lit(63))).alias("part"), "vec_id", "unit", F.lit(0).alias("role"))
+    asked = ready.where(F.col("vec_id") % every == 0).select(part(1).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("part"), "vec_id", "unit", F.lit(1).alias("role"))
+    there = ready.select(part(2).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("ask"), "vec_id", "unit", F.lit(0).alias("role"))
 
     def brute(table: pa.Table) -> pa.Table:
         role = table["role"].to_numpy()
         x = _matrix(table["unit"])
         ids = table["vec_id"].to_numpy()
         q, v = x[role == 1], x[role == 0]
-        n = [(q[a : a + 256] @ v.T >= least).sum(axis=1) for a in range(0, len(q), 256)]
-        return pa.table({"vec_id": pa.array(ids[role == 1], pa.int64()), "true": pa.array(np.concatenate(n).astype(np.int64) - 1 if n else [], pa.int64())})
+        n = [decide(q[a : a + 256] @ v.T, v, q[a : a + 256], least).sum(axis=1) for a in range(0, len(q), 256)]
+        return pa.table({"vec_id": pa.array(ids[role == 1], pa.int64()), "true": pa.array(np.concatenate(n).astype(np.int64) if n else [], pa.int64())})
 
-    truth = asked.unionByName(every_part).groupBy("part").applyInArrow(brute, "vec_id long, true long")
+    truth = asked.unionByName(there).groupBy("part", "ask").applyInArrow(brute, "vec_id long, true long").groupBy("vec_id").agg((F.sum("true") - 1).alias("true"))
     both = truth.join(result.select("vec_id", "n_links"), "vec_id").agg(F.sum("true").alias("true"), F.sum(F.least("true", "n_links")).alias("found")).first()
     return 1.0 if not both["true"] else both["found"] / both["true"]
