@@ -37,18 +37,22 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, *extra: Column) -> DataF
     return docs.select(*extra, F.coalesce(own, F.lit(-1 << 63)).alias("id"), F.xxhash64(own.isNull(), text).alias("th"), text.alias("text"))
 
 
-def _leaves(tokens: Column) -> Column:
-    """Hashes of the line's leaves; a line of one token has none, as nothing would be fixed in them."""
-    n = F.size(tokens)
+def _with_leaves(lines: DataFrame) -> DataFrame:
+    """Adds hashes of the line's leaves; a line of one token has none, as nothing would be fixed in them."""
+    n = F.octet_length("mask") - F.octet_length(F.replace("mask", F.lit(" "), F.lit(""))) + 1
+    # columns of their own, as the optimizer would find the tokens again for each use
+    found = lines.withColumn("n", n).withColumn("head", F.split(F.substring_index("mask", " ", LEADING), " "))
     pairs = [(a, b) for a in range(LEADING) for b in range(a + 1, LEADING)]
-    return F.when(n > 1, F.array(*[F.xxhash64(F.lit(k), n, F.get(tokens, F.lit(a)), F.get(tokens, F.lit(b))) for k, (a, b) in enumerate(pairs, 1)])).otherwise(F.array().cast("array<long>"))
+    leaves = F.array(*[F.xxhash64(F.lit(k), "n", F.get("head", F.lit(a)), F.get("head", F.lit(b))) for k, (a, b) in enumerate(pairs, 1)])
+    return found.withColumn("leaves", F.when(F.col("n") > 1, leaves).otherwise(F.array().cast("array<long>"))).drop("n", "head")
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
     """Two tables: of documents (id, th) and the numbers of their lines to drop, and of the templates with their number of documents."""
     texts = _texts(docs, id_col, text_col)
     lines = texts.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).where("line <> ''").select("id", "th", "no", "line", masked(F.col("line")).alias("mask"))
-    lines = materialize(lines.select("id", "th", "no", F.xxhash64(F.lit(0), "line").alias("raw"), F.xxhash64(F.lit(7), "mask").alias("print"), _leaves(F.split("mask", " ")).alias("leaves")))
+    lines = _with_leaves(lines).select("id", "th", "no", F.xxhash64(F.lit(0), "line").alias("raw"), F.xxhash64(F.lit(7), "mask").alias("print"), "leaves")
+    lines = materialize(lines)
 
     # different lines, and the leaves that are large enough; numbers of lines are no less than those of documents
     different = materialize(lines.groupBy("raw", "print").agg(F.count("*").alias("n"), F.first("leaves").alias("leaves"), F.min(F.struct("id", "th", "no")).alias("seen")))
@@ -56,7 +60,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = in_leaf.groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     chosen = in_leaf.join(crowded, "leaf").select("raw", "leaf", "print")
     whole = different.where(F.col("n") >= min_docs).select("raw", F.col("raw").alias("leaf"), F.col("raw").alias("print"))
-    places = chosen.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True))).groupBy("raw").agg(F.collect_list(F.struct("leaf", "print", "whole")).alias("at"))
+    # a table of its own, so that Spark can split a line that a third of all documents have
+    places = materialize(chosen.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True))).groupBy("raw").agg(F.collect_list(F.struct("leaf", "print", "whole")).alias("at")))
 
     # what each document has in each leaf, once
     held = lines.select("id", "th", "no", "raw").join(places, "raw").select("id", "th", "no", F.explode("at").alias("at")).select("id", "th", "no", "at.*")
@@ -91,11 +96,10 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _joined(docs: DataFrame, extra: list[Column], id_col: str, text_col: str, min_docs: int, constant: float) -> DataFrame:
     drop, _ = recurring_lines(docs, id_col, text_col, min_docs, constant)
-    both = _texts(docs, id_col, text_col, *extra).join(materialize(drop).hint("shuffle_hash"), ["id", "th"], "left")
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return both.withColumn("kept_text", kept).withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("n_lines", F.size(lines).cast("long"))
+    both = _texts(docs, id_col, text_col, *extra).join(materialize(drop).hint("shuffle_hash"), ["id", "th"], "left").withColumn("lines", F.split("text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
+    return both.withColumn("kept_text", kept).withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("n_lines", F.size("lines").cast("long"))
 
 
 @releasing
