@@ -128,3 +128,29 @@ def test_generated_data_is_learned(spark):
     data = hmm.generate(spark, fixtures.MODELS[1], 200, 30, seed=1).withColumn("class_name", F.lit("x"))
     models = hmm.learn_by_class(data, 2, 5, "random", max_iterations=3)
     assert [m.class_name for m in models] == ["x"] and np.allclose(models[0].emit.sum(axis=1), 1)
+
+
+def test_dead_states_get_new_rows(spark):
+    """A state that no sequence visits: its rows are drawn again within its kind, and stay stochastic."""
+    m = hmm.Hmm.of([1, 0, 0], [[0.5, 0.5, 0], [0, 1, 0], [0, 0, 1]], [[0.5, 0.5], [0.5, 0.5], [0.5, 0.5]], kind="cascade2")
+    s = spark.createDataFrame([([0, 1, 1, 0],)], "symbols array<int>")
+    new, _, dead = hmm.em_step(s, m, seed=3)
+    assert dead == 0 and new.trans[2].tolist() == [0, 0, 1] and np.allclose(new.trans.sum(axis=1), 1) and np.allclose(new.emit.sum(axis=1), 1)
+    free = hmm.Hmm.of([1, 0, 0], [[0.5, 0.5, 0], [0, 1, 0], [0.2, 0.3, 0.5]], [[0.5, 0.5]] * 3)
+    new, _, _ = hmm.em_step(s, free, seed=3)
+    assert np.isclose(new.trans[2].sum(), 1) and (new.trans[2] > 0).all() and new.trans[2].tolist() != [0.2, 0.3, 0.5]
+
+
+def test_other_alphabets_do_not_conform(spark):
+    rows = [([0, 1], 2, "a"), ([0, 1], 4, "a"), ([], 2, "a"), ([0, 3], 2, "a")]
+    s = spark.createDataFrame(rows, "symbols array<int>, n_symbols int, class_name string")
+    assert hmm.conforming(s, 2).count() == 1 and hmm.conforming(s.drop("n_symbols"), 2).count() == 2
+    m = [hmm.initial_model(2, 2, "random", 1, "a")]
+    assert hmm.classify(s, m, []).count() == 1
+
+
+def test_training_texts(spark):
+    m = hmm.initial_model(2, 3, "cascade3", 1, "k")
+    text = hmm.training_summary(m, 7, [-9.5, -8.25])
+    assert "class: k" in text and "refinements: 1" in text and "sum of log P: -8.25" in text
+    assert hmm.model_directory(3, 5, 3, 0.3) == "N3__M5_t3__a0.3"

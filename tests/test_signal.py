@@ -141,3 +141,61 @@ def test_spectra(spark):
     for r in catalogue.queries()["lpc_envelope"](spark, SF).where("vec_id < 5").collect():
         z = np.exp(-2j * np.pi * r.bin / 16 * np.arange(9))
         assert r.db == pytest.approx(-20 * np.log10(abs(np.dot(predictors[r.vec_id], z))), abs=1e-5)
+
+
+def test_more_strings(spark):
+    rows = spark.createDataFrame([("a/TRAIN/x.seq",), ("TRAIN.seq",), ("b/MYTEST/x",), ("TEST",)], "p string")
+    got = rows.select(vq.routed(F.col("p")).alias("r"), hof.has_suffix(F.col("p"), ".seq").alias("s"), hof.fixed_width(F.col("p"), 6).alias("w")).collect()
+    assert [r.r for r in got] == ["TRAIN", "", "TEST", ""] and [r.s for r in got] == [True, True, False, False]
+    assert [r.w for r in got] == ["a/TRA\0", "TRAIN\0", "b/MYT\0", "TEST\0_"]
+    assert hof.sequence_dir("data/sequences/TRAIN", 512) == "data/sequences/TRAIN/M512" and vq.codebook_name(0.0005, 64) == "eps_0.0005_M_0064.cbook"
+
+
+def test_selections_of_rows(spark):
+    from wavelark.operators import selection
+
+    rows = spark.createDataFrame([(s, s * 1.0, s + 0.5, s % 3) for s in (-1, 0, 1, 2, 3, 4)], "selection int, begin_s double, end_s double, codeword int")
+    assert [r.selection for r in selection.numbered(rows).orderBy("selection").collect()] == [1, 2, 3, 4]
+    assert [r.selection for r in selection.contained(rows, 1.0, 3.5).orderBy("selection").collect()] == [1, 2, 3]
+    assert selection.sample_rows(rows, 4, 1).count() == 4 and selection.sample_rows(rows, 99).count() == 6
+    assert sorted(map(tuple, selection.sample_rows(rows, 4, 1).collect())) == sorted(map(tuple, selection.sample_rows(rows.repartition(3), 4, 1).collect()))
+    assert selection.codebook_size(rows).first()[0] == 3 and sorted(r[0] for r in selection.unique_codewords(rows).collect()) == [0, 1, 2]
+    frames = spark.createDataFrame([(1, i) for i in range(10)] + [(2, 3)], "k int, idx int")
+    marks = spark.createDataFrame([(1, 0.02, 0.05, "a"), (1, 0.021, 0.049, "b"), (1, 0.5, 0.4, "none"), (3, 0.0, 1.0, "c")], "k int, begin_s double, end_s double, mark string")
+    got = sorted((r.mark, r.idx) for r in selection.frames_in_intervals(frames, marks, ["k"], 0.01).collect())
+    assert got == [("a", 2), ("a", 3), ("a", 4), ("b", 3), ("b", 4)]
+
+
+def test_framed_windows_and_spectrum(spark):
+    """Framing, preprocessing and the spectrum in one plan."""
+    from wavelark.functions import kernels
+    from wavelark.operators import lpc
+
+    x = np.sin(np.arange(200) / 3)
+    d = lpc.frame_signals(spark.createDataFrame([(1, x.tolist())], "k int, samples array<double>"), 64, 32)
+    out = kernels.with_spectrum(d.withColumn("y", lpc.preprocessed(F.col("frame"), 64)), "y", 64).orderBy("t").collect()
+    assert len(out) == 1 + (200 - 64) // 32
+    for r in out:
+        f = x[32 * r.t : 32 * r.t + 64]
+        f = f - f.mean()
+        f = (f - 0.95 * np.concatenate([[0], f[:-1]])) * np.hamming(64)
+        assert np.allclose(r.db, 20 * np.log10(np.maximum(np.abs(np.fft.rfft(f)), 1e-12)), atol=1e-6)
+    assert spark.range(1).select(hof.hamming_window(1).alias("w")).first().w == pytest.approx([0.08])
+
+
+def test_base_codebooks_unused_codewords_and_reports(spark):
+    rng = np.random.default_rng(1)
+    frames = np.abs(rng.standard_normal((60, 3))) * 0.1
+    frames[:, 0] = 1
+    d = spark.createDataFrame([(i, str(i % 2), r.tolist()) for i, r in enumerate(frames)], "seq int, class_name string, r array<double>")
+    books = [b.book for b in vq.learn_codebook(d, 2, eps=0.1, max_size=4)]
+    assert [len(b) for b in books] == [2, 4]
+    more = list(vq.learn_codebook(d, 2, eps=0.1, base=books[0], max_size=4))
+    assert [len(t.book) for t in more] == [4] and np.allclose(more[0].book.rc, books[1].rc)
+    far = vq.Codebook.of(np.vstack([books[0].rc, [[0, -0.999, 0.0]]]))
+    used = {r.codeword for r in vq.cells(d, far).collect()}
+    assert {r.codeword for r in vq.unused(d, far).collect()} == {0, 1, 2} - used
+    named = [vq.Codebook(b.rc, b.raa, c) for b, c in zip((books[0], vq.grow(vq.initial_codebook(2))), "01")]
+    named[1] = vq.Codebook.of(named[1].rc[:2], "1")
+    cases = vq.classified(vq.classify(d, named, ["seq", "class_name"]), named, ["seq"]).collect()
+    assert len(cases) == 60 and all(c.correct == (c.predicted == c.actual) == (c.rank == 1) and sorted(c.ranked) == ["0", "1"] for c in cases)

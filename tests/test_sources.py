@@ -111,3 +111,34 @@ def test_streams(spark, tmp_path):
         assert last[r.key] == pytest.approx(r.lp)
     frames = spark.createDataFrame([([1.0, -0.4, 0.1],)], "r array<double>")
     assert online.quantized(frames, vq.initial_codebook(2)).first().codeword in (0, 1)
+
+
+def test_damaged_wav_is_skipped(spark, tmp_path):
+    good = wav.encode(np.array([0.0, 0.5, -0.5]), 8000)
+    for name, raw in {"a": good, "b": riff(0x11, 4, bytes(8), block=0)[:20] + struct.pack("<HHIIHH", 0x11, 1, 8000, 0, 0, 4) + b"", "c": b"RIFF", "d": b""}.items():
+        (tmp_path / f"{name}.wav").write_bytes(raw)
+    ima = struct.pack("<HHIIHH", 0x11, 1, 8000, 0, 0, 4)
+    body = b"WAVE" + b"fmt " + struct.pack("<I", len(ima)) + ima + b"data" + struct.pack("<I", 8) + bytes(8)
+    (tmp_path / "e.wav").write_bytes(b"RIFF" + struct.pack("<I", len(body)) + body)
+    with pytest.raises(wav.WavError):
+        wav.decode((tmp_path / "e.wav").read_bytes())
+    assert [r.num_samples for r in wav.read(spark, f"{tmp_path}/*.wav").collect()] == [3]
+
+
+def test_header_only_tells_the_length():
+    x = np.arange(40) % 7
+    for raw in (riff(1, 16, x.astype("<i2").tobytes()), riff(3, 32, x.astype("<f4").tobytes()), riff(6, 8, bytes(40)), riff(0x11, 4, bytes(36), block=12), riff(2, 4, bytes(33), block=11), riff(0x11, 4, bytes(17), block=12), riff(2, 4, bytes(30), block=11)):
+        assert len(wav.decode(raw, header_only=True)[1]) == len(wav.decode(raw)[1])
+
+
+def test_wav_sink(spark, tmp_path):
+    rows = [("k/one.wav", 8000.0, [0.0, 0.25, -1.0]), ("k/two.wav", 16000.0, [])]
+    assert wav.write(spark.createDataFrame(rows, "path string, sample_rate double, samples array<double>"), str(tmp_path)) == 2
+    got = {r.path.rsplit("/", 1)[1]: (r.sample_rate, r.samples, r.class_name) for r in wav.read(spark, f"{tmp_path}/k/*.wav").collect()}
+    assert got == {"one.wav": (8000.0, [0.0, 0.25, -1.0], "k"), "two.wav": (16000.0, [], "k")}
+
+
+def test_commented_report(spark, tmp_path):
+    tables.write_commented(hmm.training_history(spark, [-5.0, -4.5]), str(tmp_path / "h.csv"), ["two steps"], ["I"])
+    assert (tmp_path / "h.csv").read_text() == "# two steps\nI,sum_log_prob\n0,-5.0\n1,-4.5\n"
+    assert tables.read_table(spark, str(tmp_path / "h.csv")).count() == 2

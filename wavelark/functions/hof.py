@@ -35,7 +35,7 @@ def let(value: Column, body) -> Column:  # noqa: ANN001
 
 def hamming_window(width: int) -> Column:
     """A literal, so it is computed once for the plan."""
-    return doubles(0.54 - 0.46 * math.cos(2 * math.pi * n / (width - 1)) for n in range(width))
+    return doubles(0.54 - 0.46 * math.cos(2 * math.pi * n / max(1, width - 1)) for n in range(width))
 
 
 def remove_mean(x: Column) -> Column:
@@ -203,6 +203,20 @@ def selection_number(path: Column) -> Column:
     return F.coalesce(F.regexp_extract(path, r"([^/]+)\.seq$", 1).try_cast("int"), F.lit(-1))
 
 
+def sequence_dir(base: str, size: int) -> str:
+    """Where sequences of a codebook of this size go."""
+    return f"{base}/M{size}"
+
+
+def has_suffix(text: Column, suffix: str) -> Column:
+    return F.endswith(text, F.lit(suffix))
+
+
+def fixed_width(text: Column, width: int, pad: str = "_") -> Column:
+    """The text cut to width - 1 characters, an end mark, and padding: the class field of the binary formats (end mark as NUL)."""
+    return F.rpad(F.concat(F.substring(text, 1, width - 1), F.lit("\0")), width, pad)
+
+
 def duration_ms(text: Column) -> Column:
     """Milliseconds of `1h57m39.828s`, any part optional but one; null where it can't be read."""
     part = lambda n: F.nullif(F.regexp_extract(text, r"^(?:(\d+)h)?(?:(\d+)m)?(?:(\d+(?:\.\d+)?)s)?$", n), F.lit(""))

@@ -24,10 +24,11 @@ class Hmm:
     trans: np.ndarray
     emit: np.ndarray
     class_name: str = ""
+    kind: str = ""
 
     @classmethod
-    def of(cls, pi, trans, emit, class_name: str = "") -> Hmm:  # noqa: ANN001
-        return cls(np.asarray(pi, float), np.asarray(trans, float), np.asarray(emit, float), class_name)
+    def of(cls, pi, trans, emit, class_name: str = "", kind: str = "") -> Hmm:  # noqa: ANN001
+        return cls(np.asarray(pi, float), np.asarray(trans, float), np.asarray(emit, float), class_name, kind)
 
     @property
     def columns(self) -> tuple[Column, Column, Column]:
@@ -40,15 +41,26 @@ def random_rows(rng: np.random.Generator, rows: int, size: int) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
+def initial_transitions(rng: np.random.Generator, kind: str, states: int, i: int) -> np.ndarray:
+    """Row i of a new model's transitions."""
+    row = np.zeros(states)
+    if kind == "uniform":
+        return np.full(states, 1.0 / states)
+    end = min(states, i + {"cascade2": 2, "cascade3": 3}[kind]) if kind in ("cascade2", "cascade3") else states
+    first = i if kind in ("cascade2", "cascade3") else 0
+    row[first:end] = random_rows(rng, 1, end - first)[0]
+    return row
+
+
 def initial_model(states: int, symbols: int, kind: str = "cascade3", seed: int = 0, class_name: str = "") -> Hmm:
     """kind: random, uniform, cascade2 or cascade3 (from a state only to itself and the next one or two)."""
     rng = np.random.default_rng(seed)
     if kind == "uniform":
         flat = lambda n: np.full(n, 1.0 / n)
-        return Hmm.of(flat(states), np.tile(flat(states), (states, 1)), np.tile(flat(symbols), (states, 1)), class_name)
+        return Hmm.of(flat(states), np.tile(flat(states), (states, 1)), np.tile(flat(symbols), (states, 1)), class_name, kind)
     emit = random_rows(rng, states, symbols)
     if kind == "random":
-        return Hmm.of(random_rows(rng, 1, states)[0], random_rows(rng, states, states), emit, class_name)
+        return Hmm.of(random_rows(rng, 1, states)[0], random_rows(rng, states, states), emit, class_name, kind)
     width = {"cascade2": 2, "cascade3": 3}[kind]
     trans = np.zeros((states, states))
     for i in range(states):
@@ -56,7 +68,7 @@ def initial_model(states: int, symbols: int, kind: str = "cascade3", seed: int =
         trans[i, i : i + n] = random_rows(rng, 1, n)[0]
     pi = np.zeros(states)
     pi[: min(states, width)] = random_rows(rng, 1, min(states, width))[0]
-    return Hmm.of(pi, trans, emit, class_name)
+    return Hmm.of(pi, trans, emit, class_name, kind)
 
 
 def floor_emissions(emit: np.ndarray, eps: float = EPSILON) -> np.ndarray:
@@ -82,7 +94,9 @@ def viterbi(model: Hmm, symbols: Column | str = "symbols") -> Column:
 
 
 def conforming(sequences: DataFrame, n_symbols: int, symbols_col: str = "symbols") -> DataFrame:
-    """Sequences that are not empty and have no symbol beyond the alphabet."""
+    """Sequences that are not empty, have no symbol beyond the alphabet and, where they tell theirs (n_symbols), have that one."""
+    if "n_symbols" in sequences.columns:
+        sequences = sequences.where(F.col("n_symbols") == n_symbols)
     return sequences.where((F.size(symbols_col) > 0) & (F.array_max(symbols_col) < n_symbols) & (F.array_min(symbols_col) >= 0))
 
 
@@ -128,6 +142,12 @@ def em_counts(sequences: DataFrame, model: Hmm, symbols_col: str = "symbols") ->
     return sequences.select(symbols_col).mapInArrow(_estep(model), "kind string, i int, j int, v double").groupBy("kind", "i", "j").agg(F.sum("v").alias("v"))
 
 
+def _spread(rng: np.random.Generator, row: np.ndarray) -> np.ndarray:
+    """Random shares for what the row allows."""
+    new = np.where(row > 0, rng.random(len(row)) + 1, 0.0)
+    return new / new.sum() if new.any() else np.full(len(row), 1.0 / len(row))
+
+
 def em_step(sequences: DataFrame, model: Hmm, eps: float = EPSILON, symbols_col: str = "symbols", seed: int = 0) -> tuple[Hmm, float, int]:
     """The re-estimated model (pi stays), log P of the data under the old one, and the number of sequences it can't emit."""
     n, m = model.emit.shape
@@ -143,7 +163,9 @@ def em_step(sequences: DataFrame, model: Hmm, eps: float = EPSILON, symbols_col:
             dead = int(r["v"])
     rng = np.random.default_rng(seed)
     da, db = ta.sum(axis=1), tb.sum(axis=1)
-    trans = np.where((da > 0)[:, None], ta / np.where(da > 0, da, 1)[:, None], model.trans)
+    # a state that is never left gets a new row, of the model's kind where that is known
+    again = np.array([initial_transitions(rng, model.kind, n, i) if model.kind else _spread(rng, model.trans[i]) for i in range(n)])
+    trans = np.where((da > 0)[:, None], ta / np.where(da > 0, da, 1)[:, None], again)
     emit = np.where((db > 0)[:, None], tb / np.where(db > 0, db, 1)[:, None], random_rows(rng, n, m))
     return replace(model, trans=trans, emit=floor_emissions(emit, eps)), lp, dead
 
@@ -176,6 +198,18 @@ def learn(sequences: DataFrame, model: Hmm, eps: float = EPSILON, auto: float =
         kept.unpersist()
 
 
+def training_history(spark, history: list[float]) -> DataFrame:  # noqa: ANN001
+    """I, sum_log_prob: a row for each step, for a table or its file."""
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(history)], "I int, sum_log_prob double")
+
+
+def training_summary(model: Hmm, n_sequences: int, history: list[float], eps: float = EPSILON, auto: float = 0.3) -> str:
+    """What was trained and how it went, as lines of text."""
+    n, m = model.emit.shape
+    facts = {"class": model.class_name, "states": n, "symbols": m, "type": model.kind or "given", "least emission": f"{eps:g}" if eps > 0 else "none", "sequences": n_sequences, "auto": f"{auto:g}", "refinements": len(history) - 1, "sum of log P": f"{history[-1]:g}" if history else ""}
+    return "".join(f"{k}: {v}\n" for k, v in facts.items())
+
+
 def learn_by_class(sequences: DataFrame, states: int, n_symbols: int, kind: str = "cascade3", seed: int = 0, max_iterations: int = 20, class_col: str = "class_name", symbols_col: str = "symbols", **options) -> list[Hmm]:  # noqa: ANN003
     """A model for each class; classes are few, each trains data-parallel."""
     names = [r[0] for r in sequences.select(class_col).distinct().orderBy(class_col).collect()]

@@ -71,8 +71,8 @@ def lpc_signals(signals: DataFrame, order: int, window_ms: int = 45, offset_ms:
     return lpc_frames(split_train_test(signals, fraction, min_per_class=min_per_class), order, width, step)
 
 
-def show_frames(frames: DataFrame, first: int, last: int, reflections: bool = False) -> DataFrame:
-    """Coefficients first..last of each frame as text with 5 decimals (r columns, or k columns for reflections)."""
+def show_frames(frames: DataFrame, first: int, last: int, reflections: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Coefficients first..last of each frame as text with 5 decimals (r columns, or k columns for reflections), after the columns to keep."""
     source, name = (hof.levinson(F.col("r"), last)["rc"], "k") if reflections else (F.col("r"), "r")
     first = max(first, 1) if reflections else first
-    return frames.withColumn("_v", source).select(*[F.format_string("%.5f", hof.at(F.col("_v"), i)).alias(f"{name}{i}") for i in range(first, last + 1)])
+    return frames.withColumn("_v", source).select(*(keep or []), *[F.format_string("%.5f", hof.at(F.col("_v"), i)).alias(f"{name}{i}") for i in range(first, last + 1)])

@@ -24,6 +24,32 @@ def interval_frames(frames: DataFrame, start_ms: int, duration_ms: int, offset_m
     return frames.where((F.col("idx") >= first) & (F.col("idx") < first + n)).withColumn("ms", F.lit(start_ms) + (F.col("idx") - first) * offset_ms)
 
 
+def frames_in_intervals(frames: DataFrame, intervals: DataFrame, keys: list[str], offset_s: float) -> DataFrame:
+    """Frames (keys, idx) with each interval (keys, begin_s, end_s) of a table that their start lies in, and its columns.
+
+    An interval is expanded into the frame numbers it holds, so the range condition is an equi-join on keys and idx.
+    """
+    first, last = F.ceil(F.round(F.col("begin_s") / F.lit(offset_s), 9)).cast("long"), F.ceil(F.round(F.col("end_s") / F.lit(offset_s), 9)).cast("long") - 1
+    held = intervals.withColumn("idx", F.explode(F.when(last >= first, F.sequence(first, last))))
+    return frames.withColumn("idx", F.col("idx").cast("long")).join(held, [*keys, "idx"])
+
+
+def contained(rows: DataFrame, begin_s: float, end_s: float) -> DataFrame:
+    """Rows whose interval lies within begin_s and end_s, ends included."""
+    return rows.where((F.col("begin_s") >= begin_s) & (F.col("end_s") <= end_s))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with a selection number, which is above 0."""
+    return rows.where(F.col("selection") > 0)
+
+
+def sample_rows(rows: DataFrame, most: int = 8000, seed: int = 0) -> DataFrame:
+    """All rows, or `most` random ones: the least by a seeded hash of the row, so each task keeps that many at most."""
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.orderBy(F.xxhash64(F.lit(seed), row), F.to_json(row)).limit(most)
+
+
 def unique_codewords(frames: DataFrame) -> DataFrame:
     return frames.select("codeword").distinct()
 

@@ -71,8 +71,8 @@ def overall_distortion(sequences: DataFrame) -> DataFrame:
 
 
 def routed(path: Column) -> Column:
-    """TRAIN or TEST by a part of the path, else empty."""
-    return F.when(path.contains("TRAIN"), "TRAIN").when(path.contains("TEST"), "TEST").otherwise("")
+    """TRAIN or TEST by a folder of the path (the name may end with it), else empty."""
+    return F.when(path.contains("TRAIN/"), "TRAIN").when(path.contains("TEST/"), "TEST").otherwise("")
 
 
 def cells(frames: DataFrame, book: Codebook, r_col: str = "r", native: bool | None = None) -> DataFrame:
@@ -188,6 +188,21 @@ def classify(frames: DataFrame, books: list[Codebook], keys: list[str], r_col: s
     return long.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("score", F.desc("model_id"))))
 
 
+def classified(scored: DataFrame, books: list[Codebook], keys: list[str], class_col: str = "class_name") -> DataFrame:
+    """What classify() gives, with the sequences' classes, as cases for evaluation: keys, actual, predicted, correct, rank, ranked.
+
+    Sequences of a class without a codebook are left out; of several codebooks of a class the first stands for it.
+    """
+    home: dict[str, int] = {}
+    for i, b in enumerate(books):
+        home.setdefault(b.class_name, i)
+    names = F.array(*[F.lit(b.class_name) for b in books])
+    order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "model_id"))), lambda x: x["model_id"])
+    one = scored.groupBy(*keys, class_col).agg(order.alias("_ids")).withColumn("_home", F.try_element_at(F.create_map(*[x for k, v in home.items() for x in (F.lit(k), F.lit(v))]), F.col(class_col))).where("_home is not null")
+    place = F.array_position("_ids", F.col("_home"))
+    return one.select(*keys, F.col(class_col).alias("actual"), hof.at(names, hof.at(F.col("_ids"), 0)).alias("predicted"), (place == 1).alias("correct"), place.cast("int").alias("rank"), F.transform("_ids", lambda i: hof.at(names, i)).alias("ranked"))
+
+
 def show_codebook(spark, book: Codebook, first: int, last: int) -> DataFrame:  # noqa: ANN001
     """Reflections first..last of each codeword as shortest text; index 0 is not a coefficient and is left out."""
     first = max(first, 1)

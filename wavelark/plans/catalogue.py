@@ -67,8 +67,7 @@ def lpc_gain_norm(spark, d):  # noqa: ANN001, ANN201
 
 @_query
 def lpc_show(spark, d):  # noqa: ANN001, ANN201
-    f = features(spark, d).select("vec_id", F.col("r"))
-    return f.select("vec_id", *[F.format_string("%.5f", hof.at(F.col("r"), i)).alias(f"r{i}") for i in range(0, 3)])
+    return lpc.show_frames(features(spark, d), 0, 2, keep=["vec_id"])
 
 
 @_query
@@ -150,15 +149,13 @@ def vq_cell_stats(spark, d):  # noqa: ANN001, ANN201
 
 @_query
 def vq_centroid_update(spark, d):  # noqa: ANN001, ANN201
-    c = vq.cells(features(spark, d), BOOK2)
-    return c.select("codeword", F.posexplode(hof.levinson(F.col("sums"), P)["rc"]).alias("k", "rc")).where("k > 0").select("codeword", "k", r6("rc").alias("rc"))
+    book, _ = vq.centroids(BOOK2, vq.cells(features(spark, d), BOOK2).collect())  # a row a codeword
+    return book.to_frame(spark).select("codeword", F.posexplode("rc").alias("k", "rc")).where("k > 0").select("codeword", "k", r6("rc").alias("rc"))
 
 
 @_query
 def vq_grow(spark, d):  # noqa: ANN001, ANN201
-    rows = BOOK2.to_frame(spark).select(F.posexplode(F.array(*[F.lit(g) for g in vq.GROW])).alias("side", "g"), "codeword", "rc")
-    grown = rows.select((F.col("codeword") * 2 + F.col("side")).alias("codeword"), F.transform("rc", lambda v: v * F.col("g")).alias("rc"))
-    return grown.select("codeword", F.posexplode(hof.reflections_to_raa(F.col("rc"))).alias("n", "raa")).where("n < 3").select("codeword", "n", r6("raa").alias("raa"))
+    return vq.grow(BOOK2).to_frame(spark).select("codeword", F.posexplode("raa").alias("n", "raa")).where("n < 3").select("codeword", "n", r6("raa").alias("raa"))
 
 
 @_query
@@ -168,13 +165,11 @@ def vq_show(spark, d):  # noqa: ANN001, ANN201
 
 @_query
 def vq_sigma(spark, d):  # noqa: ANN001, ANN201
-    """The theta join of cells and codewords, i <> j."""
-    cells = vq.cells(features(spark, d), BOOK2)
-    avg = F.sum("distortion").over(Window.partitionBy()) / F.sum("cardinality").over(Window.partitionBy())
-    cells = cells.withColumn("avg", avg).withColumn("lp", hof.levinson(F.col("sums"), P)).withColumn("v", hof.gain_normalized(F.col("sums"), F.col("lp.pe"))).withColumn("raa", hof.reflections_to_raa(F.col("lp.rc")))
-    i, j = cells.select(F.col("codeword").alias("i"), "v", "avg"), cells.select(F.col("codeword").alias("j"), "raa")
-    pairs = i.join(F.broadcast(j), F.col("i") != F.col("j"))  # a row a codeword, MAX_CODEWORDS at most
-    return pairs.agg(F.count("*").alias("pairs"), r6(F.avg(hof.distortion(F.col("v"), F.col("raa")) - 1) / F.max("avg")).alias("sigma"))
+    """All pairs of a cell and another codeword."""
+    cells = vq.cells(features(spark, d), BOOK2).collect()  # a row a codeword
+    book, sums = vq.centroids(BOOK2, cells)
+    sigma = vq.sigma_ratio(sums, book, sum(c["distortion"] for c in cells) / sum(c["cardinality"] for c in cells))
+    return spark.createDataFrame([(len(book) * (len(book) - 1), sigma)], "pairs long, sigma double").select("pairs", r6("sigma").alias("sigma"))
 
 
 @_query
@@ -392,16 +387,41 @@ def numbered_cases(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def sel_segments_join(spark, d):  # noqa: ANN001, ANN201
-    j = selection.with_segments(numbered_cases(spark, d), segments(spark, d).where("selection % 2 = 0").drop("user_id"))
+    j = selection.with_segments(numbered_cases(spark, d), segments(spark, d).drop("user_id"))
     return j.select("user_id", "selection", "rank", "type", r6("begin_s").alias("begin_s"))
 
 
 @_query
 def sel_cover(spark, d):  # noqa: ANN001, ANN201
-    s = segments(spark, d).where("user_id % 4 = 1")
+    s = segments(spark, d)
     return selection.cover(s).select("min_selection", "max_selection", r6("begin_s").alias("begin_s"), r6("end_s").alias("end_s"), r6("duration_s").alias("duration_s"))
 
 
+@_query
+def sel_contained(spark, d):  # noqa: ANN001, ANN201
+    return selection.contained(segments(spark, d), 3600.0, 864000.0).select("selection", r6("begin_s").alias("begin_s"))
+
+
+@_query
+def sel_interval_join(spark, d):  # noqa: ANN001, ANN201
+    """Each user's symbols as frames of 0.01 s, and the frames that start within each of the user's five intervals."""
+    frames = fx.user_samples(spark, d).select("user_id", F.col("pos").alias("idx"), "event_type")
+    marks = fx.user_samples(spark, d).where("pos < 5").select("user_id", (F.col("pos") * 0.05).alias("begin_s"), (F.col("pos") * 0.05 + 0.123).alias("end_s"), F.col("pos").alias("mark"))
+    return selection.frames_in_intervals(frames, marks, ["user_id"], 0.01).select("user_id", "mark", "idx", "event_type")
+
+
+@_query
+def eval_error_rate(spark, d):  # noqa: ANN001, ANN201
+    return evaluation.accuracy(cases(spark, d)).select(r6("error_rate").alias("error_rate"))
+
+
+@_query
+def vq_report(spark, d):  # noqa: ANN001, ANN201
+    f = features(spark, d).withColumn("class_name", (F.col("label") % 3).cast("string")).withColumnRenamed("label", "seq")
+    scored = vq.classify(f, CLASS_BOOKS, ["seq", "class_name"])
+    return evaluation.candidate_order(vq.classified(scored, CLASS_BOOKS, ["seq"]), len(CLASS_BOOKS))
+
+
 @_query
 def sel_times(spark, d):  # noqa: ANN001, ANN201
     return selection.times(segments(spark, d), "selection", "user_id").select("selection", r6("concat_s").alias("concat_s"), r6("offset_s").alias("offset_s"))

@@ -162,6 +162,56 @@ def _classified() -> str:
     return f"WITH {fx.LPC_SQL}, scores AS ({' UNION ALL '.join(parts)}) SELECT label, model_id, {_r('score', 'score')}, CAST(row_number() OVER (PARTITION BY label ORDER BY score, model_id DESC) AS INT) AS rank FROM scores"
 
 
+def _reported() -> str:
+    """Candidate order of the codebooks as classifiers; a label is a sequence, its remainder the class."""
+    parts = []
+    for i, book in enumerate(cat.CLASS_BOOKS):
+        ds = ", ".join(fx.distortion_sql(raa) for raa in book.raa)
+        parts.append(f"SELECT label, {i} AS model_id, avg(least({ds}) - 1) AS score FROM norm GROUP BY label")
+    return f"WITH {fx.LPC_SQL}, scores AS ({' UNION ALL '.join(parts)}), ranked AS (SELECT label, model_id, row_number() OVER (PARTITION BY label ORDER BY score, model_id DESC) AS rank FROM scores), mine AS (SELECT CAST(label % 3 AS VARCHAR) AS actual, rank FROM ranked WHERE model_id = label % 3) SELECT coalesce(actual, 'TOTAL') AS class_name, count(*) AS tests, " + ", ".join(f"count(*) FILTER (rank = {k}) AS r{k}" for k in (1, 2, 3)) + " FROM mine GROUP BY ROLLUP (actual)"
+
+
+def _spectrum(source: str, values: str, length: int, size: int) -> str:
+    """CTE spectrum(vec_id, k, m): magnitudes of the discrete Fourier transform by its definition."""
+    part = lambda f: f"list_sum(list_transform(range(1, {length + 1}), lambda n: v[n] * {f}(2 * pi() * k * (n - 1) / {size})))"
+    return f"bins AS (SELECT vec_id, {values} AS v, unnest(range(0, {size // 2 + 1})) AS k FROM {source}), spectrum AS (SELECT vec_id, k, sqrt(pow({part('cos')}, 2) + pow({part('sin')}, 2)) AS m FROM bins)"
+
+
+_O = 5
+
+
+def _first_model() -> str:
+    m = fx.MODELS[0]
+    cols = [f"{_d(m.trans[i][j])} AS a{i}{j}" for i in range(_N) for j in range(_N)] + [f"{_d(m.emit[i][o])} AS b{i}{o}" for i in range(_N) for o in range(_O)]
+    return f"m0 AS (SELECT {', '.join(cols)})"
+
+
+def _em(k: int) -> str:
+    """CTEs from model mk to the expected counts nk(kind, i, j, v): forward and backward by recursion over places."""
+    n, pi = range(_N), fx.MODELS[0].pi
+    emitted = lambda row, i: f"[{', '.join(f'm.b{i}{o}' for o in range(_O))}][{row}.o + 1]"
+    total = "(f.v0 + f.v1 + f.v2)"
+    return ", ".join([
+        f"fw{k} AS (SELECT s.user_id, s.t, s.o, " + ", ".join(f"{_d(pi[j])} * {emitted('s', j)} AS v{j}" for j in n) + f" FROM seq s, m{k} m WHERE s.t = 0 UNION ALL SELECT s.user_id, s.t, s.o, " + ", ".join("(" + " + ".join(f"f.v{i} / {total} * m.a{i}{j}" for i in n) + f") * {emitted('s', j)}" for j in n) + f" FROM fw{k} f JOIN seq s ON s.user_id = f.user_id AND s.t = f.t + 1, m{k} m)",
+        f"al{k} AS MATERIALIZED (SELECT f.user_id, f.t, f.o, {total} AS c, " + ", ".join(f"f.v{j} / {total} AS a{j}" for j in n) + f", max(f.t) OVER (PARTITION BY f.user_id) AS top FROM fw{k} f)",
+        f"bw{k} AS (SELECT user_id, t, o, c, CAST(1 AS DOUBLE) AS b0, CAST(1 AS DOUBLE) AS b1, CAST(1 AS DOUBLE) AS b2 FROM al{k} WHERE t = top UNION ALL SELECT p.user_id, p.t, p.o, p.c, " + ", ".join("(" + " + ".join(f"m.a{i}{j} * {emitted('w', j)} * w.b{j} / w.c" for j in n) + ")" for i in n) + f" FROM bw{k} w JOIN al{k} p ON p.user_id = w.user_id AND p.t = w.t - 1, m{k} m)",
+        f"be{k} AS MATERIALIZED (SELECT * FROM bw{k})",
+        f"tr{k} AS (SELECT " + ", ".join(f"sum(p.a{i} * m.a{i}{j} * {emitted('w', j)} * w.b{j} / w.c) AS t{i}{j}" for i in n for j in n) + f" FROM al{k} p JOIN be{k} w ON w.user_id = p.user_id AND w.t = p.t + 1, m{k} m)",
+        f"em{k} AS (SELECT p.o, " + ", ".join(f"sum(p.a{i} * w.b{i}) AS e{i}" for i in n) + f" FROM al{k} p JOIN be{k} w ON w.user_id = p.user_id AND w.t = p.t GROUP BY p.o)",
+        f"n{k} AS MATERIALIZED (" + " UNION ALL ".join([f"SELECT 'a' AS kind, {i} AS i, {j} AS j, t{i}{j} AS v FROM tr{k}" for i in n for j in n] + [f"SELECT 'b', {i}, {o}, coalesce(sum(e{i}), 0) FROM em{k} WHERE o = {o}" for i in n for o in range(_O)] + [f"SELECT 'lp', 0, 0, sum(ln(c)) FROM al{k}", "SELECT 'dead', 0, 0, CAST(0 AS DOUBLE)"]) + ")",
+    ])
+
+
+def _learned(steps: int) -> str:
+    """Sum of log P before each step. A step's rows are its counts over their sums, emissions with the floor (which none meets here)."""
+    parts = [f"WITH RECURSIVE {fx.SEQ_SQL}, {_first_model()}"]
+    for k in range(steps):
+        parts.append(_em(k))
+        share = lambda kind, i, j: f"max(CASE WHEN kind = '{kind}' AND i = {i} AND j = {j} THEN v END) / sum(CASE WHEN kind = '{kind}' AND i = {i} THEN v END)"
+        parts.append(f"m{k + 1} AS MATERIALIZED (SELECT " + ", ".join([f"{share('a', i, j)} AS a{i}{j}" for i in range(_N) for j in range(_N)] + [f"{share('b', i, o)} AS b{i}{o}" for i in range(_N) for o in range(_O)]) + f" FROM n{k})")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS iteration, {_r('v', 'sum_log_prob')} FROM n{k} WHERE kind = 'lp'" for k in range(steps))
+
+
 def _floored() -> str:
     rows = ", ".join(f"({i}, {fx._list(r)})" for i, r in enumerate(cat.FLOOR_ROWS))
     return (
@@ -231,8 +281,16 @@ def oracle_sql() -> dict[str, str]:
         "sel_codeword_counts": f"SELECT {_CODE} AS codeword, count(*) AS n FROM events GROUP BY 1",
         "sel_interval_frames": f"SELECT event_id AS idx, {_CODE} AS codeword, CAST(1234 + (event_id - 82) * 15 AS BIGINT) AS ms FROM events WHERE event_id BETWEEN 82 AND 82 + 40",
         "sel_mask_samples": f"WITH {fx.SAMPLES_SQL}, f AS (SELECT user_id, pos // 4 AS idx FROM samples WHERE pos % 4 = 0 AND event_type IN ('error', 'signup')), m AS (SELECT s.user_id, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.user_id = s.user_id AND s.pos >= 4 * f.idx AND s.pos < 4 * f.idx + 6) THEN s.x ELSE 0 END AS x FROM samples s) SELECT user_id, {_r('sum(x)', 'total')}, count(*) FILTER (x = 0) AS zeros FROM m GROUP BY user_id",
-        "sel_segments_join": _CASES + f", {_SEGMENTS} SELECT c.user_id, CAST(c.user_id * 7 AS INT) AS selection, c.rank, s.type, {_r('s.begin_s', 'begin_s')} FROM cases c LEFT JOIN segs s ON s.selection = c.user_id * 7 AND s.selection % 2 = 0",
-        "sel_cover": f"WITH {_SEGMENTS}, s AS (SELECT * FROM segs WHERE user_id % 4 = 1) SELECT min(selection) AS min_selection, max(selection) AS max_selection, {_r('arg_min(begin_s, selection)', 'begin_s')}, {_r('arg_max(begin_s + 1, selection)', 'end_s')}, {_r('arg_max(begin_s + 1, selection) - arg_min(begin_s, selection)', 'duration_s')} FROM s",
+        "sel_segments_join": _CASES + f", {_SEGMENTS} SELECT c.user_id, CAST(c.user_id * 7 AS INT) AS selection, c.rank, s.type, {_r('s.begin_s', 'begin_s')} FROM cases c LEFT JOIN segs s ON s.selection = c.user_id * 7",
+        "sel_cover": f"WITH {_SEGMENTS}, s AS (SELECT * FROM segs) SELECT min(selection) AS min_selection, max(selection) AS max_selection, {_r('arg_min(begin_s, selection)', 'begin_s')}, {_r('arg_max(begin_s + 1, selection)', 'end_s')}, {_r('arg_max(begin_s + 1, selection) - arg_min(begin_s, selection)', 'duration_s')} FROM s",
+        "sel_contained": f"WITH {_SEGMENTS} SELECT selection, {_r('begin_s', 'begin_s')} FROM segs WHERE begin_s >= 3600 AND begin_s + 1 <= 864000",
+        "sel_interval_join": f"WITH {fx.SAMPLES_SQL} SELECT f.user_id, m.pos AS mark, f.pos AS idx, f.event_type FROM samples f JOIN samples m ON m.user_id = f.user_id AND m.pos < 5 AND f.pos * 10 >= m.pos * 50 AND f.pos * 10 < m.pos * 50 + 123",
+        "eval_error_rate": _CASES + f", per AS (SELECT actual, avg(CASE WHEN correct THEN 100.0 ELSE 0 END) AS a FROM cases GROUP BY actual) SELECT {_r('100 - avg(a)', 'error_rate')} FROM per",
+        "vq_report": _reported(),
+        "lpc_envelope": f"WITH {fx.LPC_SQL}, {_spectrum('lp', '[CAST(1 AS DOUBLE), ' + as_ + ']', P + 1, 16)} SELECT vec_id, CAST(k AS INT) AS bin, {_r('-20 * log10(greatest(m, 1e-12))', 'db')} FROM spectrum",
+        "frame_spectrum": f"WITH {fx.autocorrelation_sql()}, {_spectrum('emb', 'x', 64, 64)} SELECT vec_id, CAST(k AS INT) AS bin, {_r('20 * log10(greatest(m, 1e-12))', 'db')} FROM spectrum",
+        "hmm_em_step": f"WITH RECURSIVE {fx.SEQ_SQL}, {_first_model()}, {_em(0)} SELECT kind, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_r('v', 'v')} FROM n0",
+        "hmm_learn": _learned(6),
         "sel_times": f"WITH {_SEGMENTS} SELECT selection, {_r('coalesce(sum(begin_s + 1 - begin_s) OVER (PARTITION BY user_id ORDER BY selection ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)', 'concat_s')}, {_r('begin_s - first_value(begin_s) OVER (PARTITION BY user_id ORDER BY selection)', 'offset_s')} FROM segs",
         "sel_label": _CASES + f" SELECT actual, user_id AS selection, rank, CASE WHEN rank <= 6 THEN {colors}[rank] ELSE 'brown' END AS color, max(rank) OVER (PARTITION BY actual) - rank + 1 AS height, CASE WHEN count(*) OVER (PARTITION BY actual) > 140 THEN '' WHEN rank = 1 THEN actual || '#' || user_id ELSE predicted || '>' || rank || ':' || actual || '#' || user_id END AS label FROM cases",
         "sel_hist": "WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT CAST(least(floor((value - lo) / ((hi - lo) / 20)), 19) AS INT) AS bin, count(*) AS n FROM events, e GROUP BY 1",

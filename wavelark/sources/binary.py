@@ -113,16 +113,28 @@ def encoded(df: DataFrame, kind: str, alphabet: int | None = None) -> DataFrame:
     return df.mapInPandas(run, "path string, content binary")
 
 
+def write_files(files: DataFrame, base: str) -> int:
+    """Writes each content to its path under base. The tasks write, each file under another name first, so a task may run twice."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                target = f"{root}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(bytes(content))
+                store.move(part, target)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return files.select("path", "content").mapInPandas(run, "n long").agg({"n": "sum"}).first()[0] or 0
+
+
 def write(df: DataFrame, kind: str, base: str, alphabet: int | None = None) -> int:
-    """Writes a file for each path under base, through the cluster's file system. Returns how many."""
-    files = encoded(df, kind, alphabet)
-    sc = df.sparkSession.sparkContext
-    jvm, n = sc._jvm, 0
-    for row in files.toLocalIterator():  # file by file: the sink is a directory of many small files
-        target = jvm.org.apache.hadoop.fs.Path(f"{base}/{row['path']}")
-        fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
-        out = fs.create(target, True)
-        out.write(bytearray(row["content"]))
-        out.close()
-        n += 1
-    return n
+    """Writes a file for each path under base, which all executors reach. Returns how many."""
+    return write_files(encoded(df, kind, alphabet), base)

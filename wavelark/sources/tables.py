@@ -23,6 +23,17 @@ def write_table(df: DataFrame, path: str, order_by: list[str] | None = None, sep
     out.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
+def write_commented(df: DataFrame, path: str, comments: list[str], order_by: list[str]) -> None:
+    """A small report as one CSV file: comment lines, a header, rows in order. For tables of a row a codebook size or a step."""
+    spark = df.sparkSession
+    rows = df.orderBy(*order_by).collect()
+    lines = [*(f"# {c}" for c in comments), ",".join(df.columns), *(",".join("" if v is None else str(v) for v in r) for r in rows)]
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray("\n".join(lines).encode() + b"\n"))
+    out.close()
+
+
 def write_features(df: DataFrame, path: str) -> None:
     """Parquet by split and class, the canonical storage."""
     parts = [c for c in ("split", "class_name") if c in df.columns]

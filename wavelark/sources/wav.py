@@ -113,8 +113,17 @@ def _ms(data: bytes, block: int) -> np.ndarray:
     return np.array(out) / 32768.0
 
 
-def decode(raw: bytes) -> tuple[float, np.ndarray]:
-    """Sample rate and samples in [-1, 1]."""
+def _length(tag: int, size: int, block: int, bits: int) -> int:
+    """How many samples so many bytes hold."""
+    if tag == IMA_ADPCM:
+        return sum(1 + 2 * max(0, min(block, size - a) - 4) for a in range(0, size - 3, block))
+    if tag == MS_ADPCM:
+        return sum(2 + 2 * max(0, min(block, size - a) - 7) for a in range(0, size - 6, block))
+    return size // max(1, 1 if tag in (A_LAW, MU_LAW) else bits // 8 if tag == FLOAT and bits in (32, 64) else block or bits // 8)
+
+
+def decode(raw: bytes, header_only: bool = False) -> tuple[float, np.ndarray]:
+    """Sample rate and samples in [-1, 1]; header_only: an array that only has their number."""
     form, facts = None, None
     for name, body in chunks(raw):
         if name == b"fmt ":
@@ -130,6 +139,11 @@ def decode(raw: bytes) -> tuple[float, np.ndarray]:
             tag, channels, rate, block, bits = form
             if channels != 1:
                 raise WavError("only mono signals")
+            if tag in (MS_ADPCM, IMA_ADPCM) and block < {MS_ADPCM: 7, IMA_ADPCM: 4}[tag]:
+                raise WavError(f"blocks of {block} bytes can't hold their head")
+            if header_only:
+                n = facts if facts is not None and tag in (MS_ADPCM, IMA_ADPCM) else _length(tag, len(body), block, bits)
+                return float(rate), np.empty(n, np.void)
             if tag == PCM:
                 x = _pcm(body, max(1, (block or bits // 8)))
             elif tag == FLOAT and bits in (32, 64):
@@ -155,6 +169,17 @@ def encode(samples: np.ndarray, sample_rate: float) -> bytes:
     return struct.pack("<4sI4s", b"RIFF", 4 + len(form) + 8 + len(data), b"WAVE") + form + struct.pack("<4sI", b"data", len(data)) + data
 
 
+def write(signals: DataFrame, base: str) -> int:
+    """Writes path, sample_rate and samples as files under base (see binary.write_files). Returns how many."""
+    from wavelark.sources.binary import write_files
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "content": [encode(np.asarray(x), rate) for x, rate in zip(pdf["samples"], pdf["sample_rate"])]})
+
+    return write_files(signals.select("path", "sample_rate", "samples").mapInPandas(run, "path string, content binary"), base)
+
+
 def class_of(path: str) -> str:
     parts = path.split("/")
     return parts[-2] if len(parts) > 2 else ""
@@ -167,7 +192,7 @@ def read(spark: SparkSession, path: str | list[str], mode: str = "PERMISSIVE", h
         for pdf in batches:
             for p, raw in zip(pdf["path"], pdf["content"]):
                 try:
-                    rate, x = decode(bytes(raw))
+                    rate, x = decode(bytes(raw), header_only)
                 except (WavError, struct.error):
                     if mode == "FAILFAST":
                         raise
