@@ -150,3 +150,37 @@ def vector_links(rows, least=0.95):
                 links.append((ids[a], ids[b]))
     comp = components([i for i, _ in rows], links)
     return sorted((i, n[i], comp[i]) for i, _ in rows)
+
+
+def edits(s, t):
+    row = list(range(len(t) + 1))
+    for i, c in enumerate(s, 1):
+        row, old = [i], row
+        for j, d in enumerate(t, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != d)))
+    return row[-1]
+
+
+def toxic_score(text, terms, weights, coefficients, allowed, window=5):
+    """Each word's nearest term within its edits (whole words before stems, then the first), quoted or not, and the score of that."""
+    spots = [(m.group().lower(), m.start(), m.end()) for m in re.finditer("[0-9A-Za-z]+", text)]
+    plain = fuzzy = quoted = 0.0
+    for k, (word, a, b) in enumerate(spots):
+        found = []
+        for n, t in enumerate(terms):
+            if t.endswith("*"):
+                if word.startswith(t[:-1]):
+                    found.append((0, 1, n))
+            elif abs(len(word) - len(t)) <= allowed(t) and (d := edits(word, t)) <= allowed(t):
+                found.append((d, 0 if allowed(t) else 1, n))
+        if found:
+            d, _, n = min(found)
+            left, right = spots[max(0, k - window)][1], spots[min(len(spots) - 1, k + window)][2]
+            if '"' in text[left:a] and '"' in text[b:right]:
+                quoted += weights[n]
+            elif d:
+                fuzzy += weights[n] / (1 + d)
+            else:
+                plain += weights[n]
+    x = [float(plain > 0), np.log1p(plain), np.log1p(fuzzy), np.log1p(quoted), (plain + fuzzy) / max(1, len(spots)), 1.0]
+    return 1 / (1 + np.exp(-np.dot(x, coefficients)))

@@ -665,3 +665,45 @@ def test_chunks_hold_every_window_once(monkeypatch):
             assert sorted(anchors) == list(range(n))
             seen.append(anchors)
         assert seen[0] == seen[1]
+
+
+def test_large_lexicons_of_long_terms():
+    """150 terms of 9 to 11 letters with two edits each: no lexicon has too many states, and scores are those of brute force."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    terms = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(9, 11))) for _ in range(150)} | {"scum", "idio*"})
+    weights = [1 + 0.01 * k for k in range(len(terms))]
+    model = toxicity.ToxicityModel(terms, weights, np.array([2.0, 1.0, 0.7, -0.5, 3.0, -2.0]))
+
+    def mutated(t):
+        w = list(t.removesuffix("*"))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "q"])
+        return "".join(w) or "x"
+
+    texts = ["", "plain words only"] + [" ".join(rng.choice(["and", "the", '"', "river", mutated(rng.choice(terms)).capitalize()]) for _ in range(rng.randint(1, 60))) for _ in range(80)]
+    got = model.scores(pa.array(texts))
+    want = [brute.toxic_score(t, terms, weights, model.coefficients, toxicity.edits_allowed) for t in texts]
+    assert np.allclose(got, want)
+    assert len({round(x, 6) for x in want}) > 40
+
+
+def test_license_spans():
+    """Notices with planted errors: each is found, and its errors are the edits between the span's words and the notice."""
+    rng = random.Random(13)
+    search = license_scan.NoticeSearch(license_scan.NOTICES, license_scan.CHARS_PER_ERROR)
+    for notice, label in license_scan.NOTICES.items():
+        for errors in range(license_scan.errors_allowed(notice) + 1):
+            w = list(notice)
+            for k in rng.sample([i for i in range(1, len(w) - 1) if w[i] != " "], errors):
+                w[k] = "z"
+            text = f"some words before {''.join(w)} and some behind".encode()
+            found = [x for x in search.find(text) if x[0] == label]
+            assert found
+            for _, a, b, n, similarity in found:
+                near = [x for x, y in license_scan.NOTICES.items() if y == label]
+                assert n >= min(brute.edits(text[a:b].decode(), x) for x in near) and 0 < similarity <= 1
+            assert min(x[3] for x in found) <= errors
+    assert search.find(b"nothing of that kind is written in this text") == []

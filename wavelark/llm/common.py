@@ -223,14 +223,16 @@ class WordHasher:
         self.size = 0
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.known)
-        if new:
+        try:
+            return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint64)
+        except KeyError:
+            new = set(words).difference(self.known)
             if len(self.known) > self.MOST_WORDS or self.size > self.MOST_BYTES:
                 self.known, self.size, new = {}, 0, set(words)
             for w in new:
                 self.known[w] = hashlib.blake2b(w, digest_size=8).digest()
                 self.size += len(w)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint64)
+            return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint64)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -28,6 +28,15 @@ NOTICES = {
     "mozilla public license version 2 0": "mpl-2",
     "redistribution and use in source and binary forms": "bsd",
     "all rights reserved": "all-rights-reserved",
+    "gnu affero general public license": "agpl",
+    "eclipse public license version 2 0": "epl-2",
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "the software is provided as is without warranty of any kind": "mit",
+    "permission to use copy modify and or distribute this software": "isc",
+    "boost software license version 1 0": "bsl-1",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons zero": "cc0",
+    "free and unencumbered software released into the public domain": "unlicense",
 }
 #: One error is allowed for so many characters of a notice.
 CHARS_PER_ERROR = 10

@@ -98,6 +98,83 @@ SELECT s.doc_id, CAST(len(parts) AS BIGINT) AS n_lines, CAST(coalesce(len(nos),
 FROM split s LEFT JOIN dropped d ON s.doc_id = d.doc_id
 """
 
+_COMPONENTS = """
+reach(id, root) AS (SELECT DISTINCT a, a FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+least AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+"""
+
+_OP4 = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+shared AS (
+  SELECT p.doc_id AS a, q.doc_id AS b, p.n AS na, q.n AS nb, count(*) AS same
+  FROM shingles p JOIN shingles q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * same >= 80 * (na + nb - same)),
+{_COMPONENTS}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN least ON id = doc_id
+"""
+
+#: Runs of windows of 50 units that start in a document with a smaller id, as first and last + 1 unit.
+_RUNS = """
+first AS (SELECT win, min(doc_id) AS owner FROM windows GROUP BY win),
+hits AS (SELECT w.doc_id, w.i FROM windows w JOIN first f ON f.win = w.win WHERE f.owner < w.doc_id),
+apart AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hits),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM apart) GROUP BY doc_id, run)
+"""
+
+_OP5 = f"""
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (
+  SELECT doc_id, p * 400 AS base, substr(h, 800 * p + 1, 900) AS part
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 800 + 1)) AS p FROM raw)),
+windows AS (
+  SELECT doc_id, base + k AS i, substr(part, 2 * k + 1, 100) AS win
+  FROM (SELECT doc_id, base, part, unnest(range(0, least(400, len(part) // 2 - 49))) AS k FROM pieces WHERE len(part) >= 100)),
+{_RUNS},
+gaps AS (
+  SELECT r.doc_id, r.a, r.b, coalesce(lag(r.b) OVER (PARTITION BY r.doc_id ORDER BY r.a), 0) AS from_, h FROM runs r JOIN raw ON raw.doc_id = r.doc_id),
+cut AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(max(h), 2 * max(b) + 1) AS kept FROM gaps GROUP BY doc_id)
+SELECT raw.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM raw LEFT JOIN cut ON cut.doc_id = raw.doc_id
+"""
+
+_OP6 = rf"""
+WITH raw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM raw WHERE len(w) >= 50)),
+{_RUNS},
+placed AS (SELECT doc_id, w[i + 1] AS word, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM raw)),
+stay AS (
+  SELECT p.doc_id, count(*) AS n, string_agg(p.word, ' ' ORDER BY p.i) AS kept
+  FROM placed p WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = p.doc_id AND p.i >= r.a AND p.i < r.b) GROUP BY p.doc_id)
+SELECT raw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM raw LEFT JOIN stay ON stay.doc_id = raw.doc_id
+"""
+
+_OP10 = f"""
+WITH RECURSIVE vectors AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+sized AS (
+  SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size
+  FROM vectors WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+units AS (SELECT vec_id, list_transform(e, lambda x: x / size) AS u FROM sized WHERE size > 0),
+links AS MATERIALIZED (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM units p JOIN units q ON p.vec_id <> q.vec_id WHERE list_inner_product(p.u, q.u) >= CAST(0.95 AS DOUBLE)),
+{_COMPONENTS},
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM vectors LEFT JOIN least ON id = vec_id LEFT JOIN counted ON a = vec_id
+"""
+
 _OP8 = r"""
 WITH base AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -129,4 +206,4 @@ FROM placed p LEFT JOIN taken t ON p.place = t.place
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op3_line_dedup": _OP3, "op8_mixing": _OP8}
+    return {"op1_exact_dedup": _OP1, "op3_line_dedup": _OP3, "op4_minhash_dedup": _OP4, "op5_suffix_array_dedup": _OP5, "op6_substring_dedup": _OP6, "op8_mixing": _OP8, "op10_embedding_dedup": _OP10}
