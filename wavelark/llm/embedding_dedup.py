@@ -2,8 +2,8 @@
 
 Centres are fitted on a bounded sample. Each vector is built into the shards of its OVERLAP nearest centres: there it is joined to
 those of its candidates (its nearest ones, and some from all over the shard) that no nearer neighbour covers, and the adjacency
-lists that it gets in its shards are united. A shard is then searched by its own vectors and by those of other shards that are
-within reach of it (see `_assign`). The search is greedy and expands with its
+lists that it gets in its shards are united. A shard is then searched by its own vectors and by those of other shards that can
+have a link there (see `_assign`), so no pair that can link is out of reach. The search is greedy and expands with its
 range: from the shard's medoids, one of each connected part at least, and from the vector's own place, it follows the `beam`
 best vectors met, and all that are in range. Vectors near one another search together. Each block of a search audits itself:
 AUDIT of its vectors are compared in full, and where one link of theirs was missed, the whole block is. Every link is verified in
@@ -31,8 +31,6 @@ BLOCK = 2
 OVERLAP, DEGREE, NEAREST, SPREAD, ALPHA = 2, 32, 40, 8, 1.2
 #: Vectors that search together, best ones that each follows, and those of a block that are compared in full.
 TOGETHER, BEAM, AUDIT = 128, 4, 32
-#: Standard deviations of a random direction's part along a line that a search reaches over the border of a cell.
-SIGMAS = 3.0
 #: audit_recall: parts of the rows that are asked for, and of those they are compared with.
 GRID = 8
 
@@ -91,23 +89,13 @@ def _matrix(column) -> np.ndarray:  # noqa: ANN001
     return out
 
 
-def effective_rank(x: np.ndarray) -> float:
-    """In how many directions the rows spread: the exponential of the entropy of their variance by direction."""
-    if len(x) < 2:
-        return 1.0
-    share = np.linalg.eigvalsh(np.atleast_2d(np.cov(x.T)))
-    share = share[share > 1e-12] / max(share[share > 1e-12].sum(), 1e-12)
-    return float(np.exp(-(share * np.log(share)).sum())) if len(share) else 1.0
+def _assign(centres: np.ndarray, overlap: int, least: float):
+    """A vector's nearest centres (the first is its cell), and the later cells that can hold vectors that it links with.
 
-
-def _assign(centres: np.ndarray, overlap: int, least: float, rank: float):
-    """A vector's nearest centres (the first is its cell), and the later cells that are within reach of it.
-
-    For u in cell h and v in cell c: u(h - c) >= 0 >= v(h - c), so u(h - c) is at most the part of u - v along h - c, times
-    |h - c|. Linked vectors are at most sqrt(2 - 2 least) apart, of which the part along one of `rank` directions is, but for
-    about one in a thousand, at most 3 / sqrt(rank). With a rank of 9 or less no link is out of reach.
+    For u in cell h and v in cell c: v(h - c) <= 0, so where u(h - c) > 0 the angle between them is at least that of u with the
+    plane between the cells, whose sine is u(h - c) / |h - c|. Linked vectors are at most arccos(least) apart, so none is lost.
     """
-    reach = np.sqrt(max(0.0, 2 - 2 * least)) * min(1.0, SIGMAS / np.sqrt(rank))
+    reach = np.sqrt(1 - max(0.0, least) ** 2)
     square = (centres**2).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +308,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     k = min(MOST_CENTRES, max(1, int(np.ceil(2 * np.sqrt(n / shard)))))  # so cells, and copies of a vector, grow with the root of n
     fitted = _matrix(nodes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("unit").toArrow()["unit"])  # a bounded sample
     centres = fit_centres(fitted, min(k, len(fitted)))
-    rows = materialize(nodes.select("rep", "unit", "copies").mapInArrow(_assign(centres, overlap, least, effective_rank(fitted)), "rep long, unit binary, copies long, near array<int>, later array<int>"))
+    rows = materialize(nodes.select("rep", "unit", "copies").mapInArrow(_assign(centres, overlap, least), "rep long, unit binary, copies long, near array<int>, later array<int>"))
     rows = rows.withColumn("centre", F.get("near", F.lit(0)))
     # a row a cell: how many blocks its vectors make, and how many parts those that ask there
     most = BLOCK * shard
