@@ -344,7 +344,7 @@ def repeated_spans(docs: DataFrame, units: Units, matcher, window: int, k: int,
     """
     largest = (1 << 63) - 1
     texts = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(largest)))
-    texts = texts.select("doc_id", F.col("text"), F.md5("text").alias("digest"))
+    texts = texts.select("doc_id", F.col("text"), F.sha2("text", 256).alias("digest"))
     keyed = texts.select("doc_id", F.xxhash64("doc_id", "digest").bitwiseAND(F.lit(largest)).alias("key"), "text", "digest")
     shards = shard_count(docs)
     told = keyed.select("doc_id", "key", F.xxhash64("digest").alias("print"), "text").mapInArrow(_tell(units, window, k, shards), "shard int, key long, owners binary, blob binary")
