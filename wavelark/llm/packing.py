@@ -233,12 +233,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         nodes = -(-nodes // FAN)
         moves = materialize(hist.withColumn("parent", F.floor(F.col("child") / FAN).cast("long")).groupBy("parent").applyInPandas(_merge(capacity), "child long, size int, first long, last long, parent long, into_fill int, into_rank long, into_at long"))
         here = (F.col("node") == F.col("child")) & (F.col("fill") == F.col("size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
-        open_ = open_.join(moves, here).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("parent").alias("node"), F.col("into_fill").alias("fill"), (F.col("into_rank") + F.col("rank") - F.col("first")).alias("rank"), (F.col("at") + F.col("into_at")).alias("at"))
-        is_done = F.lit(True) if nodes == 1 else F.col("fill") >= final_fill
-        done.append(open_.where(is_done).withColumn("sequence_id", name(level, nodes)))
+        placed = open_.join(moves, here).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("parent").alias("node"), F.col("into_fill").alias("fill"), (F.col("into_rank") + F.col("rank") - F.col("first")).alias("rank"), (F.col("at") + F.col("into_at")).alias("at"))
         if nodes == 1:
+            done.append(placed.withColumn("sequence_id", name(level, nodes)))
             break
-        open_ = open_.where(~is_done)
+        placed = materialize(placed)  # read by this level's bins and by the next level
+        done.append(placed.where(F.col("fill") >= final_fill).withColumn("sequence_id", name(level, nodes)))
+        open_ = placed.where(F.col("fill") < final_fill)
         hist = moves.where(F.col("into_fill") < final_fill).groupBy(F.col("parent").alias("child"), F.col("into_fill").alias("fill")).agg(F.max(F.col("into_rank") + F.col("last") - F.col("first")).alias("n"))
     out = done[0]
     for more in done[1:]:
