@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelark.llm.common import BLOCK_BYTES, WordHasher, gram_hashes, mix64, releasing, same_columns, unpack, window_hashes
-from wavelark.llm.winnow import Chunk, repeated_spans, union_of
+from wavelark.llm.winnow import Chunk, digest_of, key_of, repeated_spans, union_of
 
 WINDOW = 50
 GRAM = 8
@@ -166,7 +166,7 @@ def substring_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs with the repeated words gone; a text that loses words becomes its other words joined by one space."""
     rows = docs.select(same_columns(docs), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_key", F.xxhash64("_id", F.md5("_text")).bitwiseAND(F.lit((1 << 63) - 1)))
+    rows = rows.withColumn("_key", key_of("_id", digest_of("_text")))
     _, found = substring_spans(docs, id_col, text_col, window, gram)
     found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "spans", "copy")
 

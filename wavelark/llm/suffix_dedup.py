@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelark.llm.common import BLOCK_BYTES, PrefixHash, releasing, same_columns, text_blocks, unpack
-from wavelark.llm.winnow import Chunk, repeated_spans, union_of
+from wavelark.llm.winnow import Chunk, digest_of, key_of, repeated_spans, union_of
 
 LENGTH = 50
 GRAM = 18
@@ -184,7 +184,7 @@ def without(raw: bytes, cut: np.ndarray) -> bytes:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with the repeated bytes cut out of the text; what a cut leaves of a character is dropped. Null texts stay null."""
     rows = docs.select(same_columns(docs), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_key", F.xxhash64("_id", F.md5("_text")).bitwiseAND(F.lit((1 << 63) - 1)))
+    rows = rows.withColumn("_key", key_of("_id", digest_of("_text")))
     _, found = suffix_spans(docs, id_col, text_col, length, gram)
     found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "spans", "copy")
 

@@ -24,7 +24,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelark.llm.common import id_and_text, materialize, mix64, releasing, shard_count, sliding_min
@@ -335,6 +335,15 @@ def union_of(blob: bytes) -> np.ndarray:
     return np.stack([spans[first, 0], ends[np.concatenate([first[1:] - 1, [len(spans) - 1]])]], axis=1)
 
 
+def digest_of(text: str) -> Column:
+    return F.sha2(text, 256)
+
+
+def key_of(doc_id: str, digest: Column | str) -> Column:
+    """The key of a row of repeated_spans: rows equal in id (null: the largest) and text share it."""
+    return F.xxhash64(doc_id, digest).bitwiseAND(F.lit((1 << 63) - 1))
+
+
 @releasing
 def repeated_spans(docs: DataFrame, units: Units, matcher, window: int, k: int, length_of: Callable[[bytes], int], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
     """The texts (doc_id, key, text) and, for rows with something repeated, (doc_id, key, copy, spans).
@@ -344,8 +353,8 @@ def repeated_spans(docs: DataFrame, units: Units, matcher, window: int, k: int,
     """
     largest = (1 << 63) - 1
     texts = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(largest)))
-    texts = texts.select("doc_id", F.col("text"), F.sha2("text", 256).alias("digest"))
-    keyed = texts.select("doc_id", F.xxhash64("doc_id", "digest").bitwiseAND(F.lit(largest)).alias("key"), "text", "digest")
+    texts = texts.select("doc_id", F.col("text"), digest_of("text").alias("digest"))
+    keyed = texts.select("doc_id", key_of("doc_id", "digest").alias("key"), "text", "digest")
     shards = shard_count(docs)
     told = keyed.select("doc_id", "key", F.xxhash64("digest").alias("print"), "text").mapInArrow(_tell(units, window, k, shards), "shard int, key long, owners binary, blob binary")
     answers = materialize(told.groupBy("shard").applyInArrow(_answer(shards, HOT), "home int, owners binary, blob binary"))
