@@ -31,7 +31,7 @@ def _merge_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             by_text.setdefault(text, []).append(doc_id)
         texts, ids = list(by_text), list(by_text.values())
-        digests = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+        digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
         ties = [next((i for i in x if i is not None), None) for x in ids]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(ids, pa.list_(pa.int64())), pa.array([t[:HEAD] for t in texts], pa.string()), pa.array(digests, pa.binary()), pa.array(ties, pa.int64())], ["text", "ids", "head", "digest", "tie"])
 
@@ -40,7 +40,7 @@ def _compare_neighbours(keep_largest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
         out: list[tuple] = []
-        state = {"text": None, "ids": [], "n": 0, "edge": True}
+        state = {"text": None, "sha": "", "ids": [], "n": 0, "edge": True}
 
         def close(at_edge: bool) -> None:
             ids, text = state["ids"], state["text"]
@@ -50,10 +50,9 @@ def _compare_neighbours(keep_largest: bool):
             known = [k for k in keys if k is not None]
             best = max(known) if known else None
             first = keys.index(best)
-            sha = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
             seg, is_open = f"{pid}-{state['n']}", state["edge"] or at_edge
             for j, i in enumerate(ids):
-                out.append((i, sha, seg, j == first, best, len(ids), text if is_open and j == first else None, is_open))
+                out.append((i, state["sha"], seg, j == first, best, len(ids), text if is_open and j == first else None, is_open))
             state["n"] += 1
             state["ids"] = []
 
@@ -66,11 +65,11 @@ def _compare_neighbours(keep_largest: bool):
             return batch
 
         for batch in batches:
-            for text, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, ids, digest in zip(*(c.to_pylist() for c in batch.columns)):
                 if text != state["text"]:
                     close(False)
                     state["edge"] = state["text"] is None
-                    state["text"] = text
+                    state["text"], state["sha"] = text, digest.hex()
                 state["ids"].extend(ids)
                 if len(state["ids"]) >= SEGMENT:
                     close(True)
@@ -93,7 +92,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives an empty result. Further columns of docs are ignored.
     """
     merged = id_and_text(docs, id_col, text_col).mapInArrow(_merge_in_batch, "text string, ids array<long>, head string, digest binary, tie long")
-    ranged = merged.repartitionByRange("head", "digest", "tie").sortWithinPartitions("head", "digest", "text", "tie").select("text", "ids")
+    ranged = merged.repartitionByRange("head", "digest", "tie").sortWithinPartitions("head", "digest", "text", "tie").select("text", "ids", "digest")
     rows = materialize(ranged.mapInArrow(_compare_neighbours(keep == "largest"), _ROWS))
     edges = rows.where("edge_text is not null").select("seg", "edge_text", "seg_key", "seg_size")
     totals = edges.groupBy("edge_text").agg(F.max(F.struct("seg_key", "seg")).alias("best"), F.sum("seg_size").alias("size"))
