@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wavelark.functions import hof, kernels
 from wavelark.operators import endpoint, lpc, vq
 from wavelark.plans import catalogue, fixtures
+from wavelark.sources import wav
 
 SF = "/root/testdata/sf0.01"
 
@@ -54,6 +55,36 @@ def test_native_and_arrow_features_agree(signals):
     assert sum(r.path == "d/c0/0.wav" for r in a) == (50 - 16) // 8 + 1
 
 
+def test_features_straight_from_files(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    for i, (rate, n) in enumerate([(16000, 20_000), (8000, 3_000), (16000, 100), (16000, 2_000)]):
+        folder = tmp_path / f"c{i % 2}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{i}.wav").write_bytes(wav.encode(np.zeros(n) if i == 3 else rng.uniform(-1, 1, n), rate))
+    (tmp_path / "c0" / "broken.wav").write_bytes(b"RIFF????WAVEfmt ")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    got = {(r.path, r.t): r for r in lpc.lpc_files(files, 12).collect()}
+    want = {}
+    for s in wav.read(spark, [str(tmp_path / "c0"), str(tmp_path / "c1")]).collect():
+        width, step = lpc.window_of(s.sample_rate, 45, 15)
+        one = spark.createDataFrame([(s.path, s.samples)], "path string, samples array<double>")
+        want |= {(r.path, r.t): (s.class_name, s.sample_rate, r.r, r.status) for r in lpc.lpc_frames(one, 12, width, step, native=True).collect()}
+    assert got.keys() == want.keys() and len({p for p, _ in got}) == 3 and {r.class_name for r in got.values()} == {"c0", "c1"}
+    for k, (class_name, rate, r, status) in want.items():
+        assert (got[k].class_name, got[k].sample_rate, got[k].status) == (class_name, rate, status) and np.allclose(got[k].r, r)
+    with pytest.raises(Exception, match="WavError|struct.error|no samples"):
+        lpc.lpc_files(files, 12, mode="FAILFAST").count()
+
+
+@pytest.mark.parametrize("width", [257, 300, 720, 1440])
+def test_wide_autocorrelation(width):
+    t = np.arange(width)
+    x = np.stack([np.random.default_rng(width).standard_normal(width), np.sin(0.3 * t), np.zeros(width), np.full(width, 1e-9)])
+    direct = np.array([[np.dot(v[: width - k], v[k:]) for k in range(37)] for v in x])
+    got = kernels.autocorrelation(x, 36)
+    assert np.allclose(got, direct, rtol=1e-11, atol=1e-12 * np.abs(direct[:, :1])) and not got[2].any()
+
+
 def test_split(signals):
     out = lpc.split_train_test(signals, 0.5, min_per_class=1).groupBy("class_name", "split").count().collect()
     n = {(r.class_name, r.split): r["count"] for r in out}

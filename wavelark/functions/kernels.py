@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,18 +18,40 @@ def frame_matrix(x: np.ndarray, width: int, step: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, width)[::step]
 
 
+@functools.lru_cache
+def _hamming(width: int) -> np.ndarray:
+    return 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(width) / max(width - 1, 1))
+
+
 def preprocess(frames: np.ndarray, factor: float = 0.95) -> np.ndarray:
     """Mean removal, pre-emphasis and Hamming window of each row."""
-    width = frames.shape[1]
-    centred = frames - frames.mean(axis=1, keepdims=True)
-    y = centred.copy()
-    y[:, 1:] -= factor * centred[:, :-1]
-    y *= 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(width) / max(width - 1, 1))
+    y = frames - frames.mean(axis=1, keepdims=True)
+    y[:, 1:] -= factor * y[:, :-1]  # the right side is whole before y changes
+    y *= _hamming(frames.shape[1])
     return y
 
 
+#: Rows wider than this are correlated through their power spectrum.
+SPECTRAL_WIDTH = 256
+
+
+@functools.lru_cache
+def _power_to_lags(width: int, order: int) -> tuple[int, np.ndarray]:
+    """A transform's size that keeps the lags from wrapping around, and the matrix from power spectrum to lags 0..order."""
+    least = width + order
+    size = min(f << max(1, (-(-least // f) - 1).bit_length()) for f in (1, 3, 9))
+    k = np.arange(size // 2 + 1)
+    weight = np.full(len(k), 2.0)
+    weight[[0, -1]] = 1
+    return size, weight[:, None] * np.cos(2 * np.pi * (np.outer(k, np.arange(order + 1)) % size) / size) / size
+
+
 def autocorrelation(x: np.ndarray, order: int) -> np.ndarray:
     width = x.shape[1]
+    if width > SPECTRAL_WIDTH and order < width:
+        size, lags = _power_to_lags(width, order)
+        spectrum = np.fft.rfft(x, size)
+        return (spectrum.real**2 + spectrum.imag**2) @ lags
     return np.stack([np.einsum("ij,ij->i", x[:, : width - lag], x[:, lag:]) if lag < width else np.zeros(len(x)) for lag in range(order + 1)], axis=1)
 
 
@@ -128,18 +151,39 @@ def expected_counts(o: np.ndarray, pi: np.ndarray, trans: np.ndarray, emit: np.n
 # --- Arrow entry points ------------------------------------------------------------------------
 
 
-#: Frames that are held as a matrix at once, small enough for a core's cache.
-CHUNK = 64
+#: Frames that are held as a matrix at once, small enough for a core's cache, and frames that are sent on together.
+CHUNK, SENT = 64, 8192
+
+
+def frame_features(x: np.ndarray, order: int, width: int, step: int) -> Iterator[pa.RecordBatch]:
+    """A signal's t, r (gain-normalised) and status, in batches; memory is bounded by the signal and one batch."""
+    frames = frame_matrix(x, width, step)
+    for first in range(0, len(frames), SENT):
+        n = min(SENT, len(frames) - first)
+        r = np.empty((n, order + 1))
+        for a in range(0, n, CHUNK):
+            r[a : a + CHUNK] = autocorrelation(preprocess(frames[first + a : first + min(n, a + CHUNK)]), order)
+        _, _, pe, status = levinson(r)
+        r /= np.where((pe != 0) & (status != 1), pe, 1)[:, None]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (order + 1)), pa.array(r.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n, dtype=np.int32)), lists, pa.array(status.astype(np.int32))], ["t", "r", "status"])
+
+
+def beside(row: list[pa.Array], names: list[str], features: pa.RecordBatch) -> pa.RecordBatch:
+    """The one-row arrays, repeated, before the features."""
+    every = pa.array(np.zeros(features.num_rows, np.int64))
+    return pa.RecordBatch.from_arrays([*(c.take(every) for c in row), *features.columns], [*names, *features.schema.names])
 
 
 def lpc_frames(signals: DataFrame, order: int, width: int, step: int, samples_col: str = "samples") -> DataFrame:
     """Arrow twin of operators.lpc.lpc_frames: columns other than the samples, t, r (gain-normalised), status.
 
-    Samples and coefficients cross as Arrow buffers without Python objects, and memory is bounded by a signal and its features.
+    Samples and coefficients cross as Arrow buffers without Python objects.
     """
     keep = [f for f in signals.schema.fields if f.name != samples_col]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", t int, r array<double>, status int"
     places = [signals.columns.index(f.name) for f in keep]
+    names = [f.name for f in keep]
     at = signals.columns.index(samples_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,18 +191,8 @@ def lpc_frames(signals: DataFrame, order: int, width: int, step: int, samples_co
             column = batch.column(at)
             offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
             for i in range(batch.num_rows):
-                frames = frame_matrix(values[offsets[i] : offsets[i + 1]], width, step)
-                n = len(frames)
-                if not n:
-                    continue
-                r = np.empty((n, order + 1))
-                for a in range(0, n, CHUNK):
-                    r[a : a + CHUNK] = autocorrelation(preprocess(frames[a : a + CHUNK]), order)
-                _, _, pe, status = levinson(r)
-                r /= np.where((pe != 0) & (status != 1), pe, 1)[:, None]
-                row = pa.array(np.full(n, i))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (order + 1)), pa.array(r.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(p).take(row) for p in places), pa.array(np.arange(n, dtype=np.int32)), lists, pa.array(status.astype(np.int32))], [*(f.name for f in keep), "t", "r", "status"])
+                for features in frame_features(values[offsets[i] : offsets[i + 1]], order, width, step):
+                    yield beside([batch.column(p).slice(i, 1) for p in places], names, features)
 
     return signals.mapInArrow(run, out)
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelark.functions import hof, kernels
+from wavelark.sources import wav
 
 #: Frames wider than this go through Arrow and numpy; narrower ones stay in the JVM.
 NATIVE_WIDTH = 128
@@ -47,6 +52,30 @@ def window_of(sample_rate: float, window_ms: int, offset_ms: int) -> tuple[int,
     return int(window_ms * sample_rate / 1000), int(offset_ms * sample_rate / 1000)
 
 
+def lpc_files(files: DataFrame, order: int, window_ms: int = 45, offset_ms: int = 15, mode: str = "PERMISSIVE") -> DataFrame:
+    """Features straight from WAV files (path, content, as binaryFile gives them): path, class_name, sample_rate, t, r, status.
+
+    A file is decoded where its features are found, so its samples never cross from Python to the JVM and back. Files that
+    can't be read are skipped (FAILFAST: raise); the window follows each file's own rate.
+    """
+    names = ["path", "class_name", "sample_rate"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    rate, x = wav.decode(raw.as_py() or b"")
+                except (wav.WavError, struct.error):
+                    if mode == "FAILFAST":
+                        raise
+                    continue
+                row = [pa.array([path], pa.string()), pa.array([wav.class_of(path)], pa.string()), pa.array([rate], pa.float64())]
+                for features in kernels.frame_features(x, order, *window_of(rate, window_ms, offset_ms)):
+                    yield kernels.beside(row, names, features)
+
+    return files.select("path", "content").mapInArrow(run, "path string, class_name string, sample_rate double, t int, r array<double>, status int")
+
+
 def split_train_test(signals: DataFrame, fraction: float, class_col: str = "class_name", key_col: str = "path", min_per_class: int = 0, seed: str = "0") -> DataFrame:
     """Adds split: TRAIN, TEST, or predictors where a class is too small for the fraction.
 
