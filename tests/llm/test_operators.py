@@ -131,6 +131,18 @@ def test_token_parts(text):
     assert list(np.frombuffer(next(packing.token_bytes([text], path)), "<u4")) == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    tk = Tokenizer.from_file(path)
+    texts = ["Upper and lower, Case.", "", "  two  spaces\n\nand lines\t", "na\u00efve caf\u00e9 \u4e2d\u6587"] * 70
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.token_bytes(texts, path)]
+    assert got == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_tree(spark, monkeypatch):
     """Many leaves and levels: pieces stay whole and bins stay within capacity."""
     monkeypatch.setattr(packing, "FAN", 2)

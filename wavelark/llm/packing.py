@@ -9,11 +9,13 @@ parent at an offset. No task holds more than the histograms of FAN nodes or the
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -48,8 +50,15 @@ def default_tokenizer() -> str:
 _SIGNS = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))")
 
 
+def _kinds(normalizer: dict | None) -> list[str]:
+    """The kinds of steps of a tokenizer file's normalizer."""
+    if not normalizer:
+        return []
+    return [normalizer["type"], *(k for n in normalizer.get("normalizers", []) for k in _kinds(n))]
+
+
 class WordEncoder:
-    """Token ids by parts of text, for a tokenizer that drops white space and never joins anything across it.
+    """Token ids by parts of text, for a tokenizer that drops white space and never joins anything across it; others get whole texts.
 
     Full stops and commas are parted from their words, and texts are lower-cased first where that is what the tokenizer would do,
     so that few different parts remain; they are remembered in a bounded cache. New words are encoded many at a time; each
@@ -64,6 +73,7 @@ class WordEncoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.in_parts = self.closes.any() and "Lowercase" in _kinds(json.loads(Path(path).read_text("utf-8")).get("normalizer"))
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -93,6 +103,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for first in range(0, len(texts), 256):
+            if not self.in_parts:
+                for e in self.tokenizer.encode_batch_fast(texts[first : first + 256], add_special_tokens=False):
+                    yield np.asarray(e.ids, "<u4").tobytes()
+                continue
             split = [self.parts(t) for t in texts[first : first + 256]]
             if len(self.known) > CACHE:
                 self.known.clear()
