@@ -39,6 +39,27 @@ def test_query(spark, db, name):
     assert rows(map(tuple, df.select(*columns).collect())) == rows(want.fetchall())
 
 
+def events_agree(spark, folder, name, signals):
+    """The query and its SQL on a table of these users' event types."""
+    stamp = "timestamp '2024-01-01' + i * interval 1 second"
+    con = duckdb.connect()
+    con.execute("create table kinds (user_id bigint, i bigint, event_type varchar)")
+    con.executemany("insert into kinds values (?, ?, ?)", [(u, i, kind) for u, kinds in signals.items() for i, kind in enumerate(kinds)])
+    con.execute(f"create table events as select user_id * 1000 + i as event_id, {stamp} as ts, user_id, event_type, i + 0.5::double as value from kinds")
+    con.execute(f"copy events to '{folder}/events.parquet' (format parquet)")
+    want = con.execute(SQL[name])
+    columns = [d[0] for d in want.description]
+    want = rows(want.fetchall())
+    assert rows(map(tuple, catalogue.queries()[name](spark, str(folder)).select(*columns).collect())) == want
+    return want
+
+
+def test_intervals_that_end_with_the_signal_are_left_out(spark, tmp_path):
+    at_end = {u: ["view"] * (45 + 2 * u) for u in range(20)}
+    longer = {u + 20: ["view"] * (46 + 2 * u) for u in range(20)}
+    assert [r[0] for r in events_agree(spark, tmp_path, "sel_signal_interval", at_end | longer)] == list(range(20, 40))
+
+
 def test_no_query_reads_a_subset_of_ids():
     from wavelark.plans import catalogue as module
 

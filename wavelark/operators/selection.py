@@ -153,7 +153,8 @@ def by_distortion(rows: DataFrame, limit: float, above: bool = False) -> DataFra
 
 def signal_intervals(rows: DataFrame, signals: DataFrame, on: list[str], sample_rate: float, samples_col: str = "samples") -> DataFrame:
     """The samples of each row's interval (begin_s, end_s); intervals that do not end within the signal are left out."""
-    joined = rows.join(signals, on).where(F.col("end_s") < F.size(samples_col) / F.lit(sample_rate))
+    # in samples and rounded: 0.036 + 0.045 s is a little under 0.081 s
+    joined = rows.join(signals, on).where(F.round(F.col("end_s") * F.lit(sample_rate), 6) < F.size(samples_col))
     return joined.withColumn(samples_col, range_of_samples(F.col(samples_col), F.round(F.col("begin_s") * 1000, 6), F.round((F.col("end_s") - F.col("begin_s")) * 1000, 6), sample_rate))
 
 
