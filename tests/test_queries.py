@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from wavelark.plans import catalogue, oracle
+from wavelark.plans import catalogue, fixtures, oracle
 
 SF = "/root/testdata/sf0.001"
 SQL = oracle.oracle_sql()
@@ -60,6 +60,13 @@ def test_intervals_that_end_with_the_signal_are_left_out(spark, tmp_path):
     assert [r[0] for r in events_agree(spark, tmp_path, "sel_signal_interval", at_end | longer)] == list(range(20, 40))
 
 
+def test_paths_of_almost_equal_likelihood(spark, tmp_path):
+    """The last model has two paths whose logarithms differ in the last bits only."""
+    kinds = sorted(fixtures.SYMBOLS, key=fixtures.SYMBOLS.get)
+    symbols = "22333122333123243244003423221232211132420330213122303443220234030414433"
+    events_agree(spark, tmp_path, "hmm_viterbi", {87182: [kinds[int(o)] for o in symbols]})
+
+
 def test_no_query_reads_a_subset_of_ids():
     from wavelark.plans import catalogue as module
 

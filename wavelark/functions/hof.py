@@ -143,18 +143,17 @@ def log_likelihood(symbols: Column, pi: Column, trans: Column, emit: Column) ->
     return F.aggregate(symbols, start, step, lambda s: s["lp"])
 
 
-def viterbi(symbols: Column, pi: Column, trans: Column, emit: Column) -> Column:
-    """struct(lp, path) of the most likely states; ties go to the lowest state."""
-    states = F.sequence(F.lit(0), F.size(pi) - 1)
-    log_trans = F.transform(trans, lambda row: F.transform(row, log_or_minus_inf))
+def viterbi(symbols: Column, log_pi: Column, log_trans: Column, log_emit: Column) -> Column:
+    """struct(lp, path) of the most likely states, from logarithms; ties go to the lowest state."""
+    states = F.sequence(F.lit(0), F.size(log_pi) - 1)
     start = F.struct(F.array().cast("array<double>").alias("phi"), F.array().cast("array<array<int>>").alias("psi"))
     best = lambda values: F.array_max(F.transform(values, lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))))
 
     def over(lt: Column) -> Column:
         def step(s: Column, o: Column) -> Column:
             arrive = F.transform(states, lambda j: best(F.transform(states, lambda i: at(s["phi"], i) + at(at(lt, i), j))))
-            first = F.struct(F.transform(states, lambda j: log_or_minus_inf(at(pi, j)) + log_or_minus_inf(at(at(emit, j), o))).alias("phi"), s["psi"].alias("psi"))
-            later = let(arrive, lambda b: F.struct(F.transform(b, lambda v, j: v["v"] + log_or_minus_inf(at(at(emit, j), o))).alias("phi"), F.concat(s["psi"], F.array(F.transform(b, lambda v: -v["i"]))).alias("psi")))
+            first = F.struct(F.transform(states, lambda j: at(log_pi, j) + at(at(log_emit, j), o)).alias("phi"), s["psi"].alias("psi"))
+            later = let(arrive, lambda b: F.struct(F.transform(b, lambda v, j: v["v"] + at(at(log_emit, j), o)).alias("phi"), F.concat(s["psi"], F.array(F.transform(b, lambda v: -v["i"]))).alias("psi")))
             return F.when(F.size(s["phi"]) == 0, first).otherwise(later)
 
         def finish(s: Column) -> Column:

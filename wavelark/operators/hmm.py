@@ -34,6 +34,12 @@ class Hmm:
     def columns(self) -> tuple[Column, Column, Column]:
         return hof.doubles(self.pi), hof.matrix(self.trans), hof.matrix(self.emit)
 
+    @property
+    def log_columns(self) -> tuple[Column, Column, Column]:
+        """The C library's logarithms: Java's differ in the last bit for some numbers (0.18), and paths of equal likelihood with them."""
+        ln = np.vectorize(lambda p: math.log(p) if p > 0 else -math.inf, otypes=[float])
+        return hof.doubles(ln(self.pi)), hof.matrix(ln(self.trans)), hof.matrix(ln(self.emit))
+
 
 def random_rows(rng: np.random.Generator, rows: int, size: int) -> np.ndarray:
     """Rows of 1 + a uniform number, normalised: nothing is near 0."""
@@ -90,7 +96,7 @@ def log_likelihood(model: Hmm, symbols: Column | str = "symbols", native: bool |
 
 
 def viterbi(model: Hmm, symbols: Column | str = "symbols") -> Column:
-    return hof.viterbi(F.col(symbols) if isinstance(symbols, str) else symbols, *model.columns)
+    return hof.viterbi(F.col(symbols) if isinstance(symbols, str) else symbols, *model.log_columns)
 
 
 def conforming(sequences: DataFrame, n_symbols: int, symbols_col: str = "symbols") -> DataFrame:
