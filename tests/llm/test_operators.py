@@ -476,6 +476,20 @@ def test_links_between_cells_are_found(spark):
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(d, shard=shard).collect()) == want
 
 
+def test_vectors_are_not_copied_to_where_they_ask(spark):
+    """Unclustered vectors, for which cells rule out nothing: what is shuffled is a few times the table whatever the number of blocks."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3_000, 64)).astype(np.float32)
+    x[2_000:] = x[:1_000] + 0.03 * rng.standard_normal((1_000, 64)).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    d = embedding_dedup.materialize(d)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(d, shard=40).collect())
+    assert got == brute.vector_links([(i, v.tolist()) for i, v in enumerate(x)]) and sum(g[1] for g in got) >= 1_900
+    assert 0 < written() - before < 10 * x.nbytes
+
+
 def built(x):
     """A block's graph, from two shards that overlap, as the operator builds it."""
     import pyarrow as pa

@@ -89,17 +89,26 @@ def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors.
+
+    batch: rows that go to Python at once, where they are larger than usual.
+    """
     spark = df.sparkSession
     path = f"{_tables_dir(spark)}/{uuid.uuid4().hex}"
     if getattr(_written, "tables", None) is not None:
         _written.tables.append((spark, path))
-    with _settings(spark, WHILE_WRITING):
+    with _settings(spark, WHILE_WRITING | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)} if batch else {})):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a materialized table that nothing reads any more, before its operator ends."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
 def shard_count(df: DataFrame, bytes_per_shard: int = 32 << 20) -> int:
     """Enough shards that each stays small: the session's shuffle partitions, or more for large inputs."""
     stats = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
