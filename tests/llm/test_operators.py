@@ -476,6 +476,25 @@ def test_links_between_cells_are_found(spark):
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(d, shard=shard).collect()) == want
 
 
+def test_lines_do_not_move_to_join_a_few_frequent_leaves(spark):
+    """The frequent leaves are few, and Spark sees that before it joins them with all different lines."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = [(i, "\n".join([" ".join(word() for _ in range(6)) for _ in range(20)] + [f"user {i} logged in at {i * 7} today"] * (i < 40))) for i in range(2_000)]
+    d = line_dedup.materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200000")
+    try:
+        before = written()
+        out = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup_report(d).collect()}
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert out == {i: int(i < 40) for i in range(2_000)}
+    assert moved < 9_000_000
+
+
 def test_vectors_are_not_copied_to_where_they_ask(spark):
     """Unclustered vectors, for which cells rule out nothing: what is shuffled is a few times the table whatever the number of blocks."""
     rng = np.random.default_rng(8)

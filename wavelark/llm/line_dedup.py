@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelark.llm.common import materialize, releasing, same_columns, unpack
+from wavelark.llm.common import discard, materialize, releasing, same_columns, unpack
 
 MIN_DOCS = 10
 #: Of the first three tokens two are fixed in a leaf.
@@ -57,7 +57,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # different lines, and the leaves that are large enough; numbers of lines are no less than those of documents
     different = materialize(lines.groupBy("raw", "print").agg(F.count("*").alias("n"), F.first("leaves").alias("leaves"), F.min(F.struct("id", "th", "no")).alias("seen")))
     in_leaf = different.select("raw", "print", "n", F.explode("leaves").alias("leaf"))
-    crowded = in_leaf.groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    # a table of its own, as Spark only sees then how few they are, and need not move all lines to join them
+    crowded = materialize(in_leaf.groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
     chosen = in_leaf.join(crowded, "leaf").select("raw", "leaf", "print")
     whole = different.where(F.col("n") >= min_docs).select("raw", F.col("raw").alias("leaf"), F.col("raw").alias("print"))
     # a table of its own, so that Spark can split a line that a third of all documents have
@@ -67,8 +68,9 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = lines.select("id", "th", "no", "raw").join(places, "raw").select("id", "th", "no", F.explode("at").alias("at")).select("id", "th", "no", "at.*")
     held = held.repartition("leaf", "id", "th").groupBy("whole", "leaf", "print", "id", "th").agg(F.collect_list("no").alias("nos"))
     held = materialize(held.withColumn("kinds", F.count("*").over(Window.partitionBy("leaf", "id", "th"))))
+    discard(lines)
     alone = materialize(held.groupBy("whole", "leaf", "print").agg(F.count_if(F.col("kinds") == 1).alias("docs")))
-    several = held.where("not whole and kinds > 1").select("leaf", "print", "id", "th")
+    several = materialize(held.where("not whole and kinds > 1").select("leaf", "print", "id", "th"))
 
     # one line of each print is read again for its tokens
     prints = alone.where("not whole").select("leaf", "print", "docs")
@@ -77,6 +79,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = texts.join(wanted.hint("shuffle_hash"), ["id", "th"]).select(F.split("text", "\n").alias("all"), F.explode("which").alias("w"))
     found = found.select("w.print", masked(F.element_at("all", F.col("w.no") + 1)).alias("line")).dropDuplicates(["print"])
     tokens = materialize(prints.join(found, "print").select("leaf", "print", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token")))
+    discard(different)
 
     def support(rows: DataFrame, *what: str) -> DataFrame:
         """Those of the things in rows (leaf, print, docs, what) that min_docs documents have, with their number."""
@@ -84,7 +87,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = rows.groupBy("leaf", *what).agg(F.sum("docs").alias("docs")).unionByName(one_by_one)
         return both.groupBy("leaf", *what).agg(F.sum("docs").alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
-    fixed = support(tokens.where(F.col("token") != WILD), "pos", "token").select("leaf", "pos", "token", F.lit(1).alias("fixed"))
+    fixed = materialize(support(tokens.where(F.col("token") != WILD), "pos", "token").select("leaf", "pos", "token", F.lit(1).alias("fixed")))
     parts = tokens.join(fixed, ["leaf", "pos", "token"], "left").select("leaf", "print", "docs", "pos", "fixed", F.when(F.col("fixed") == 1, F.col("token")).otherwise(WILD).alias("token"))
     template = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ")
     templates = materialize(parts.groupBy("leaf", "print").agg(F.max("docs").alias("docs"), template.alias("template"), F.avg(F.coalesce("fixed", F.lit(0))).alias("share")).where(F.col("share") >= constant))
